@@ -146,6 +146,7 @@ class Scorer:
             return self.exact.get(word, 0) | self.fuzzy.get(word, 0), word, word if word in self.fuzzy else ""
         core = raw.strip(".,;:()[]{}\"'»«“”„…>~_")
         core = core.rstrip("!?") if not core.rstrip("!?").endswith(("*", "#")) else core
+        core = core.strip("*") if core[:1] == core[-1:] == "*" else core  # emphasis, not a mask
         letters = sum(c.isalpha() for c in core)
         digits = sum(c.isdigit() for c in core)
         if letters < 2 or digits > 2 or letters > 40:
@@ -169,12 +170,20 @@ class Scorer:
                     return self.fuzzy[w], w, w
         best = None
         for form in forms:
-            if len(form) >= 6 and form.isalpha():
+            if len(form) >= 5 and form.isalpha():
                 hit = self.trie.search(form, 1 if len(form) < 9 else 2)
-                if hit and hit.distance and len(hit.term) >= (6 if hit.distance == 1 else 9) and hit.term[0] == form[0] and hit.flags & (1 | 8 | 16) and (best is None or hit.distance < best.distance):
+                if hit and self._likely(form, hit) and (best is None or hit.distance < best.distance):
                     best = hit
         return (best.flags, best.term, best.term) if best else (0, word, "")
 
+    @staticmethod
+    def _likely(form: str, hit: Hit) -> bool:
+        """Whether a misspelling is one: short terms only with a letter lost or doubled, as another letter makes another word of them."""
+        term = hit.term
+        if not hit.flags & (1 | 8 | 16) or not hit.distance or form[0] != term[0] or len(term) < (9 if hit.distance > 1 else 5):
+            return False
+        return len(form) != len(term) or (len(term) >= 7 and form[-1] == term[-1])
+
     def _joined(self, raws: list[str]) -> list[str]:
         """Letters set apart by spaces as one token, where that makes a term of the lexicon."""
         out, i = [], 0
