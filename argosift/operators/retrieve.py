@@ -36,6 +36,81 @@ def bm25(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, k1: flo
     return weighted.join(hint(asked), "token").groupBy(item_key, doc_key).agg(F.sum("w").alias("score"))
 
 
+def bm25_best(
+    docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, k: int, cap: int | None = None, cap_by: str | None = None,
+    factor: str | None = None, k1: float = 1.2, b: float = 0.75, block: int = 2048,
+) -> DataFrame:
+    """``(item_key, doc_key, score, place)``: the k best documents an item by :func:`bm25`, at most ``cap`` with the same ``cap_by``.
+
+    The same scores without a row a pair: documents come as vectors over the items' tokens, and a batch of them is multiplied with the
+    matrix of the items. Only the best rows of a batch leave it; the exact ranking is made from these. Items go to the scan in blocks
+    of ``block``; scores are multiplied by the column ``factor`` if one is named. Ties: the smaller document key.
+    """
+    import numpy as np
+    import pandas as pd
+
+    asked = items.where(F.col("text").isNotNull()).select(F.col(item_key).alias("i"), F.array_sort(F.array_distinct(tokens("text"))).alias("ts")).distinct()
+    group = F.col(cap_by).cast("string") if cap_by else F.lit("")
+    texts = docs.where(F.col("text").isNotNull()).select(
+        F.col(doc_key).alias("d"), F.coalesce(group, F.lit("")).alias("g"), (F.col(factor) if factor else F.lit(1.0)).alias("f"), tokens("text").alias("ts")
+    ).withColumn("dl", F.size("ts"))
+    n, mean = texts.agg(F.count("*"), F.avg("dl")).first()
+    key_type, item_type = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
+
+    def search(part) -> DataFrame:
+        vocabulary = sorted({t for r in part for t in r["ts"]})
+        code = docs.sparkSession.createDataFrame([(t, j) for j, t in enumerate(vocabulary)], "token string, j int")
+        counts = (
+            texts.repartition("d").select("d", "g", "f", "dl", F.explode("ts").alias("token"))
+            .join(F.broadcast(code), "token")  # tokens of at most ``block`` items
+            .groupBy("d", "g", "f", "dl", "j").agg(F.count("*").alias("tf"))
+        )
+        df = np.zeros(len(vocabulary))
+        for r in counts.groupBy("j").agg(F.count("*").alias("df")).collect():  # one row a token of the items
+            df[r["j"]] = r["df"]
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        at = {t: j for j, t in enumerate(vocabulary)}
+        matrix = np.zeros((len(vocabulary), len(part)))
+        for q, r in enumerate(part):
+            matrix[[at[t] for t in r["ts"]], q] = idf[[at[t] for t in r["ts"]]]
+        names = np.array([r["i"] for r in part])
+
+        def run(batches):
+            for pdf in batches:
+                for low in range(0, len(pdf), 1024):
+                    rows = pdf.iloc[low : low + 1024]
+                    sizes = rows["js"].map(len).to_numpy()
+                    at_row = np.repeat(np.arange(len(rows)), sizes)
+                    js, tf = np.concatenate(rows["js"].to_numpy()), np.concatenate(rows["tfs"].to_numpy()).astype(float)
+                    dl = rows["dl"].to_numpy(float)[at_row]
+                    dense = np.zeros((len(rows), len(vocabulary)))
+                    dense[at_row, js] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+                    scores = np.round((dense @ matrix) * rows["f"].to_numpy(float)[:, None], 6)
+                    keys, groups = rows["d"].to_numpy(), rows["g"].to_numpy()
+                    for g in np.unique(groups):
+                        inside = np.flatnonzero(groups == g)
+                        order = np.lexsort((np.broadcast_to(keys[inside][:, None], (len(inside), len(part))), -scores[inside]), axis=0)[: min(cap or k, k)]
+                        chosen = inside[order]
+                        best = np.take_along_axis(scores, chosen, axis=0)
+                        out = pd.DataFrame({"i": np.broadcast_to(names, chosen.shape).ravel(), "d": keys[chosen].ravel(), "g": g, "score": best.ravel()})
+                        yield out[out["score"] > 0]
+
+        vectors = counts.groupBy("d", "g", "f", "dl").agg(F.collect_list("j").alias("js"), F.collect_list("tf").alias("tfs"))
+        return vectors.mapInPandas(run, f"i {item_type}, d {key_type}, g string, score double")
+
+    found, part = None, []
+    for row in asked.toLocalIterator():
+        part.append(row)
+        if len(part) == block:
+            found, part = (search(part) if found is None else found.unionByName(search(part))), []
+    if part:
+        found = search(part) if found is None else found.unionByName(search(part))
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], f"i {item_type}, d {key_type}, g string, score double")
+    best = top_k(found, k, [F.desc("score"), F.col("d")], ["i"], cap, "g" if cap else None)
+    return best.select(F.col("i").alias(item_key), F.col("d").alias(doc_key), "score", "place")
+
+
 def coverage_density(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str) -> DataFrame:
     """``(item_key, doc_key, score)``: twice the share of the item's tokens covered, plus covered tokens over the root of the text's."""
     d, q = term_counts(docs, doc_key, "text"), term_counts(items, item_key, "text").withColumnRenamed("tf", "qtf")

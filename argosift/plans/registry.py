@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def _load() -> None:
-    from argosift.plans import retrieval_queries, stats_queries, text_queries, units  # noqa: F401
+    from argosift.plans import graph_queries, report_queries, retrieval_queries, stats_queries, temporal_queries, text_queries, units  # noqa: F401

@@ -25,17 +25,12 @@ def _bm25(spark, sf):
 
 
 
-def _by_score():
-    return [F.round("score", 6).desc(), F.col("doc_id")]
-
-
 @query(f"""WITH {_BM25}, c AS (SELECT item_id, doc_id, round(score,6) AS score, row_number() OVER (PARTITION BY item_id, source ORDER BY round(score,6) DESC, doc_id) AS i FROM s JOIN d USING (doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM c WHERE i<=2) SELECT item_id, doc_id, score, place FROM r WHERE place<=5""")
 def bm25_topk(spark, sf):
     """Five best documents an item, at most two a source."""
-    scored = _bm25(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    top = R.top_k(scored, 5, _by_score(), ["item_id"], 2, "source")
-    return top.select("item_id", "doc_id", F.round("score", 6).alias("score"), "place")
+    docs, items = table(spark, sf, "documents").select("doc_id", "text", "source"), table(spark, sf, "heldout_items").select("item_id", "text")
+    return R.bm25_best(docs, items, "doc_id", "item_id", 5, 2, "source")
 
 
 @query(f"""WITH dt AS (SELECT doc_id, tok, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS tok FROM documents) GROUP BY ALL),
@@ -57,13 +52,10 @@ def coverage_density_topk(spark, sf):
 SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM w) WHERE place<=3""")
 def salience_topk(spark, sf):
     """BM25 weighed by section and by words of action."""
-    d = table(spark, sf, "documents").select(
-        "doc_id",
-        F.when(F.col("section").isin("Results", "Discussion", "Conclusion"), 1.2).when(F.col("section") == "Supporting Information", 0.8).otherwise(1.0).alias("place_w"),
-        F.when(F.lower("text").rlike(r"(?U)\b(?:reported|repeated|measured|revealed|propose)\b"), 1.5).otherwise(1.0).alias("action_w"),
-    )
-    scored = _bm25(spark, sf).join(d, "doc_id").withColumn("score", F.col("score") * F.col("place_w") * F.col("action_w"))
-    return R.top_k(scored, 3, _by_score(), ["item_id"]).select("item_id", "doc_id", F.round("score", 6).alias("score"), "place")
+    place = F.when(F.col("section").isin("Results", "Discussion", "Conclusion"), 1.2).when(F.col("section") == "Supporting Information", 0.8).otherwise(1.0)
+    action = F.when(F.lower("text").rlike(r"(?U)\b(?:reported|repeated|measured|revealed|propose)\b"), 1.5).otherwise(1.0)
+    docs = table(spark, sf, "documents").select("doc_id", "text", (place * action).alias("weight"))
+    return R.bm25_best(docs, table(spark, sf, "heldout_items").select("item_id", "text"), "doc_id", "item_id", 3, factor="weight")
 
 
 @query(f"""WITH {_BM25}, c AS (SELECT item_id, source, count(*) AS n_hits, round(max(score),6) AS best, round(avg(score),6) AS mean FROM s JOIN d USING (doc_id) GROUP BY ALL)
