@@ -67,5 +67,6 @@ def expand_neighbours(edges: DataFrame, seeds: DataFrame, most: int) -> DataFram
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     reached = both.join(seeds.select(F.col("id").alias("src"), "pos"), "src").join(seeds.select(F.col("id").alias("dst")), "dst", "left_anti")
     one = reached.withColumn("i", F.row_number().over(Window.partitionBy("dst").orderBy("pos", F.desc("weight")))).where("i = 1")
+    one = one.orderBy("pos", F.desc("weight"), "dst").limit(most)
     placed = one.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos", F.desc("weight"), "dst")))
-    return placed.where(F.col("place") <= most).select(F.col("dst").alias("id"), F.col("src").alias("seed"), "weight", "place")
+    return placed.select(F.col("dst").alias("id"), F.col("src").alias("seed"), "weight", "place")

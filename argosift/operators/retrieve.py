@@ -125,6 +125,8 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str], cap: int |
     if cap is not None:
         within = Window.partitionBy(*by, cap_by).orderBy(*order)
         df = df.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= cap).drop("_n")
+    if not by:
+        df = df.orderBy(*order).limit(k)  # k rows to number
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     return df.withColumn("place", F.row_number().over(part.orderBy(*order))).where(F.col("place") <= k)
 

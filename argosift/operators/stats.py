@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from argosift.operators.ordering import average_ranks
+
 
 def average_rank(order: Column, *by: str, name: str = "rank") -> Column:
-    """Rank from 1 in ascending order; equal values share the mean of their ranks."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rank = F.rank().over(w.orderBy(order))
-    return (rank + (F.count("*").over(w.partitionBy(*by, order) if by else Window.partitionBy(order)) - 1) / 2).alias(name)
+    """Rank from 1 within groups, ascending; equal values share the mean of their ranks. For a whole table: ``ordering.average_ranks``."""
+    w = Window.partitionBy(*by)
+    return (F.rank().over(w.orderBy(order)) + (F.count("*").over(w.partitionBy(*by, order)) - 1) / 2).alias(name)
+
+
+def _ranked(df: DataFrame, x: str, by: tuple[str, ...], name: str) -> DataFrame:
+    return df.withColumn(name, average_rank(F.col(x), *by)) if by else average_ranks(df, x, name)
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str, least: int = 3) -> DataFrame:
     """``(*by, n, rho)``: Pearson correlation of average ranks; null below ``least`` rows or for constants. Rows with nulls are left out."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.select(*by, average_rank(F.col(x), *by, name="rx"), average_rank(F.col(y), *by, name="ry"))
+    ranked = _ranked(_ranked(rows.select(*by, F.col(x).alias("x"), F.col(y).alias("y")), "x", by, "rx"), "y", by, "ry")
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("r"))
     return out.select(*by, "n", F.round(F.when((F.col("n") >= least) & ~F.isnan("r"), F.col("r")), 6).alias("rho"))
 
@@ -49,7 +54,7 @@ def cohen_kappa(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
 def auc(df: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
     """``(*by, n_pos, n_neg, auc)``: Mann-Whitney from average ranks, without pairs; null if a side is empty."""
     rows = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
-    ranked = rows.select(*by, F.col(positive).alias("p"), average_rank(F.col(score), *by, name="r"))
+    ranked = _ranked(rows.select(*by, F.col(positive).alias("p"), F.col(score).alias("s")), "s", by, "r")
     out = ranked.groupBy(*by).agg(F.count_if("p").alias("n_pos"), F.count_if(~F.col("p")).alias("n_neg"), F.sum(F.when(F.col("p"), F.col("r"))).alias("s"))
     u = F.col("s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
     return out.select(*by, "n_pos", "n_neg", F.round(F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), u / (F.col("n_pos") * F.col("n_neg"))), 6).alias("auc"))
@@ -59,8 +64,8 @@ def icc1(df: DataFrame, unit: str, order: str, value: str, *by: str) -> DataFram
     """``(*by, n_units, k, icc)``: one-way; units of one rating are dropped, all others cut to the smallest number of ratings."""
     w = Window.partitionBy(*by, unit)
     rows = df.where(F.col(value).isNotNull()).select(*by, unit, F.col(value).cast("double").alias("v"), F.count("*").over(w).alias("m"), F.row_number().over(w.orderBy(order)).alias("i")).where("m >= 2")
-    k = F.min("m").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    cut = rows.withColumn("k", k).where("i <= k")
+    least = rows.groupBy(*by).agg(F.min("m").alias("k"))
+    cut = (rows.join(least, list(by)) if by else rows.crossJoin(F.broadcast(least))).where("i <= k")  # one row a group
     per = cut.groupBy(*by, unit).agg(F.avg("v").alias("mean"), F.sum(F.col("v") * F.col("v")).alias("sq"), F.max("k").alias("k"))
     out = per.groupBy(*by).agg(F.count("*").alias("n_units"), F.max("k").alias("k"), F.var_samp("mean").alias("vm"), F.sum(F.col("sq") - F.col("k") * F.col("mean") * F.col("mean")).alias("within"))
     msb = F.col("k") * F.col("vm")
@@ -89,7 +94,7 @@ def sign_test(df: DataFrame, diff: str, *by: str) -> DataFrame:
 
 
 def holm(df: DataFrame, p: str, key: str, *by: str) -> DataFrame:
-    """All rows with ``p_adjusted``: running maximum of (m - rank + 1) p, at most 1; equal p by ``key``."""
+    """All rows with ``p_adjusted``: running maximum of (m - rank + 1) p, at most 1; equal p by ``key``. A family of tests is small."""
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     w = part.orderBy(p, key)
     m = F.count("*").over(part)

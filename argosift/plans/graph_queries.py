@@ -58,12 +58,12 @@ def kg_anchor_match(spark, sf):
     return hits.groupBy("phrase").agg(F.count_distinct("l_orderkey").alias("n_docs")).orderBy("n_docs", F.length("phrase").desc(), "phrase").limit(6)
 
 
-@query(f"""WITH {_MENTIONS}, {_ANCHORS} SELECT entity, 'Entity '||entity||' is mentioned in '||count(DISTINCT doi)||' records up to '||max(year)||'.' AS fact, make_date(CAST(max(year) AS INT),12,31) AS fact_date FROM m SEMI JOIN a USING (entity) WHERE year<1997 GROUP BY entity""")
+@query(f"""WITH {_MENTIONS}, {_ANCHORS} SELECT entity, 'Entity '||entity||' is mentioned in '||count(DISTINCT doi)||' records up to '||max(year)||'.' AS fact, make_date(CAST(max(year) AS INT),12,31)::VARCHAR AS fact_date FROM m SEMI JOIN a USING (entity) WHERE year<1997 GROUP BY entity""")
 def kg_facts(spark, sf):
     """Mentions as dated records."""
     m = _mentions(spark, sf).where("year < 1997").join(_anchors(spark, sf), "entity", "left_semi")
     g = m.groupBy("entity").agg(F.count_distinct("doi").alias("n"), F.max("year").alias("y"))
-    return g.select("entity", F.format_string("Entity %d is mentioned in %d records up to %d.", "entity", "n", "y").alias("fact"), F.make_date("y", F.lit(12), F.lit(31)).alias("fact_date"))
+    return g.select("entity", F.format_string("Entity %d is mentioned in %d records up to %d.", "entity", "n", "y").alias("fact"), F.make_date("y", F.lit(12), F.lit(31)).cast("string").alias("fact_date"))
 
 
 def _edges(spark, sf):

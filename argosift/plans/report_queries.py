@@ -54,11 +54,11 @@ def argmax_within(spark, sf):
     return best.select("l_suppkey", "m.l_orderkey", "m.l_linenumber")
 
 
-@query("""WITH x AS (SELECT l_suppkey AS k, avg(l_quantity) AS a FROM lineitem WHERE year(l_shipdate)=1994 GROUP BY 1), y AS (SELECT l_suppkey AS k, avg(l_quantity) AS b FROM lineitem WHERE year(l_shipdate)=1995 GROUP BY 1)
+@query("""WITH x AS (SELECT l_suppkey AS k, avg(l_quantity) AS a FROM lineitem WHERE year(l_shipdate)=1997 GROUP BY 1), y AS (SELECT l_suppkey AS k, avg(l_quantity) AS b FROM lineitem WHERE year(l_shipdate)=1998 GROUP BY 1)
 SELECT k AS l_suppkey, round(a,6) AS a, round(b,6) AS b, round(b-a,6) AS diff FROM x JOIN y USING (k)""")
 def paired_scores(spark, sf):
     side = lambda y, c: _li(spark, sf).where(F.year("l_shipdate") == y).groupBy("l_suppkey").agg(F.avg("l_quantity").alias(c))
-    return side(1994, "a").join(side(1995, "b"), "l_suppkey").select("l_suppkey", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("b") - F.col("a"), 6).alias("diff"))
+    return side(1997, "a").join(side(1998, "b"), "l_suppkey").select("l_suppkey", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("b") - F.col("a"), 6).alias("diff"))
 
 
 @query("""SELECT l_suppkey, round(avg(l_quantity) FILTER (l_returnflag='A'),6) AS a, round(avg(l_quantity) FILTER (l_returnflag='N'),6) AS n, round(avg(l_quantity) FILTER (l_returnflag='R'),6) AS r FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag)=3""")
@@ -186,22 +186,22 @@ def key_clusters(spark, sf):
     return g.select(F.substring(F.sha2("k", 256), 1, 12).alias("cluster"), "n", "canonical", "several")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE year(l_shipdate)=1993 AND l_quantity>45), b AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE year(l_shipdate)=1996 AND l_quantity>45)
+@query("""WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE year(l_shipdate)=1997 AND l_quantity>45), b AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE year(l_shipdate)=1998 AND l_quantity>45)
 SELECT 'both' AS part, count(*) AS n FROM a SEMI JOIN b USING (k) UNION ALL SELECT 'only_first', count(*) FROM a ANTI JOIN b USING (k) UNION ALL SELECT 'only_second', count(*) FROM b ANTI JOIN a USING (k)""")
 def set_operations(spark, sf):
     """Intersection and both differences of two id sets, in one pass over a full view of both."""
-    li = _li(spark, sf).where("l_quantity > 45 and year(l_shipdate) in (1993, 1996)")
-    g = li.groupBy("l_suppkey").agg(F.max((F.year("l_shipdate") == 1993).cast("int")).alias("a"), F.max((F.year("l_shipdate") == 1996).cast("int")).alias("b"))
+    li = _li(spark, sf).where("l_quantity > 45 and year(l_shipdate) in (1997, 1998)")
+    g = li.groupBy("l_suppkey").agg(F.max((F.year("l_shipdate") == 1997).cast("int")).alias("a"), F.max((F.year("l_shipdate") == 1998).cast("int")).alias("b"))
     n = g.agg(F.sum((F.col("a") * F.col("b")).cast("long")).alias("both"), F.sum((F.col("a") * (1 - F.col("b"))).cast("long")).alias("only_first"), F.sum((F.col("b") * (1 - F.col("a"))).cast("long")).alias("only_second"))
     return n.select(F.explode(F.map_from_arrays(F.array(*(F.lit(c) for c in ("both", "only_first", "only_second"))), F.array(*(F.coalesce(c, F.lit(0)) for c in ("both", "only_first", "only_second"))))).alias("part", "n"))
 
 
-@query("""SELECT l_orderkey, round(sum(l_quantity*l_discount)/sum(l_quantity),6) AS weighted, round(sum(l_quantity)/sum(l_quantity/(1+l_discount)),6) AS harmonic, CASE WHEN sum(l_quantity*l_discount)/sum(l_quantity)<0.04 THEN 'BCC' WHEN sum(l_quantity*l_discount)/sum(l_quantity)>=0.06 THEN 'FCC' ELSE 'mixed' END AS phase FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey, round(sum(l_quantity*l_discount)/sum(l_quantity),9) AS weighted, round(sum(l_quantity)/sum(l_quantity/(1+l_discount)),9) AS harmonic, CASE WHEN round(sum(l_quantity*l_discount)/sum(l_quantity),9)<0.04 THEN 'BCC' WHEN round(sum(l_quantity*l_discount)/sum(l_quantity),9)>=0.06 THEN 'FCC' ELSE 'mixed' END AS phase FROM lineitem GROUP BY 1""")
 def mixture_rules(spark, sf):
     """Weighted and harmonic means of a composition, and a threshold rule on them."""
-    w = F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity")
+    w = F.round(F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity"), 9)
     return _li(spark, sf).groupBy("l_orderkey").agg(
-        F.round(w, 6).alias("weighted"), F.round(F.sum("l_quantity") / F.sum(F.col("l_quantity") / (1 + F.col("l_discount"))), 6).alias("harmonic"), F.when(w < 0.04, "BCC").when(w >= 0.06, "FCC").otherwise("mixed").alias("phase")
+        w.alias("weighted"), F.round(F.sum("l_quantity") / F.sum(F.col("l_quantity") / (1 + F.col("l_discount"))), 9).alias("harmonic"), F.when(w < 0.04, "BCC").when(w >= 0.06, "FCC").otherwise("mixed").alias("phase")
     )
 
 
@@ -225,11 +225,11 @@ def exact_text_dedup(spark, sf):
     return first.select("f.paper_id", "f.record_id")
 
 
-@query("""SELECT lower(trim(kind)) AS kind, count(*) AS n, count(DISTINCT paper_id) AS papers, min(publication_date) AS oldest, max(publication_date) AS newest, round(avg(length(text)),4) AS mean_chars, median(length(text)) AS median_chars FROM (SELECT DISTINCT record_id, paper_id, kind, publication_date, text FROM retrieval_records) GROUP BY 1""")
+@query("""SELECT lower(trim(kind)) AS kind, count(*) AS n, count(DISTINCT paper_id) AS papers, min(publication_date)::VARCHAR AS oldest, max(publication_date)::VARCHAR AS newest, round(avg(length(text)),4) AS mean_chars, median(length(text)) AS median_chars FROM (SELECT DISTINCT record_id, paper_id, kind, publication_date, text FROM retrieval_records) GROUP BY 1""")
 def corpus_summary(spark, sf):
     r = table(spark, sf, "retrieval_records").select("record_id", "paper_id", "kind", "publication_date", "text").distinct()
     return r.groupBy(F.lower(F.trim("kind")).alias("kind")).agg(
-        F.count("*").alias("n"), F.count_distinct("paper_id").alias("papers"), F.min("publication_date").alias("oldest"), F.max("publication_date").alias("newest"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"), F.percentile(F.length("text"), F.lit(0.5)).alias("median_chars")
+        F.count("*").alias("n"), F.count_distinct("paper_id").alias("papers"), F.min("publication_date").cast("string").alias("oldest"), F.max("publication_date").cast("string").alias("newest"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"), F.percentile(F.length("text"), F.lit(0.5)).alias("median_chars")
     )
 
 

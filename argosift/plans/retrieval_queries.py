@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from argosift.functions import text as X
 from argosift.operators import retrieve as R
 from argosift.operators import similarity as M
+from argosift.operators.ordering import numbered
 from argosift.plans.base import query
 from argosift.plans.text_queries import TOKENS
 from argosift.runtime import cut, table
@@ -133,7 +134,7 @@ def evenly_spaced(spark, sf):
 def fixed_batches(spark, sf):
     """Batches of 40 in key order; numbered by sorted range, not in one task."""
     d = table(spark, sf, "documents").select("doc_id")
-    return d.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")) - 1) / 40))
+    return numbered(d, ["doc_id"]).select("doc_id", F.floor(F.col("number") / 40).alias("batch"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, CASE WHEN l_returnflag=lag(l_returnflag) OVER w THEN 0 ELSE 1 END AS ch FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey)),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from argosift.operators import stats as S
+from argosift.operators.ordering import average_ranks
 from argosift.plans.base import query
 from argosift.runtime import table
 
@@ -14,7 +15,7 @@ def _li(spark, sf):
 @query("SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice)-1)/2.0 AS rank FROM (SELECT o_orderkey, round(o_totalprice/1000) AS o_totalprice FROM orders)")
 def avg_ranks(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 1000).alias("p"))
-    return o.select("o_orderkey", S.average_rank(F.col("p")))
+    return average_ranks(o, "p").select("o_orderkey", "rank")
 
 
 _RANKED = """r AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x)+(count(*) OVER (PARTITION BY g,x)-1)/2.0 AS rx,
@@ -64,12 +65,12 @@ def icc_oneway(spark, sf):
     return S.icc1(_li(spark, sf), "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_quantity", "l_returnflag")
 
 
-_DIFFS = """x AS (SELECT l_suppkey, avg(CASE WHEN year(l_shipdate)=1995 THEN l_quantity END) - avg(CASE WHEN year(l_shipdate)=1994 THEN l_quantity END) AS diff FROM lineitem GROUP BY 1)"""
+_DIFFS = """x AS (SELECT l_suppkey, avg(CASE WHEN year(l_shipdate)=1998 THEN l_quantity END) - avg(CASE WHEN year(l_shipdate)=1997 THEN l_quantity END) AS diff FROM lineitem GROUP BY 1)"""
 
 
 def _diffs(spark, sf):
     li = _li(spark, sf).withColumn("arm", F.year("l_shipdate").cast("string"))
-    return S.paired_differences(li, "l_suppkey", "arm", "l_quantity", "1995", "1994")
+    return S.paired_differences(li, "l_suppkey", "arm", "l_quantity", "1998", "1997")
 
 
 @query(f"""WITH {_DIFFS}, c AS (SELECT count(*) FILTER (diff>0) AS up, count(*) FILTER (diff<0) AS down FROM x WHERE diff IS NOT NULL)

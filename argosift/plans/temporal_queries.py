@@ -18,11 +18,11 @@ _WORKS = "w AS (SELECT o_orderkey AS id, o_orderdate::DATE AS date, CASE WHEN o_
 
 
 @query(f"""WITH {_WORKS}, c AS (SELECT id, date AS cutoff, family FROM w WHERE id%500=0)
-SELECT c.id AS case_id, count(*) AS n_eligible, max(w.date) AS newest FROM c JOIN w ON w.id<>c.id AND w.date<c.cutoff AND NOT (coalesce(c.family,'')<>'' AND coalesce(w.family,'')=c.family) GROUP BY c.id""")
+SELECT c.id AS case_id, count(*) AS n_eligible, max(w.date)::VARCHAR AS newest FROM c JOIN w ON w.id<>c.id AND w.date<c.cutoff AND NOT (coalesce(c.family,'')<>'' AND coalesce(w.family,'')=c.family) GROUP BY c.id""")
 def eligible_records(spark, sf):
     """Records before each case's date, not the case itself and not of its family; counted from ordered days, not from pairs."""
     w = _works(spark, sf)
-    return P.eligible_counts(w.where("id % 500 = 0"), w)
+    return P.eligible_counts(w.where("id % 500 = 0"), w).withColumn("newest", F.col("newest").cast("string"))
 
 
 @query("SELECT CASE WHEN o_orderdate IS NULL THEN 'excluded_missing_date' WHEN year(o_orderdate)<=1995 THEN 'train' WHEN year(o_orderdate)=1997 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY 1")
@@ -31,14 +31,14 @@ def chrono_split(spark, sf):
 
 
 @query("""SELECT doc_id, CASE WHEN publication_date IS NULL THEN 'unknown' WHEN publication_date<=DATE '2015-06-30' THEN 'eligible' ELSE 'ineligible' END AS status,
- CASE WHEN coalesce(publication_date, ingested_at::DATE) IS NULL THEN NULL ELSE least(coalesce(publication_date,ingested_at::DATE), coalesce(ingested_at::DATE,publication_date)) END AS earliest,
+ CASE WHEN coalesce(publication_date, ingested_at::DATE) IS NULL THEN NULL ELSE least(coalesce(publication_date,ingested_at::DATE), coalesce(ingested_at::DATE,publication_date))::VARCHAR END AS earliest,
  CASE WHEN publication_date IS NULL AND ingested_at IS NULL THEN NULL WHEN ingested_at IS NULL OR publication_date<=ingested_at::DATE THEN 'publication' ELSE 'ingested' END AS earliest_source FROM documents""")
 def cutoff_status(spark, sf):
     """Eligibility at a cutoff with an explicit unknown, and the earliest date with its source."""
     pub, got = F.col("publication_date"), F.to_date("ingested_at")
     status = F.when(pub.isNull(), "unknown").when(pub <= F.lit("2015-06-30").cast("date"), "eligible").otherwise("ineligible")
     source = F.when(pub.isNull() & got.isNull(), None).when(got.isNull() | (pub <= got), "publication").otherwise("ingested")
-    return table(spark, sf, "documents").select("doc_id", status.alias("status"), F.least(pub, got).alias("earliest"), source.alias("earliest_source"))
+    return table(spark, sf, "documents").select("doc_id", status.alias("status"), F.least(pub, got).cast("string").alias("earliest"), source.alias("earliest_source"))
 
 
 @query("SELECT doc_id, coalesce(paper_id, 'doc:'||doc_id) AS family, CASE WHEN paper_id IS NOT NULL THEN 'paper' ELSE 'fallback' END AS basis FROM documents")
@@ -85,14 +85,14 @@ def problem_lists(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.filter(F.array(*rules), lambda x: x.isNotNull()), "|").alias("problems"))
 
 
-@query("""SELECT o_orderkey, o_orderdate::DATE - 1 AS day_before, last_day(o_orderdate::DATE) AS month_end, make_date(year(o_orderdate),12,31) AS year_end,
- date_diff('day', o_orderdate::DATE, DATE '1999-01-01') AS gap, make_date(year(o_orderdate::DATE - INTERVAL 1 MONTH), month(o_orderdate::DATE - INTERVAL 1 MONTH), least(day(o_orderdate),28)) AS month_back FROM orders""")
+@query("""SELECT o_orderkey, (o_orderdate::DATE - 1)::DATE::VARCHAR AS day_before, last_day(o_orderdate::DATE)::DATE::VARCHAR AS month_end, make_date(year(o_orderdate),12,31)::VARCHAR AS year_end,
+ date_diff('day', o_orderdate::DATE, DATE '1999-01-01') AS gap, make_date(year(o_orderdate::DATE - INTERVAL 1 MONTH), month(o_orderdate::DATE - INTERVAL 1 MONTH), least(day(o_orderdate),28))::VARCHAR AS month_back FROM orders""")
 def date_helpers(spark, sf):
     d = F.to_date("o_orderdate")
     back = F.add_months(d, -1)
     return table(spark, sf, "orders").select(
-        "o_orderkey", F.date_sub(d, 1).alias("day_before"), F.last_day(d).alias("month_end"), F.make_date(F.year(d), F.lit(12), F.lit(31)).alias("year_end"),
-        F.datediff(F.lit("1999-01-01").cast("date"), d).cast("long").alias("gap"), F.make_date(F.year(back), F.month(back), F.least(F.day(d), F.lit(28))).alias("month_back"),
+        "o_orderkey", F.date_sub(d, 1).cast("string").alias("day_before"), F.last_day(d).cast("string").alias("month_end"), F.make_date(F.year(d), F.lit(12), F.lit(31)).cast("string").alias("year_end"),
+        F.datediff(F.lit("1999-01-01").cast("date"), d).cast("long").alias("gap"), F.make_date(F.year(back), F.month(back), F.least(F.day(d), F.lit(28))).cast("string").alias("month_back"),
     )
 
 
