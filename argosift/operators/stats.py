@@ -18,12 +18,18 @@ def _ranked(df: DataFrame, x: str, by: tuple[str, ...], name: str) -> DataFrame:
     return df.withColumn(name, average_rank(F.col(x), *by)) if by else average_ranks(df, x, name)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation as an aggregate; null for constants."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 1e-12, F.covar_pop(x, y) / spread)
+
+
 def spearman(df: DataFrame, x: str, y: str, *by: str, least: int = 3) -> DataFrame:
     """``(*by, n, rho)``: Pearson correlation of average ranks; null below ``least`` rows or for constants. Rows with nulls are left out."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = _ranked(_ranked(rows.select(*by, F.col(x).alias("x"), F.col(y).alias("y")), "x", by, "rx"), "y", by, "ry")
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("r"))
-    return out.select(*by, "n", F.round(F.when((F.col("n") >= least) & ~F.isnan("r"), F.col("r")), 6).alias("rho"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("rx", "ry").alias("r"))
+    return out.select(*by, "n", F.round(F.when(F.col("n") >= least, F.col("r")), 6).alias("rho"))
 
 
 def kendall_tau_a(df: DataFrame, key: str, x: str, y: str, *by: str) -> DataFrame:
@@ -140,11 +146,11 @@ def permutation_trend(df: DataFrame, cluster: str, dose: str, value: str, permut
     cells = df.groupBy(cluster, F.col(dose).alias("dose")).agg(F.avg(value).alias("v"))
     w = Window.partitionBy(cluster)
     ranked = cells.select(cluster, average_rank(F.col("v"), cluster, name="rv"), F.row_number().over(w.orderBy("dose")).alias("rd"), F.count("*").over(w).alias("m")).where("m >= 3")
-    observed = ranked.groupBy(cluster).agg(F.corr("rv", "rd").alias("r")).agg(F.count("*").alias("n_clusters"), F.avg(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias("rho"))
+    observed = ranked.groupBy(cluster).agg(correlation("rv", "rd").alias("r")).agg(F.count("*").alias("n_clusters"), F.avg(F.coalesce("r", F.lit(0.0))).alias("rho"))
     reps = df.sparkSession.range(permutations).select(F.col("id").alias("rep"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col(cluster).cast("string"), F.col("rd").cast("string")))
     shuffled = ranked.crossJoin(F.broadcast(reps)).withColumn("ps", F.row_number().over(Window.partitionBy("rep", cluster).orderBy(key)))
-    null = shuffled.groupBy("rep", cluster).agg(F.corr("rv", "ps").alias("r")).groupBy("rep").agg(F.avg(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0))).alias("rho0"))
+    null = shuffled.groupBy("rep", cluster).agg(correlation("rv", "ps").alias("r")).groupBy("rep").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("rho0"))
     return observed.crossJoin(null).groupBy("n_clusters", "rho").agg(F.count_if(F.col("rho0") >= F.col("rho") - 1e-12).alias("x")).select(
         "n_clusters", F.round("rho", 6).alias("rho"), F.round((F.col("x") + 1) / F.lit(permutations + 1), 6).alias("p")
     )
