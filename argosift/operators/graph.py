@@ -8,27 +8,24 @@ from pyspark.sql import functions as F
 from argosift.runtime import cut
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, checkpoint_every: int = 10) -> DataFrame:
-    """``(id, rank)``: power iteration; the mass of nodes without links is spread evenly. Repeated edges count once; ranks sum to 1."""
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100) -> DataFrame:
+    """``(id, rank)``: power iteration; the mass of nodes without links is spread evenly. Repeated edges count once; ranks sum to 1.
+
+    A round reads the ranks of the round before from the checkpoint folder, once for its join and once for the loose mass: a plan that
+    held several rounds would double with each.
+    """
     links = cut(edges.select("src", "dst").distinct())
-    nodes = cut(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct())
-    n = nodes.count()
-    if not n:
-        return nodes.withColumn("rank", F.lit(0.0))
+    nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     degree = links.groupBy("src").agg(F.count("*").alias("deg"))
     weighted = cut(links.join(degree, "src"))
-    has_links = degree.select(F.col("src").alias("id"), F.lit(True).alias("links"))
-    nodes = cut(nodes.join(has_links, "id", "left"))
-    ranks = nodes.select("id", "links", F.lit(1.0 / n).alias("rank"))
-    for turn in range(rounds):
+    nodes = cut(nodes.join(degree.select(F.col("src").alias("id"), F.lit(True).alias("links")), "id", "left"))
+    n = nodes.count()
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    for _ in range(rounds if n else 0):
+        loose = ranks.where("links is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         given = weighted.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("links").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        ranks = (
-            nodes.join(given, "id", "left").crossJoin(F.broadcast(loose))  # one row
-            .select("id", "links", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
-        )
-        if turn % checkpoint_every == checkpoint_every - 1:
-            ranks = cut(ranks)
+        share = (1 - damping) / n + damping * loose / n
+        ranks = cut(nodes.join(given, "id", "left").select("id", "links", (F.lit(share) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
     return ranks.select("id", "rank")
 
 
