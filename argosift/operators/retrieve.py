@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argosift.functions.text import tokens
+from argosift.runtime import cut, widen
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,8 +46,8 @@ def bm25_best(
 ) -> DataFrame:
     """``(item_key, doc_key, score, place)``: the k best documents an item by :func:`bm25`, at most ``cap`` with the same ``cap_by``.
 
-    The same scores without a row a pair: documents come as vectors over the items' tokens, and a batch of them is multiplied with the
-    matrix of the items. Only the best rows of a batch leave it; the exact ranking is made from these. Items go to the scan in blocks
+    The same scores without a row a pair: one pass over the texts counts the items' tokens in each, without a shuffle; the counts are
+    written, and a batch of them is multiplied with the matrix of the items. Only the best rows of a batch leave it; the exact ranking is made from these. Items go to the scan in blocks
     of ``block``; scores are multiplied by the column ``factor`` if one is named. Ties: the smaller document key.
     """
     import numpy as np
@@ -51,25 +55,31 @@ def bm25_best(
 
     asked = items.where(F.col("text").isNotNull()).select(F.col(item_key).alias("i"), F.array_sort(F.array_distinct(tokens("text"))).alias("ts")).distinct()
     group = F.col(cap_by).cast("string") if cap_by else F.lit("")
-    texts = docs.where(F.col("text").isNotNull()).select(
-        F.col(doc_key).alias("d"), F.coalesce(group, F.lit("")).alias("g"), (F.col(factor) if factor else F.lit(1.0)).alias("f"), tokens("text").alias("ts")
-    ).withColumn("dl", F.size("ts"))
-    n, mean = texts.agg(F.count("*"), F.avg("dl")).first()
+    texts = widen(docs.where(F.col("text").isNotNull()).select(F.col(doc_key).alias("d"), F.coalesce(group, F.lit("")).alias("g"), (F.col(factor) if factor else F.lit(1.0)).alias("f"), F.col("text").alias("t")))
     key_type, item_type = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
+    token = re.compile("[a-z0-9]+")
 
     def search(part) -> DataFrame:
         vocabulary = sorted({t for r in part for t in r["ts"]})
-        code = docs.sparkSession.createDataFrame([(t, j) for j, t in enumerate(vocabulary)], "token string, j int")
-        counts = (
-            texts.repartition("d").select("d", "g", "f", "dl", F.explode("ts").alias("token"))
-            .join(F.broadcast(code), "token")  # tokens of at most ``block`` items
-            .groupBy("d", "g", "f", "dl", "j").agg(F.count("*").alias("tf"))
-        )
+        at = {t: j for j, t in enumerate(vocabulary)}
+
+        def count(batches):
+            for pdf in batches:
+                sizes, js, tfs = [], [], []
+                for text in pdf["t"]:
+                    found = [w for w in token.findall(text.lower().replace("ß", "ss")) if len(w) > 2]
+                    seen = Counter(at[w] for w in found if w in at)
+                    sizes.append(len(found))
+                    js.append(list(seen))
+                    tfs.append(list(seen.values()))
+                yield pd.DataFrame({"d": pdf["d"], "g": pdf["g"], "f": pdf["f"], "dl": sizes, "js": js, "tfs": tfs})
+
+        vectors = cut(texts.mapInPandas(count, f"d {key_type}, g string, f double, dl int, js array<int>, tfs array<int>"))
+        n, mean = vectors.agg(F.count("*"), F.avg("dl")).first()
         df = np.zeros(len(vocabulary))
-        for r in counts.groupBy("j").agg(F.count("*").alias("df")).collect():  # one row a token of the items
+        for r in vectors.select(F.explode("js").alias("j")).groupBy("j").agg(F.count("*").alias("df")).collect():  # one row a token of the items
             df[r["j"]] = r["df"]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        at = {t: j for j, t in enumerate(vocabulary)}
         matrix = np.zeros((len(vocabulary), len(part)))
         for q, r in enumerate(part):
             matrix[[at[t] for t in r["ts"]], q] = idf[[at[t] for t in r["ts"]]]
@@ -95,7 +105,7 @@ def bm25_best(
                         out = pd.DataFrame({"i": np.broadcast_to(names, chosen.shape).ravel(), "d": keys[chosen].ravel(), "g": g, "score": best.ravel()})
                         yield out[out["score"] > 0]
 
-        vectors = counts.groupBy("d", "g", "f", "dl").agg(F.collect_list("j").alias("js"), F.collect_list("tf").alias("tfs"))
+        vectors = vectors.where(F.size("js") > 0)
         return vectors.mapInPandas(run, f"i {item_type}, d {key_type}, g string, score double")
 
     found, part = None, []

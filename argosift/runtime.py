@@ -57,6 +57,12 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(n, *columns) if columns else df.repartition(n)
 
 
+def widen(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread a table that has fewer partitions than the session has cores; a larger one stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
+
+
 def total_order_text(column: str):
     """Text of any column for use as a deterministic tie-break (null first)."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
