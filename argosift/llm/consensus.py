@@ -215,7 +215,7 @@ def minimax_consensus(
                 new.sigma = m.sigma + np.clip(step, -1, 1)
                 new.sigma = new.sigma - _log_sum_exp(new.sigma)
                 moved = max(moved, float(np.abs(new.sigma - m.sigma).max()) if seen.sum() else 0.0)
-            mass = seen.sum(axis=(0, 2)) / max(1.0, seen.sum()) * max(1.0, seen.sum()) + 1.0
+            mass = seen.sum(axis=(0, 2)) + 1.0
             new.prior = mass / mass.sum()
             fresh[field] = new
         models = fresh
