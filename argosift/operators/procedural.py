@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from argosift.runtime import cut
+
 _ABBREVIATION = re.compile(r"(?:\bet al|\bFigs?|\be\.g|\bi\.e|\bcf|\bRefs?|\bvs|\bEqs?)\.$")
 
 
@@ -83,36 +85,79 @@ def map_texts(df: DataFrame, key: str, text: str, run: Callable[[str], list], sc
     return rows.mapInPandas(work, f"k {dict(df.dtypes)[key]}, pos int, {schema}").withColumnRenamed("k", key)
 
 
-def fuzzy_ratio(span: str, source: str, margin: float = 0.3) -> float:
-    """Best sequence-matcher ratio of the span against windows of the source around its longest word."""
+def longest_word(span: str) -> str:
+    """The word whose places in a source are tried; empty if the span has none."""
+    return max(re.findall(r"\w+", span or "") or [""], key=len)
+
+
+def _reachable(span: str, window: str) -> float:
+    """The most that ``fuzzy_ratio`` can give for a window: blocks of three or more consist of places whose three characters occur in it."""
+    end = covered = 0
+    for i in range(len(span) - 2):
+        if span[i : i + 3] in window:
+            covered += i + 3 - max(end, i)
+            end = i + 3
+    return covered / len(span)
+
+
+def fuzzy_ratio(span: str, source: str, margin: float = 0.3, least: float = 0.0) -> float:
+    """Best sequence-matcher ratio of the span against windows of the source around all places of its longest word.
+
+    Windows that cannot give more than ``least`` are not matched; a result of ``least`` or below then means no more than that.
+    """
     if not span or not source:
         return 0.0
     if span in source:
         return 1.0
-    word = max(re.findall(r"\w+", span) or [""], key=len)
+    word = longest_word(span)
     best, at = 0.0, source.find(word) if word else -1
     offset = span.find(word)
     pad = int(len(span) * margin) + 1
-    tries = 0
-    while at >= 0 and tries < 200:
+    while at >= 0:
         low = max(0, at - offset - pad)
         window = source[low : at - offset + len(span) + pad]
-        matcher = difflib.SequenceMatcher(None, span, window, autojunk=False)
-        covered = sum(b.size for b in matcher.get_matching_blocks() if b.size >= 3)
-        best = max(best, covered / len(span))
+        if _reachable(span, window) > max(best, least):
+            matcher = difflib.SequenceMatcher(None, span, window, autojunk=False)
+            covered = sum(b.size for b in matcher.get_matching_blocks() if b.size >= 3)
+            best = max(best, covered / len(span))
         at = source.find(word, at + 1)
-        tries += 1
     return best
 
 
-def fuzzy_grounding(pairs: DataFrame, span: str, source: str) -> DataFrame:
-    """All rows with ``ratio``: how much of the span stands in the source, in blocks of three characters or more."""
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([fuzzy_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+def fuzzy_grounding(units: DataFrame, records: DataFrame, parts: int = 16) -> DataFrame:
+    """``(unit_id, span, ratio)``: how much of a unit's span stands in the best record of its paper, in blocks of three characters or more.
 
-    return pairs.withColumn("ratio", F.round(ratio(span, source), 6))
+    1 for a span that a record holds, 0 for one without any likeness or without characters, null where the paper has no text. Only what no
+    record holds goes to the matcher, and only with records that have its longest word. Records are salted within their paper.
+    """
+    spans = units.select("unit_id", "paper_id", F.explode("evidence_spans").alias("span")).distinct()
+    texts = records.where("text is not null").select("paper_id", "text").distinct().withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
+    asked = spans.where("length(span) > 0").select("paper_id", "span").distinct()
+    every = F.explode(F.array(*(F.lit(i).cast("long") for i in range(parts)))).alias("part")
+    exact = asked.select("*", every).join(texts, ["paper_id", "part"]).where(F.col("text").contains(F.col("span"))).select("paper_id", "span").distinct()
+    exact = cut(exact)
+
+    @F.pandas_udf("string")
+    def word(a: pd.Series) -> pd.Series:
+        return a.map(longest_word)
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            best: dict[tuple[str, str], float] = {}
+            for p, s, t in zip(pdf["paper_id"], pdf["span"], pdf["text"], strict=True):
+                got = best.get((p, s), 0.0)
+                best[p, s] = max(got, fuzzy_ratio(s, t, least=got))
+            yield pd.DataFrame([(p, s, r) for (p, s), r in best.items()], columns=["paper_id", "span", "ratio"])
+
+    rest = asked.join(exact, ["paper_id", "span"], "left_anti").withColumn("word", word("span")).where("word <> ''")
+    near = rest.select("*", every).join(texts, ["paper_id", "part"]).where(F.col("text").contains(F.col("word"))).select("paper_id", "span", "text")
+    kind = dict(spans.dtypes)["paper_id"]
+    rated = near.mapInPandas(match, f"paper_id {kind}, span string, ratio double").unionByName(exact.withColumn("ratio", F.lit(1.0)))
+    rated = rated.groupBy("paper_id", "span").agg(F.max("ratio").alias("ratio"))
+    known = texts.select("paper_id").distinct().withColumn("known", F.lit(True))
+    out = spans.join(rated, ["paper_id", "span"], "left").join(known, "paper_id", "left")
+    ratio = F.when(F.col("known"), F.coalesce("ratio", F.lit(0.0)))
+    return out.groupBy("unit_id", "span").agg(F.round(F.max(ratio), 6).alias("ratio"))
 
 
 def verify_quote(quote: str, text: str) -> str:

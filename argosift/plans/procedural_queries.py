@@ -27,11 +27,8 @@ def sentence_split(spark, sf):
 
 @query()
 def fuzzy_grounding(spark, sf):
-    """Best ratio of every unit's spans over the records that share its paper and day of ingestion."""
-    u = table(spark, sf, "evidence_units").where("unit_id is not null").select("unit_id", "paper_id", F.to_date("ingested_at").alias("day"), F.explode("evidence_spans").alias("span")).distinct()
-    r = table(spark, sf, "retrieval_records").where("text is not null").select("paper_id", F.to_date("ingested_at").alias("day"), "text").distinct()
-    rated = P.fuzzy_grounding(u.join(r, ["paper_id", "day"]), "span", "text")
-    return rated.groupBy("unit_id", "span").agg(F.max("ratio").alias("ratio"))
+    """Best ratio of every unit's spans over all records of its paper."""
+    return P.fuzzy_grounding(table(spark, sf, "evidence_units").where("unit_id is not null"), table(spark, sf, "retrieval_records"))
 
 
 @query()

@@ -202,3 +202,24 @@ def test_markup(spark):
     assert kinds == ["title", "abstract", "heading", "paragraph", "row", "reference", "reference", "reference"]
     assert [(n, r) for n, r, _ in markup.jats_citations(xml)] == [(1, "r1"), (1, "r2"), (1, "r3")]
     assert markup.jats_table(spark.createDataFrame([("p", "<bad")], "k string, x string"), "k", "x").first()["kind"] == "error"
+
+
+def test_fuzzy_grounding_takes_all_records_of_a_paper(spark):
+    text = "the grain  growth slowed down"
+    records = spark.createDataFrame([("p", text, 1), ("p", "no likeness", 2), ("q", "elsewhere", 1)], "paper_id string, text string, ingested_at int")
+    spans = ["grain  growth", "grain growth slowed", "absent", ""]
+    units = spark.createDataFrame([("u", "p", spans, 9), ("w", "none", ["absent"], 9)], "unit_id string, paper_id string, evidence_spans array<string>, ingested_at int")
+    got = {(r["unit_id"], r["span"]): r["ratio"] for r in P.fuzzy_grounding(units, records).collect()}
+    assert got == {("u", "grain  growth"): 1.0, ("u", "grain growth slowed"): round(P.fuzzy_ratio("grain growth slowed", text), 6), ("u", "absent"): 0.0, ("u", ""): 0.0, ("w", "absent"): None}
+    assert got["u", "grain growth slowed"] > 0.8
+
+
+def test_fuzzy_ratio_tries_every_place():
+    span = "the alloy hardened fast"
+    assert P.fuzzy_ratio(span, "hardened zz " * 300 + "the alloy hardened  fast") > 0.9
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choices("ab c", k=60))
+        span = "".join(rng.choices("ab c", k=12))
+        full = P.fuzzy_ratio(span, text)
+        assert P.fuzzy_ratio(span, text, least=full / 2) == full and P.fuzzy_ratio(span, text, least=full) <= full
