@@ -156,12 +156,23 @@ e AS (SELECT record_id, len(k) AS n, unnest(k) AS t FROM s), i AS (SELECT a.reco
 SELECT a, b, round(c::DOUBLE/(na+nb-c),6) AS jaccard FROM i WHERE c::DOUBLE/(na+nb-c) >= 0.8-1e-9""")
 def jaccard_edges(spark, sf):
     """Pairs of different records with keyword sets alike to 0.8 (prefix filter); equal sets are linked too."""
-    r = table(spark, sf, "retrieval_records").where("text is not null").select("record_id", "text").distinct()
-    sets = r.select("record_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{3,}"), F.lit(0))).alias("k"))
+    sets = _keyword_sets(spark, sf)
     star = cut(M.jaccard_pairs(cut(sets), "record_id", "k", 0.8))
     return _unfold(star, sets).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query()
+def keyword_edges(spark, sf):
+    """The keyword graph: links of 0.12 and more between class representatives over all records, and each equal set's link to its own."""
+    star = M.jaccard_pairs(cut(_keyword_sets(spark, sf)), "record_id", "k", 0.12)
+    return star.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def _keyword_sets(spark, sf):
+    r = table(spark, sf, "retrieval_records").where("text is not null").select("record_id", "text").distinct()
+    return r.select("record_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{3,}"), F.lit(0))).alias("k"))
+
+
 def _unfold(star, sets):
     """All links of the members of a class, for a comparison with SQL; the operator itself returns links between representatives."""
     same = star.where("jaccard = 1.0").select(F.col("a").alias("rep"), F.col("b").alias("m"))

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -56,3 +57,17 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_keyword_edges_reach_the_graph_threshold(spark):
+    r = pd.read_parquet(f"{DATA}/retrieval_records.parquet", columns=["record_id", "text"]).dropna().drop_duplicates()
+    sets = {k: frozenset(re.findall(r"[a-z][a-z\-]{3,}", t.lower())) for k, t in zip(r["record_id"], r["text"], strict=True)}
+    rep = {s: min(k for k in sets if sets[k] == s) for s in sets.values()}
+    want = {(rep[sets[k]], k): 1.0 for k in sets if rep[sets[k]] != k}
+    for s, a in rep.items():
+        for t, b in rep.items():
+            if a < b and s and len(s & t) / len(s | t) >= 0.12 - 1e-9:
+                want[a, b] = round(len(s & t) / len(s | t), 6)
+    got = QUERIES["keyword_edges"](spark, DATA).collect()
+    assert min(want.values()) < 0.2 and len(got) == len(want)
+    assert {(x["a"], x["b"]): pytest.approx(x["jaccard"], abs=1e-6) for x in got} == want
