@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from argosift.runtime import cut
+
 
 def contains_any(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, block: int = 200_000) -> DataFrame:
     """``(key, needle_key)`` for every needle a text contains. One pass of the texts for each block of needles, by an Aho-Corasick automaton.
@@ -74,6 +76,19 @@ def best_match(queries: DataFrame, sets: DataFrame, key: str, items: str) -> Dat
     return best.select("a", "m.b", F.round("m.j", 6).alias("jaccard"))
 
 
+def best_match_each(sets: DataFrame, key: str, items: str) -> DataFrame:
+    """What ``best_match`` gives with every set as a query. Equal sets are one class: with others in it the best is its largest other key;
+    only classes of one are compared with the rest, each by its largest key."""
+    rows = sets.where(F.size(items) > 0).select(F.col(key).alias("a"), F.array_sort(F.array_distinct(items)).alias("s"))
+    top = rows.groupBy("s").agg(F.max("a").alias("m1"), F.count("*").alias("n"))
+    next_top = rows.join(top, "s").where("a <> m1").groupBy("s").agg(F.max("a").alias("m2"))
+    classes = cut(top.join(next_top, "s", "left"))
+    same = rows.join(classes.where("m2 is not null"), "s").select("a", F.when(F.col("a") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")).alias("b"), F.lit(1.0).alias("jaccard"))
+    every = classes.select(F.col("m1").alias(key), F.col("s").alias(items))
+    alone = classes.where("m2 is null").select(F.col("m1").alias(key), F.col("s").alias(items))
+    return same.unionByName(best_match(alone, every, key, items))
+
+
 def resolve(references: DataFrame, targets: DataFrame, ref: str, target: str, rules: list[list[str]]) -> DataFrame:
     """``(ref, target, prio)``: the target found by the first rule (columns to agree in); the smallest target of several. Null without one."""
     found = None

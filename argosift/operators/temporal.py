@@ -16,22 +16,23 @@ def eligible_counts(cases: DataFrame, works: DataFrame) -> DataFrame:
     """``(case_id, n_eligible, newest)``: works before a case's date that are not the case nor of its family.
 
     Both tables have id, date and family; an empty family matches nothing. No pair of case and work is formed: works are summed by
-    day, and by family and day, and a case takes the running totals before its date. Cases without eligible works give no row.
+    day, and by family and day, and a case takes the running totals before its date. The newest day is the last before the date, less
+    the days next to it that hold the case's family only. Cases without eligible works give no row.
     """
+    w = Window.partitionBy(F.lit(0)).orderBy("date")  # one row a day
     days = works.where("date is not null").groupBy("date").agg(F.count("*").alias("n"))
-    total = days.select("date", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("date")).alias("upto"))  # one row a day
+    total = days.select("date", "n", F.sum("n").over(w).alias("upto"), F.row_number().over(w).alias("i"))
     asked = cases.where("date is not null").select(F.col("id").alias("case_id"), F.col("date").alias("cutoff"), F.coalesce("family", F.lit("")).alias("family"))
-    before = asked.join(F.broadcast(total), total.date < F.col("cutoff"))  # days, not works
-    by_day = before.groupBy("case_id", "cutoff", "family").agg(F.max("upto").alias("n_before"))
-    own = works.where("date is not null and family <> ''").select("family", "date").join(asked.where("family <> ''"), "family").where("date < cutoff")
-    kin = own.groupBy("case_id").agg(F.count("*").alias("kin"))
-    kin_days = own.groupBy("case_id", "date").agg(F.count("*").alias("k"))
-    newest = (
-        before.select("case_id", "date").join(days, "date").join(kin_days, ["case_id", "date"], "left").where(F.col("n") > F.coalesce("k", F.lit(0)))
-        .groupBy("case_id").agg(F.max("date").alias("newest"))
-    )
-    out = by_day.join(kin, "case_id", "left").join(newest, "case_id", "left").withColumn("n_eligible", F.col("n_before") - F.coalesce("kin", F.lit(0)))
-    return out.where("n_eligible > 0").select("case_id", "n_eligible", "newest")
+    before = asked.select("cutoff").distinct().join(F.broadcast(total), total.date < F.col("cutoff"))  # days, not works
+    by_day = before.groupBy("cutoff").agg(F.max("upto").alias("n_before"), F.max("i").alias("last"))
+    kin_days = works.where("date is not null and family <> ''").groupBy("family", "date").agg(F.count("*").alias("k")).join(total.select("date", "n", "i"), "date")
+    own = asked.where("family <> ''").join(kin_days, "family").where("date < cutoff")
+    kin = own.groupBy("case_id").agg(F.sum("k").alias("kin"), F.sort_array(F.collect_list(F.when(F.col("k") == F.col("n"), F.col("i"))), asc=False).alias("full"))
+    out = asked.join(by_day, "cutoff").join(kin, "case_id", "left").withColumn("n_eligible", F.col("n_before") - F.coalesce("kin", F.lit(0)))
+    none = F.array().cast("array<int>")
+    newest = F.aggregate(F.coalesce("full", none), F.col("last"), lambda at, i: F.when(i == at, at - 1).otherwise(at))
+    out = out.where("n_eligible > 0").select("case_id", "n_eligible", newest.alias("i"))
+    return out.join(total.select("i", F.col("date").alias("newest")), "i").select("case_id", "n_eligible", "newest")
 
 
 def grounded_spans(units: DataFrame, records: DataFrame) -> DataFrame:

@@ -84,6 +84,12 @@ def hard_negatives(spark, sf):
     return H.best_match(k.where("p_partkey % 100 = 0"), k, "p_partkey", "k")
 
 
+@query()
+def hard_negatives_all(spark, sf):
+    """The same for every part."""
+    return H.best_match_each(table(spark, sf, "part").select("p_partkey", F.array_distinct(X.tokens("p_name")).alias("k")), "p_partkey", "k")
+
+
 @query("""WITH o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer), del AS (SELECT k FROM o WHERE k%11=0), upd AS (SELECT k, -v AS v FROM o WHERE k%7=0), ins AS (SELECT k+1000000 AS k, v FROM o WHERE k%13=0)
 SELECT o.k, coalesce(u.v,o.v) AS v FROM o LEFT JOIN upd u USING (k) WHERE o.k NOT IN (SELECT k FROM del) UNION ALL SELECT k, v FROM ins WHERE k NOT IN (SELECT k FROM o)""")
 def patch_merge(spark, sf):
@@ -174,9 +180,19 @@ def unit_summaries(spark, sf):
 @query("""WITH q AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('5|'||o_orderkey), o_orderkey)-1 AS i FROM orders WHERE o_orderkey%100=0) SELECT o_orderkey, ['ABC','ACB','BAC','BCA','CAB','CBA'][(i%6)+1] AS ordering FROM q""")
 def latin_assignment(spark, sf):
     """Balanced permutations over a seeded order."""
+    return _latin(table(spark, sf, "orders").where("o_orderkey % 100 = 0"))
+
+
+@query("""WITH q AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('5|'||o_orderkey), o_orderkey)-1 AS i FROM orders) SELECT o_orderkey, ['ABC','ACB','BAC','BCA','CAB','CBA'][(i%6)+1] AS ordering FROM q""")
+def latin_assignment_all(spark, sf):
+    """The same for every order."""
+    return _latin(table(spark, sf, "orders"))
+
+
+def _latin(orders):
     from argosift.operators.ordering import numbered
 
-    q = table(spark, sf, "orders").where("o_orderkey % 100 = 0").select("o_orderkey", F.md5(F.concat(F.lit("5|"), F.col("o_orderkey").cast("string"))).alias("h"))
+    q = orders.select("o_orderkey", F.md5(F.concat(F.lit("5|"), F.col("o_orderkey").cast("string"))).alias("h"))
     perms = F.array(*(F.lit(p) for p in ("ABC", "ACB", "BAC", "BCA", "CAB", "CBA")))
     return numbered(q, ["h", "o_orderkey"]).select("o_orderkey", F.element_at(perms, (F.col("number") % 6 + 1).cast("int")).alias("ordering"))
 

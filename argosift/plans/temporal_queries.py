@@ -25,6 +25,13 @@ def eligible_records(spark, sf):
     return P.eligible_counts(w.where("id % 500 = 0"), w).withColumn("newest", F.col("newest").cast("string"))
 
 
+@query()
+def eligible_records_all(spark, sf):
+    """The same with every order as a case."""
+    w = _works(spark, sf)
+    return P.eligible_counts(w, w).withColumn("newest", F.col("newest").cast("string"))
+
+
 @query("SELECT CASE WHEN o_orderdate IS NULL THEN 'excluded_missing_date' WHEN year(o_orderdate)<=1995 THEN 'train' WHEN year(o_orderdate)=1997 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY 1")
 def chrono_split(spark, sf):
     return table(spark, sf, "orders").groupBy(P.chronological_split(F.col("o_orderdate"), 1995, 1997).alias("split")).agg(F.count("*").alias("n"))

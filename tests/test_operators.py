@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 
 from argosift.functions import text as X
 from argosift.operators import graph as G
+from argosift.operators import matching as H
 from argosift.operators import ordering as O
 from argosift.operators import procedural as P
 from argosift.operators import retrieve as R
 from argosift.operators import similarity as M
 from argosift.operators import stats as S
+from argosift.operators import temporal as D
 from argosift.sources import files, markup
 from argosift.streaming import ingest
 
@@ -223,3 +225,23 @@ def test_fuzzy_ratio_tries_every_place():
         span = "".join(rng.choices("ab c", k=12))
         full = P.fuzzy_ratio(span, text)
         assert P.fuzzy_ratio(span, text, least=full / 2) == full and P.fuzzy_ratio(span, text, least=full) <= full
+
+
+def test_best_match_each_is_best_match_of_all(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, rng.sample("abcdefghij", rng.randrange(0, 5))) for i in range(120)], "k int, s array<string>")
+    rows = lambda d: sorted(map(tuple, d.select("a", "b", "jaccard").collect()))
+    want = rows(H.best_match(df, df, "k", "s"))
+    assert rows(H.best_match_each(df, "k", "s")) == want and any(j < 1 for *_, j in want)
+
+
+def test_eligible_counts_with_every_work_a_case(spark):
+    rng = random.Random(7)
+    works = [(i, f"2020-01-{rng.randrange(1, 29):02d}" if i % 9 else None, rng.choice(["a", "b", "", None])) for i in range(45)]
+    df = spark.createDataFrame(works, "id int, date string, family string").withColumn("date", F.to_date("date"))
+    want = {}
+    for i, d, f in works:
+        old = [e for j, e, g in works if d and e and e < d and j != i and not (f and g == f)]
+        if old:
+            want[i] = (len(old), max(old))
+    assert {r["case_id"]: (r["n_eligible"], str(r["newest"])) for r in D.eligible_counts(df, df).collect()} == want

@@ -71,3 +71,9 @@ def test_keyword_edges_reach_the_graph_threshold(spark):
     got = QUERIES["keyword_edges"](spark, DATA).collect()
     assert min(want.values()) < 0.2 and len(got) == len(want)
     assert {(x["a"], x["b"]): pytest.approx(x["jaccard"], abs=1e-6) for x in got} == want
+
+
+@pytest.mark.parametrize(("name", "table", "key", "column"), [("hard_negatives_all", "part", "p_partkey", "a"), ("latin_assignment_all", "orders", "o_orderkey", "o_orderkey")])
+def test_every_id_is_asked(spark, name, table, key, column):
+    keys = pd.read_parquet(f"{DATA}/{table}.parquet", columns=[key])[key]
+    assert sorted(QUERIES[name](spark, DATA).toPandas()[column]) == sorted(keys)
