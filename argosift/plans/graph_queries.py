@@ -87,6 +87,12 @@ def pagerank_5(spark, sf):
     return G.pagerank(_edges(spark, sf), rounds=5).withColumn("rank", F.round("rank", 9))
 
 
+@query()
+def pagerank(spark, sf):
+    """The operator's own 100 rounds."""
+    return G.pagerank(_edges(spark, sf)).withColumn("rank", F.round("rank", 9))
+
+
 @query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src,dst FROM e UNION SELECT dst,src FROM e),
 l1 AS (SELECT dst AS id, min(src) AS parent FROM b WHERE src IN (1,2) AND dst NOT IN (1,2) GROUP BY 1), l2 AS (SELECT dst AS id, min(src) AS parent FROM b WHERE src IN (SELECT id FROM l1) AND dst NOT IN (1,2) AND dst NOT IN (SELECT id FROM l1) GROUP BY 1),
 l3 AS (SELECT dst AS id, min(src) AS parent FROM b WHERE src IN (SELECT id FROM l2) AND dst NOT IN (1,2) AND dst NOT IN (SELECT id FROM l1) AND dst NOT IN (SELECT id FROM l2) GROUP BY 1)

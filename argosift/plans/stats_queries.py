@@ -101,6 +101,11 @@ def cluster_bootstrap(spark, sf):
     return S.cluster_bootstrap(_li(spark, sf), "l_suppkey", "l_quantity", "l_returnflag", resamples=300)
 
 
+@query()
+def cluster_bootstrap_10000(spark, sf):
+    return S.cluster_bootstrap(_li(spark, sf), "l_suppkey", "l_quantity", "l_returnflag", resamples=10_000)
+
+
 @query(f"""WITH {_DIFFS}, u AS (SELECT diff AS m, row_number() OVER (ORDER BY l_suppkey)-1 AS i, count(*) OVER () AS n FROM x WHERE diff IS NOT NULL),
 d AS (SELECT rep, {_draw_sql('n')} AS i FROM (SELECT n, i AS j FROM u), range(500) r(rep)), v AS (SELECT rep, avg(m) AS mean FROM d JOIN u USING (i) GROUP BY ALL),
 k AS (SELECT mean, row_number() OVER (ORDER BY mean,rep)-1 AS r FROM v)
@@ -109,6 +114,11 @@ def paired_bootstrap(spark, sf):
     return S.cluster_bootstrap(_diffs(spark, sf), "l_suppkey", "diff", resamples=500)
 
 
+@query()
+def paired_bootstrap_10000(spark, sf):
+    return S.cluster_bootstrap(_diffs(spark, sf), "l_suppkey", "diff", resamples=10_000)
+
+
 @query("""WITH c AS (SELECT l_suppkey AS g, year(l_shipdate) AS dose, avg(l_discount) AS v FROM lineitem GROUP BY ALL),
 r AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY v)+(count(*) OVER (PARTITION BY g,v)-1)/2.0 AS rv, row_number() OVER (PARTITION BY g ORDER BY dose) AS rd, count(*) OVER (PARTITION BY g) AS m FROM c),
 o AS (SELECT count(*) AS n_clusters, avg(coalesce(CASE WHEN isnan(q) THEN 0 ELSE q END,0)) AS rho FROM (SELECT g, corr(rv,rd) AS q FROM r WHERE m>=3 GROUP BY g)),
@@ -120,6 +130,12 @@ def permutation_trend(spark, sf):
     return S.permutation_trend(li, "l_suppkey", "dose", "l_discount", permutations=200)
 
 
+@query()
+def permutation_trend_10000(spark, sf):
+    li = _li(spark, sf).withColumn("dose", F.year("l_shipdate"))
+    return S.permutation_trend(li, "l_suppkey", "dose", "l_discount", permutations=10_000)
+
+
 @query("""WITH c AS (SELECT l_suppkey, avg(l_quantity) FILTER (a AND b) AS tt, avg(l_quantity) FILTER (a AND NOT b) AS tf, avg(l_quantity) FILTER (NOT a AND b) AS ft, avg(l_quantity) FILTER (NOT a AND NOT b) AS ff
  FROM (SELECT *, l_linestatus='O' AS a, l_discount>=0.05 AS b FROM lineitem) GROUP BY 1), k AS (SELECT * FROM c WHERE tt+tf+ft+ff IS NOT NULL)
 SELECT 'a' AS effect, count(*) AS n, round(avg((tt+tf-ft-ff)/2),6) AS mean FROM k UNION ALL SELECT 'b', count(*), round(avg((tt+ft-tf-ff)/2),6) FROM k UNION ALL SELECT 'a:b', count(*), round(avg(tt-tf-ft+ff),6) FROM k""")

@@ -1,5 +1,6 @@
 """Every query against its SQL on the smallest tables; the others must run."""
 
+import hashlib
 import math
 import os
 import re
@@ -77,3 +78,32 @@ def test_keyword_edges_reach_the_graph_threshold(spark):
 def test_every_id_is_asked(spark, name, table, key, column):
     keys = pd.read_parquet(f"{DATA}/{table}.parquet", columns=[key])[key]
     assert sorted(QUERIES[name](spark, DATA).toPandas()[column]) == sorted(keys)
+
+
+def test_pagerank_has_settled(spark):
+    li = pd.read_parquet(f"{DATA}/lineitem.parquet", columns=["l_partkey", "l_suppkey"])
+    e = pd.DataFrame({"s": li["l_partkey"], "d": li["l_suppkey"] + 10**7}).drop_duplicates()
+    ids = sorted({*e["s"], *e["d"]})
+    at = {x: i for i, x in enumerate(ids)}
+    m = np.zeros((len(ids), len(ids)))
+    m[e["d"].map(at), e["s"].map(at)] = 1
+    out = m.sum(axis=0)
+    m = np.where(out > 0, m / np.where(out > 0, out, 1), 1 / len(ids))
+    want = np.linalg.solve(np.eye(len(ids)) - 0.85 * m, np.full(len(ids), 0.15 / len(ids)))
+    got = QUERIES["pagerank"](spark, DATA).toPandas().set_index("id")["rank"].loc[ids].to_numpy()
+    assert np.abs(got - want).max() < 2e-8
+
+
+def test_bootstrap_takes_10000_resamples(spark):
+    li = pd.read_parquet(f"{DATA}/lineitem.parquet", columns=["l_returnflag", "l_suppkey", "l_quantity"])
+    got = QUERIES["cluster_bootstrap_10000"](spark, DATA).toPandas().set_index("l_returnflag")
+    for flag, g in li.groupby("l_returnflag"):
+        m = g.groupby("l_suppkey")["l_quantity"].mean().sort_index().astype(float).to_numpy()
+        draws = [[int(hashlib.md5(f"20260421|{r}|{j}".encode()).hexdigest()[:8], 16) % len(m) for j in range(len(m))] for r in range(10_000)]
+        means = np.sort(m[np.array(draws)].mean(axis=1))
+        assert (got.loc[flag, "low"], got.loc[flag, "high"]) == (pytest.approx(means[250], abs=2e-6), pytest.approx(means[9749], abs=2e-6))
+
+
+def test_permutations_are_10000(spark):
+    p = QUERIES["permutation_trend_10000"](spark, DATA).first()["p"]
+    assert abs(p * 10_001 - round(p * 10_001)) < 0.01
