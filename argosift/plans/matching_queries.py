@@ -20,6 +20,14 @@ def leak_guard(spark, sf):
     return H.contains_any(d, "doc_id", "text", i, "item_id", "needle")
 
 
+@query("""SELECT d.doc_id, i.item_id FROM documents d JOIN heldout_items i ON contains(lower(d.text), lower(i.text)) WHERE length(i.text)>=40""")
+def leak_guard_whole(spark, sf):
+    """Documents that hold the whole text of an item in any case; values of under 40 characters are not guarded."""
+    i = table(spark, sf, "heldout_items").where("length(text) >= 40").select("item_id", F.lower("text").alias("needle"))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.lower("text").alias("text"))
+    return H.contains_any(d, "doc_id", "text", i, "item_id", "needle")
+
+
 @query("""WITH t AS (SELECT DISTINCT lower(material['name']) AS title FROM evidence_units WHERE length(material['name'])>=8), r AS (SELECT DISTINCT record_id, lower(text) AS text FROM retrieval_records WHERE text IS NOT NULL)
 SELECT DISTINCT record_id, title FROM r, t WHERE contains(text, title)""")
 def title_in_text(spark, sf):

@@ -107,3 +107,10 @@ def test_bootstrap_takes_10000_resamples(spark):
 def test_permutations_are_10000(spark):
     p = QUERIES["permutation_trend_10000"](spark, DATA).first()["p"]
     assert abs(p * 10_001 - round(p * 10_001)) < 0.01
+
+
+def test_leak_guard_looks_for_whole_items(spark, tmp_path):
+    item = "An opening of more than sixty characters that many other texts share, " + "and a rest that is the item's own."
+    spark.createDataFrame([(1, item)], "item_id int, text string").write.parquet(str(tmp_path / "heldout_items.parquet"))
+    spark.createDataFrame([(1, "x " + item.upper()), (2, item[:70]), (3, None)], "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in QUERIES["leak_guard_whole"](spark, str(tmp_path)).collect()] == [(1, 1)]
