@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from argosift.runtime import cut, spread
@@ -136,7 +136,13 @@ def shared_spans(texts: DataFrame, length: int = 200, hot: int = 64) -> tuple[Da
 
     places = kept.where("hot").groupBy("class").agg(F.collect_set("pos").alias("places"))  # positions of one text
     refined = classes.join(places, "class").mapInPandas(refine, "hash long, class long, pos int")
-    # One window a (hash, class): a repeated passage within a text needs no pair for each of its places.
+    refined = cut(refined)
+    # All places of a window that another text has are shared; runs of them are one span.
+    several = refined.groupBy("hash").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("hash")
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("class").orderBy("pos"))
+    windows = refined.join(several, "hash").select("class", "pos").distinct().withColumn("run", run)
+    repeated = windows.groupBy("class", "run").agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end")).drop("run")
+    # One window a (hash, class) for the links: a repeated passage within a text needs no pair for each of its places.
     refined = refined.groupBy("hash", "class").agg(F.min("pos").alias("pos"))
 
     def pair(anchored: DataFrame) -> DataFrame:
@@ -169,7 +175,7 @@ def shared_spans(texts: DataFrame, length: int = 200, hot: int = 64) -> tuple[Da
     spans = matches.select(F.explode(F.array(
         F.struct(F.col("class_a").alias("class"), F.col("start_a").alias("start"), F.col("end_a").alias("end")),
         F.struct(F.col("class_b").alias("class"), F.col("start_b").alias("start"), F.col("end_b").alias("end")),
-    )).alias("s")).select("s.*").distinct()
+    )).alias("s")).select("s.*").unionByName(repeated).distinct()
     return members, links, spans
 
 
@@ -191,8 +197,6 @@ def shared_share(texts: DataFrame, members: DataFrame, spans: DataFrame) -> Data
 
     An equal text under another id is shared as a whole. Texts below the length count in n_chars only; share is null if n_chars is 0.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("class").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     covered = (

@@ -67,3 +67,13 @@ def test_arrays_stand_for_themselves_and_empty_table(spark):
     assert {tuple(r) for r in S.pairs_of_ids(members, links).collect()} == {("u", "v")}
     members, links, spans = S.shared_spans(texts.limit(0), 20)
     assert S.pairs_of_ids(members, links).count() == 0 and S.shared_share(texts.limit(0), members, spans).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 64])
+def test_share_counts_every_place_of_a_passage(spark, hot):
+    shared = "".join(random.Random(3).choices("abcdefgh", k=40))
+    rows = [("a", "1" * 9 + shared + "2" * 25 + shared + "3" * 7), *((f"b{i}", str(i) * 12 + shared) for i in range(4, 8)), ("c", "9" * 60)]
+    texts = spark.createDataFrame(rows, "id string, text string")
+    members, _, spans = S.shared_spans(texts, 30, hot)
+    got = {r["id"]: r["shared_chars"] for r in S.shared_share(texts, members, spans).collect()}
+    assert got == {"a": 80, "b4": 40, "b5": 40, "b6": 40, "b7": 40, "c": 0}
