@@ -50,14 +50,39 @@ def test_recovers_the_order_despite_uneven_comparisons(spark):
     assert sum(r["n_comparisons"] for r in found) == 12000
 
 
-def test_joins_give_the_same_as_one_task(spark):
+def test_joins_give_the_same_as_the_driver(spark):
     _, data = simulated(6)
     cells = R.win_matrix(R.votes_as_points(votes(spark, data[:400])))
-    one = {r["name"]: r["strength"] for r in R.offence_defence(cells, tolerance=1e-6).collect()}
-    joined = R.offence_defence(cells, tolerance=1e-3, max_rounds=12, local_cells=0).collect()
-    assert [r["place"] for r in sorted(joined, key=lambda r: -r["strength"])] == list(range(1, len(joined) + 1))
-    many = {r["name"]: r["strength"] for r in joined}
-    assert one.keys() == many.keys() and all(many[k] == pytest.approx(one[k], rel=0.1) for k in one)
+    one = {r["name"]: r for r in R.offence_defence(cells).collect()}
+    many = {r["name"]: r for r in R.offence_defence(cells, local_cells=0).collect()}
+    assert one.keys() == many.keys() and all(r["converged"] for r in [*one.values(), *many.values()])
+    for name, r in one.items():
+        assert many[name]["place"] == r["place"] and many[name]["n_comparisons"] == r["n_comparisons"]
+        assert all(many[name][c] == pytest.approx(r[c], rel=1e-6) for c in ("strength", "offence", "defence"))
+
+
+def graph(spark, pairs):
+    rng = random.Random(3)
+    rows = [(f"i{a:03}", f"i{b:03}", float(rng.randrange(4)), 3) for pair in pairs for a, b in (pair, pair[::-1])]
+    return rows, spark.createDataFrame(rows, "winner string, loser string, points double, n long")
+
+
+def test_sparse_graphs_converge_and_a_stop_before_is_told(spark):
+    rng = random.Random(4)
+    chain = [(i, i + d) for i in range(100) for d in (1, 2) if i + d < 100]  # plain rounds need more than 5,000
+    sparse = sorted({(min(a, b), max(a, b)) for a in range(400) for b in rng.sample(range(400), 2) if a != b})
+    star = [(0, i) for i in range(1, 30)]
+    for pairs in (chain, sparse, star):
+        rows, cells = graph(spark, pairs)
+        found = R.offence_defence(cells).toPandas()
+        assert found["converged"].all() and sorted(found["place"]) == list(range(1, len(found) + 1))
+        offence, defence = (dict(zip(found["name"], found[c], strict=True)) for c in ("offence", "defence"))
+        got = {k: 0.5 / defence[k] for k in offence}
+        for a, b, points, _ in rows:
+            got[a] += (points + 0.5) / defence[b]
+        ratios = [got[k] / offence[k] for k in got]
+        assert max(ratios) / min(ratios) - 1 < 1e-6  # a fixed point
+    assert not any(r["converged"] for r in R.offence_defence(cells, max_rounds=3).collect())
 
 
 def test_empty_unbeaten_and_ties(spark):
