@@ -6,9 +6,10 @@ multipliers of the dual problem and are fitted by regularised coordinate ascent
 in turn with the posteriors of the true classes.
 
 Distribution: items are independent given *sigma*, so a round is one pass over the items. *tau* and the
-posterior of an item are recomputed from *sigma* in that pass (they need no state between rounds), and the pass
-returns only sums by (field, annotator, class, label), which Spark aggregates. What the driver holds is *sigma*:
-at most ``max_annotators`` matrices a field. Annotators beyond that number, rarest first, share one pooled matrix.
+posterior of an item are brought to their optimum from *sigma* in that pass (they need no state between rounds), and the pass
+returns only sums by (field, annotator, class, label), which Spark aggregates. Every annotator has a *sigma* of its own. Up to
+``local_bytes`` of them (counted first) are held by the driver and broadcast each round; more stay a table, are joined to the labels by
+annotator and updated where they lie. The steps are the same functions on both ways.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argosift.runtime import cut, spread
-
-POOLED = "(pooled)"
+from argosift.llm.textforms import clock_micros
+from argosift.operators.ordering import numbered
+from argosift.runtime import cut
 
 
 def tidy_label(column: Column | str) -> Column:
@@ -58,180 +59,271 @@ def long_labels(
     for field, values in fields.items():
         valid = valid | ((F.col("field") == field) & F.col("label").isin([str(v) for v in values]))
     rows = rows.where(F.col("item").isNotNull() & F.col("annotator").isNotNull() & valid)
+    # Time and label as one number, so that the latest is a plain maximum.
+    names = sorted({str(v) for values in fields.values() for v in values})
+    number = F.create_map(*(x for i, v in enumerate(names) for x in (F.lit(v), F.lit(i))))
+    last = clock_micros(F.col("at")) * len(names) + number[F.col("label")]
     return (
         rows.groupBy("item", "field", "annotator", "again")
-        .agg(F.max(F.struct("at", "label")).alias("last"))
-        .select("item", "field", "annotator", F.col("last.label").alias("label"))
+        .agg(F.max(last).alias("last"))
+        .select("item", "field", "annotator", F.array(*map(F.lit, names))[F.pmod("last", F.lit(len(names))).cast("int")].alias("label"))
     )
 
 
-class _Model:
-    """Sigma, class prior and names of one field."""
+def _start(k: int, n: int = 1) -> np.ndarray:
+    """The tilt every annotator starts with: right in seven of ten cases."""
+    return np.tile(np.where(np.eye(k, dtype=bool), np.log(0.7), np.log(0.3 / max(k - 1, 1))), (n, 1, 1))
+
 
-    def __init__(self, values: Sequence[str], annotators: Sequence[str]):
-        self.values, self.annotators = [str(v) for v in values], list(annotators)
-        k, n = len(self.values), len(self.annotators)
-        self.sigma = np.tile(np.where(np.eye(k, dtype=bool), np.log(0.7), np.log(0.3 / max(k - 1, 1))), (n, 1, 1))
-        self.prior = np.full(k, 1.0 / k)
+def _log_sum_exp(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=-1, keepdims=True)
+    return top + np.log(np.exp(x - top).sum(axis=-1, keepdims=True))
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    return x - _log_sum_exp(x)
 
 
-def _posteriors(sigma, prior, item, who, label, n_items, beta, rounds):
-    """Posteriors of the items of a batch and the label probabilities that go with them.
+def fit_items(sigma, prior, item, label, times, n_items, beta, tolerance=1e-3, most=50):
+    """``(q, tau, p)``: posteriors and tilts of the items of a batch, and the label probabilities that go with them.
 
-    item, who, label: one entry for each label given; item is 0..n_items-1.
+    One entry a (item, annotator, label): ``sigma`` is that annotator's tilt, ``times`` how often the label was given, ``item`` is
+    0..n_items-1. Each item's tilt climbs ``log sum_c prior_c prod p(labels | c) - beta / 2 * |tau|^2`` until no cell moves by more than
+    ``tolerance``; items that have settled are left out of further steps.
     """
     k, n = len(prior), len(item)
-    tau = np.zeros((n_items, k, k))
-    hot = np.eye(k)[label]
-    rows = np.arange(n)
+    tau, q = np.zeros((n_items, k, k)), np.tile(prior, (n_items, 1))
+    p = np.zeros((n, k, k))
     order = np.argsort(item, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(item[order]) > 0]) if n else np.zeros(0, int)
-    present = item[order][starts] if n else np.zeros(0, int)
-
-    def by_item(x):
-        out = np.zeros((n_items, *x.shape[1:]))
-        out[present] = np.add.reduceat(x[order], starts, axis=0)
-        return out
-
-    for turn in range(rounds + 1):
-        log_p = _log_softmax(sigma[who] + tau[item])
-        score = np.log(prior) + by_item(log_p[rows, :, label])
-        q = np.exp(_log_softmax(score))
-        p = np.exp(log_p)
-        if turn < rounds:
-            slope = q[:, :, None] * by_item(hot[:, None, :] - p) - beta * tau
-            curve = q[:, :, None] * by_item(p * (1 - p)) + beta
-            tau = tau + 0.8 * slope / curve
-    return q, p, hot
+    item, sigma, label, times = item[order], sigma[order], label[order], times[order].astype(float)
+    hot = np.eye(k)[label]
+    active = np.arange(n)
+    for turn in range(most + 1):
+        at = item[active]
+        starts = np.flatnonzero(np.r_[True, np.diff(at) > 0]) if len(at) else np.zeros(0, int)
+        present = at[starts]
+        log_p = _log_softmax(sigma[active] + tau[at])
+        weight = times[active]
+        given = np.take_along_axis(log_p, label[active][:, None, None], axis=2)[:, :, 0] * weight[:, None]
+        likely = np.log(prior) + (np.add.reduceat(given, starts, axis=0) if len(at) else given)
+        now = np.exp(_log_softmax(likely))
+        probability = np.exp(log_p)
+        q[present], p[active] = now, probability
+        if turn == most or not len(at):
+            break
+        gap = np.add.reduceat((hot[active][:, None, :] - probability) * weight[:, None, None], starts, axis=0)
+        bend = np.add.reduceat(probability * (1 - probability) * weight[:, None, None], starts, axis=0)
+        step = (now[:, :, None] * gap - beta * tau[present]) / (now[:, :, None] * bend + beta)
+        step = 0.8 * np.clip(step, -2, 2)
+        tau[present] += step
+        moving = np.zeros(n_items, bool)
+        moving[present[np.abs(step).max(axis=(1, 2)) > tolerance]] = True
+        active = active[moving[at]]
+    back = np.empty(n, int)
+    back[order] = np.arange(n)
+    return q, tau, p[back]
+
+
+def move_annotators(sigma, seen, expected, curve, centre, alpha):
+    """One damped Newton step of the annotators' tilts, which the penalty draws to ``centre``."""
+    step = (seen - expected - alpha * (sigma - centre)) / (curve + alpha)
+    return _log_softmax(sigma + np.clip(step, -1, 1))
+
+
+def smoothed_start(seen, total):
+    """Tilts from confusion counts, smoothed by four labels a class of the mean annotator."""
+    mean = total + 1.0
+    mean = mean / mean.sum(axis=1, keepdims=True)
+    counts = seen + 4 * mean
+    return np.log(counts / counts.sum(axis=2, keepdims=True))
 
 
 def _flat(pdf: pd.DataFrame):
     sizes = pdf["who"].map(len).to_numpy()
     item = np.repeat(np.arange(len(pdf)), sizes)
-    return item, np.concatenate(pdf["who"].to_numpy()).astype(int), np.concatenate(pdf["label"].to_numpy()).astype(int)
+    return item, *(np.concatenate(pdf[c].to_numpy()) for c in ("who", "label", "times"))
+
+
+_CELLS = "field string, who long, cell int, seen double, expected double, curve double"
+
+
+def _sum_cells(field, who, q, p, hot, times) -> pd.DataFrame:
+    """Sums of a batch by annotator and cell."""
+    k = q.shape[1]
+    names, at = np.unique(who, return_inverse=True)
+    weight = q[:, :, None] * times[:, None, None]
+    columns = {}
+    for name, x in (("seen", weight * hot[:, None, :]), ("expected", weight * p), ("curve", weight * p * (1 - p))):
+        x = x.reshape(len(x), k * k)
+        columns[name] = np.stack([np.bincount(at, weights=x[:, c], minlength=len(names)) for c in range(k * k)], axis=1).ravel()
+    return pd.DataFrame({"field": field, "who": np.repeat(names, k * k), "cell": np.tile(np.arange(k * k), len(names)), **columns})
+
+
+def _tilts_by_row(tilts, pdf: pd.DataFrame, who, k: int) -> np.ndarray:
+    """A tilt an entry: from the broadcast tilts, or from what was joined to the entries."""
+    if tilts is not None:
+        return tilts[who][:, :k, :k]
+    return np.array([t for tilt in pdf["tilt"] for t in tilt], dtype=float).reshape(-1, k, k)
 
 
 def minimax_consensus(
     labels: DataFrame,
     fields: dict[str, Sequence[str]],
     rounds: int = 25,
-    item_rounds: int = 2,
     alpha: float = 2.0,
     beta: float = 6.0,
     tolerance: float = 0.005,
-    max_annotators: int = 20_000,
+    local_bytes: int = 64 << 20,
+    entries: int = 250_000,
 ) -> tuple[DataFrame, DataFrame]:
     """``(consensus, reliability)`` of labels in the form of :func:`long_labels`.
 
     consensus: item, field, consensus, probability (posterior of the consensus), agreement (share of the item's pairs of
     labels that agree; null for one label), n_annotators, n_labels. Equal posteriors: the value earlier in ``fields``.
     reliability: field, annotator, n_labels, reliability (probability of a right label, classes weighted by their estimated
-    frequency), pooled (shares the parameters of rare annotators). Empty input gives two empty tables.
+    frequency). Empty input gives two empty tables.
 
-    alpha, beta: weights of the quadratic penalties, towards the mean annotator for sigma and towards 0 for tau.
+    alpha, beta: weights of the quadratic penalties, towards the mean annotator for sigma and towards 0 for tau. An item's list holds one
+    entry for each annotator and label, however often it was given. ``entries``: about how many entries a task takes (Python starts and
+    the sums a task returns weigh little against them); there are never fewer tasks than cores.
     """
     spark = labels.sparkSession
-    counted = labels.groupBy("field", "annotator").agg(F.count("*").alias("n_labels"))
-    frequent = (
-        counted.withColumn("place", F.row_number().over(_window("field", F.desc("n_labels"), "annotator")))
-        .where(F.col("place") <= max_annotators)
-        .select("field", "annotator")
-        .collect()
-    )  # at most max_annotators rows a field
-    models = {
-        f: _Model(values, sorted(r["annotator"] for r in frequent if r["field"] == f) + [POOLED]) for f, values in fields.items()
-    }
-    names = spark.createDataFrame(
-        [(f, a, i) for f, m in models.items() for i, a in enumerate(m.annotators)], "field string, annotator string, who int"
-    )
-    values = spark.createDataFrame(
-        [(f, v, i) for f, m in models.items() for i, v in enumerate(m.values)], "field string, label string, code int"
-    )
-    pooled = F.create_map(*(x for f, m in models.items() for x in (F.lit(f), F.lit(len(m.annotators) - 1))))
-    coded = (
-        labels.join(F.broadcast(values), ["field", "label"])  # one row a label value
-        .join(F.broadcast(names), ["field", "annotator"], "left")  # at most max_annotators rows a field
-        .select("item", "field", "annotator", F.coalesce("who", pooled[F.col("field")]).alias("who"), "code")
+    values = {f: [str(v) for v in vs] for f, vs in fields.items()}
+    counted = cut(numbered(labels.groupBy("field", "annotator").agg(F.count("*").alias("n_labels")), ["field", "annotator"], "who"))
+    n_who, n_labels = counted.agg(F.count("*"), F.coalesce(F.sum("n_labels"), F.lit(0))).first()
+    local = n_who * max((len(v) for v in values.values()), default=1) ** 2 * 8 <= local_bytes
+    codes = F.create_map(*(x for f, vs in values.items() for x in (F.lit(f), F.create_map(*(y for i, v in enumerate(vs) for y in (F.lit(v), F.lit(i)))))))
+    coded = labels.join(counted, ["field", "annotator"]).select(
+        "item", "field", "who", codes[F.col("field")][F.col("label")].alias("code")
     )
-    items = cut(
-        spread(
-            coded.groupBy("item", "field").agg(
-                F.sort_array(F.collect_list(F.struct("who", "code"))).alias("given"), F.count_distinct("annotator").alias("n_annotators")
-            )
-        ).select("item", "field", "n_annotators", F.col("given.who").alias("who"), F.col("given.code").alias("label"))
-    )
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, list] = {}
-        for pdf in batches:
-            for field, part in pdf.groupby("field"):
-                m = state[field]
-                item, who, label = _flat(part)
-                q, p, hot = _posteriors(m.sigma, m.prior, item, who, label, len(part), beta, item_rounds)
-                k, n = len(m.prior), len(m.annotators)
-                if field not in total:
-                    total[field] = [np.zeros((n, k * k)), np.zeros((n, k * k)), np.zeros((n, k * k))]
-                weight = q[item][:, :, None]
-                for t, x in zip(total[field], (weight * hot[:, None, :], weight * p, weight * p * (1 - p)), strict=True):
-                    x = x.reshape(len(x), k * k)
-                    for c in range(k * k):
-                        t[:, c] += np.bincount(who, weights=x[:, c], minlength=n)
-        for field, (seen, expected, curve) in total.items():
-            who, cell = np.nonzero(expected > 0)
-            yield pd.DataFrame(
-                {"field": field, "who": who, "cell": cell, "seen": seen[who, cell], "expected": expected[who, cell], "curve": curve[who, cell]}
-            )
+    given = coded.groupBy("item", "field", "who", "code").agg(F.count("*").cast("int").alias("times"))
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_labels // entries))
+    if local:
+        listed = given.groupBy("item", "field").agg(F.sort_array(F.collect_list(F.struct("who", "code", "times"))).alias("e"))
+        base = cut(listed.select("item", "field", F.col("e.who").alias("who"), F.col("e.code").alias("label"), F.col("e.times").alias("times")).repartition(parts))
+    else:
+        base = cut(given.repartition(parts, "who"))
+    priors = {f: np.full(len(v), 1.0 / len(v)) for f, v in values.items()}
+
+    def items(tilts: DataFrame | None) -> DataFrame:
+        """Items with their entries; with each entry's tilt where tilts are a table."""
+        if tilts is None:
+            return base
+        joined = base.join(tilts.select("who", "tilt"), "who")
+        listed = joined.groupBy("item", "field").agg(F.sort_array(F.collect_list(F.struct("who", "code", "times", "tilt"))).alias("e"))
+        return listed.select("item", "field", *(F.col(f"e.{a}").alias(b) for a, b in (("who", "who"), ("code", "label"), ("times", "times"), ("tilt", "tilt"))))
+
+    def fitted(pdf: pd.DataFrame, tilts, prior):
+        item, who, label, times = _flat(pdf)
+        sigma = _tilts_by_row(tilts, pdf, who, len(prior))
+        q, _, p = fit_items(sigma, prior, item, label, times, len(pdf), beta)
+        return q, p, item, who, np.eye(len(prior))[label], times
+
+    def summer(tilts, prior):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = []
+            for pdf in batches:
+                for field, part in pdf.groupby("field"):
+                    q, p, item, who, hot, times = fitted(part, tilts.value if tilts else None, prior[field])
+                    found.append(_sum_cells(field, who, q[item], p, hot, times))
+                if len(found) > 1:
+                    found = [pd.concat(found).groupby(["field", "who", "cell"], as_index=False).sum()]
+            yield from found
+
+        return run
+
+    # On the driver: one array [who, class, label] for all fields, padded to the largest number of values.
+    k_most = max((len(v) for v in values.values()), default=1)
+    field_of = {r["who"]: r["field"] for r in counted.select("who", "field").toLocalIterator()} if local else {}
+    sigma = {f: _start(len(v)) for f, v in values.items()}
+    tilts = None
+    if local:
+        tilts = _Ragged({w: sigma[f][0] for w, f in field_of.items()}, n_who, k_most)
+    else:
+        starts = F.create_map(*(x for f, s in sigma.items() for x in (F.lit(f), F.array(*(F.lit(float(v)) for v in s.ravel())))))
+        table = cut(counted.select("who", "field", starts[F.col("field")].alias("tilt")))
 
     for turn in range(rounds):
-        state = models
-        found = (
-            items.mapInPandas(sums, "field string, who int, cell int, seen double, expected double, curve double")
-            .groupBy("field", "who", "cell")
-            .agg(F.sum("seen").alias("seen"), F.sum("expected").alias("expected"), F.sum("curve").alias("curve"))
-            .toPandas()
-        )  # the model's own size
-        moved, fresh = 0.0, {}
-        for field, m in models.items():
-            part = found[found["field"] == field]
-            k, n = len(m.values), len(m.annotators)
-            seen, expected, curve = (np.zeros((n, k * k)) for _ in range(3))
-            for target, column in ((seen, "seen"), (expected, "expected"), (curve, "curve")):
-                target[part["who"], part["cell"]] = part[column]
-            seen, expected, curve = (x.reshape(n, k, k) for x in (seen, expected, curve))
-            new = _Model(m.values, m.annotators)
-            if turn == 0:  # start from smoothed confusion counts
-                mean = seen.sum(axis=0) + 1.0
-                mean = mean / mean.sum(axis=1, keepdims=True)
-                new.sigma = np.log((seen + 4 * mean) / (seen + 4 * mean).sum(axis=2, keepdims=True))
+        shared = spark.sparkContext.broadcast(tilts) if local else None
+        sums = items(None if local else table).mapInPandas(summer(shared, priors), _CELLS)
+        sums = sums.groupBy("field", "who", "cell").agg(*(F.sum(c).alias(c) for c in ("seen", "expected", "curve")))
+        if local:
+            found = sums.toPandas()  # within local_bytes a column
+            totals = found.groupby(["field", "cell"], as_index=False)["seen"].sum()
+        else:
+            sums = cut(sums)
+            totals = sums.groupBy("field", "cell").agg(F.sum("seen").alias("seen")).toPandas()  # one row a cell
+        total = {f: np.zeros(len(v) ** 2) for f, v in values.items()}
+        for f, c, s in totals.itertuples(index=False):
+            total[f][c] = s
+        total = {f: t.reshape(len(values[f]), -1) for f, t in total.items()}
+        centre = {}
+        if turn:
+            if local:
+                size = found.groupby("who")["seen"].sum()
+                for f in values:
+                    who = [w for w in size.index if field_of[w] == f]
+                    weight = size.loc[who].to_numpy()
+                    centre[f] = np.tensordot(weight / max(weight.sum(), 1e-9), tilts[np.array(who, int)][:, : len(values[f]), : len(values[f])], 1) if who else _start(len(values[f]))[0]
             else:
-                size = seen.sum(axis=(1, 2))[:, None, None]
-                centre = (m.sigma * size).sum(axis=0) / max(size.sum(), 1e-9)
-                step = (seen - expected - alpha * (m.sigma - centre)) / (curve + alpha)
-                new.sigma = m.sigma + np.clip(step, -1, 1)
-                new.sigma = new.sigma - _log_sum_exp(new.sigma)
-                moved = max(moved, float(np.abs(new.sigma - m.sigma).max()) if seen.sum() else 0.0)
-            mass = seen.sum(axis=(0, 2)) + 1.0
-            new.prior = mass / mass.sum()
-            fresh[field] = new
-        models = fresh
-        if turn and moved < tolerance:
+                weight = sums.groupBy("who").agg(F.sum("seen").alias("n"))
+                spread_out = table.join(weight, "who").select("field", "n", F.posexplode("tilt").alias("cell", "s"))
+                means = spread_out.groupBy("field", "cell").agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("m")).collect()  # one row a cell
+                centre = {f: _start(len(v))[0].ravel() for f, v in values.items()}
+                for r in means:
+                    centre[r["field"]][r["cell"]] = r["m"]
+                centre = {f: c.reshape(len(values[f]), -1) for f, c in centre.items()}
+
+        def moved(field, old, cells, turn=turn, total=total, centre=centre):
+            """New tilts of annotators of a field from ``[annotator, cell]`` sums (seen, expected, curve)."""
+            k = len(total[field])
+            seen, expected, curve = (x.reshape(-1, k, k) for x in cells)
+            return move_annotators(old, seen, expected, curve, centre[field], alpha) if turn else smoothed_start(seen, total[field])
+
+        if local:
+            change = 0.0
+            for f, part in found.groupby("field"):
+                k = len(values[f])
+                who, at = np.unique(part["who"], return_inverse=True)
+                cells = np.zeros((3, len(who), k * k))
+                cells[:, at, part["cell"]] = part[["seen", "expected", "curve"]].to_numpy().T
+                old = tilts[who][:, :k, :k]
+                new = moved(f, old, cells)
+                change = max(change, float(np.abs(new - old).max()))
+                tilts.put(who, new)
+            shared.unpersist()
+        else:
+
+            def update(batches: Iterator[pd.DataFrame], moved=moved) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    out = []
+                    for r in pdf.itertuples(index=False):
+                        k = int(np.sqrt(len(r.tilt)))
+                        cells = np.zeros((3, 1, k * k))
+                        cells[:, 0, list(r.cell)] = [list(r.seen), list(r.expected), list(r.curve)]
+                        old = np.asarray(r.tilt, float).reshape(1, k, k)
+                        new = moved(r.field, old, cells)
+                        out.append((r.who, r.field, new.ravel().tolist(), float(np.abs(new - old).max())))
+                    yield pd.DataFrame(out, columns=["who", "field", "tilt", "change"])
+
+            lists = sums.groupBy("who").agg(F.collect_list(F.struct("cell", "seen", "expected", "curve")).alias("c"))  # one entry a cell
+            ready = table.select("who", "field", "tilt").join(lists, "who").select("who", "field", "tilt", *(F.col(f"c.{c}").alias(c) for c in ("cell", "seen", "expected", "curve")))
+            table = cut(ready.mapInPandas(update, "who long, field string, tilt array<double>, change double"))
+            change = table.agg(F.max("change")).first()[0] or 0.0
+        for f, t in total.items():
+            mass = t.sum(axis=1) + 1.0
+            priors[f] = mass / mass.sum()
+        if turn and change < tolerance:
             break
-    final = models
+    shared, final = spark.sparkContext.broadcast(tilts) if local else None, dict(priors)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for field, part in pdf.groupby("field"):
-                m = final[field]
-                item, who, label = _flat(part)
-                q, _, hot = _posteriors(m.sigma, m.prior, item, who, label, len(part), beta, item_rounds)
+                q, _, item, who, hot, times = fitted(part, shared.value if shared else None, final[field])
                 best = q.argmax(axis=1)
-                votes = np.zeros((len(part), len(m.values)))
-                np.add.at(votes, item, hot)
+                votes = np.zeros((len(part), len(final[field])))
+                np.add.at(votes, item, hot * times[:, None])
                 n = votes.sum(axis=1)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     agreement = (votes * (votes - 1)).sum(axis=1) / (n * (n - 1))
@@ -239,42 +331,49 @@ def minimax_consensus(
                     {
                         "item": part["item"].to_numpy(),
                         "field": field,
-                        "consensus": [m.values[b] for b in best],
+                        "consensus": [values[field][b] for b in best],
                         "probability": q[np.arange(len(part)), best],
                         "agreement": [None if np.isnan(a) else float(a) for a in agreement],
-                        "n_annotators": part["n_annotators"].to_numpy(),
+                        "n_annotators": [len(set(w)) for w in part["who"]],
                         "n_labels": n.astype(int),
                     }
                 )
 
-    consensus = items.mapInPandas(
+    consensus = items(None if local else table).mapInPandas(
         decide, "item string, field string, consensus string, probability double, agreement double, n_annotators long, n_labels long"
     )
-    rows = []
-    for field, m in final.items():
-        right = np.exp(_log_softmax(m.sigma))[:, np.arange(len(m.values)), np.arange(len(m.values))] @ m.prior
-        rows += [(field, a, float(r)) for a, r in zip(m.annotators, right, strict=True)]
-    fitted = spark.createDataFrame(rows, "field string, fitted string, reliability double")
-    known = names.where(F.col("annotator") != POOLED).select("field", "annotator", F.col("annotator").alias("fitted"))
-    reliability = (
-        counted.join(F.broadcast(known), ["field", "annotator"], "left")
-        .withColumn("pooled", F.col("fitted").isNull())
-        .withColumn("fitted", F.coalesce("fitted", F.lit(POOLED)))
-        .join(F.broadcast(fitted), ["field", "fitted"])
-        .select("field", "annotator", "n_labels", "reliability", "pooled")
-    )
-    return consensus, reliability
 
+    def right(field, tilt):
+        k = len(final[field])
+        return float(np.exp(_log_softmax(tilt))[np.arange(k), np.arange(k)] @ final[field])
 
-def _log_sum_exp(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=-1, keepdims=True)
-    return top + np.log(np.exp(x - top).sum(axis=-1, keepdims=True))
+    if local:
+        rows = [(w, right(f, tilts[np.array([w])][0, : len(values[f]), : len(values[f])])) for w, f in field_of.items()]
+        rated = spark.createDataFrame(rows, "who long, reliability double")
+    else:
+
+        def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                shaped = [right(f, np.asarray(t, float).reshape(len(final[f]), -1)) for f, t in zip(pdf["field"], pdf["tilt"], strict=True)]
+                yield pd.DataFrame({"who": pdf["who"], "reliability": shaped})
+
+        rated = table.select("who", "field", "tilt").mapInPandas(rate, "who long, reliability double")
+    return consensus, counted.join(rated, "who").select("field", "annotator", "n_labels", "reliability")
+
+
+class _Ragged:
+    """Square tilts of different sizes in one array, by annotator."""
 
+    def __init__(self, tilts: dict[int, np.ndarray], n: int, k: int):
+        self.all = np.zeros((n, k, k))
+        for who, t in tilts.items():
+            self.all[who, : len(t), : len(t)] = t
 
-def _window(part: str, *order):
-    from pyspark.sql import Window
+    def __getitem__(self, who: np.ndarray) -> np.ndarray:
+        return self.all[who]
 
-    return Window.partitionBy(part).orderBy(*order)
+    def put(self, who: np.ndarray, tilts: np.ndarray) -> None:
+        self.all[who, : tilts.shape[1], : tilts.shape[2]] = tilts
 
 
 def krippendorff_alpha(labels: DataFrame) -> DataFrame:

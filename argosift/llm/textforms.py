@@ -20,7 +20,8 @@ LOOK_ALIKES = dict(
 _TABLE = str.maketrans(LOOK_ALIKES)
 #: Zero-width and direction marks, soft hyphen, variation selectors.
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+#: A tag of any length: a name, then attributes with or without values; "a <b c> d" is one, "a<b, c>d" is none.
+_TAG = re.compile(r"""</?[A-Za-z][\w:.-]*(?:\s+[A-Za-z_:@][\w:.-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))?)*\s*/?>""")
 _ESCAPE = re.compile(r"\\(?:([nrt])|u([0-9a-fA-F]{4})|([\"/\\]))")
 #: A hyphen (also with look-alikes) at a line break, with the quote marks a mail program puts before the next line.
 _HYPHEN_BREAK = re.compile("[-\u2010\u2011\u00ac][ \t]*[\r\n\u2028\u2029\x85]+[ \t>|]*")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,13 +38,42 @@ def test_reliable_minority_beats_unreliable_majority(spark):
     assert min(rel["good1"], rel["good2"]) > max(rel["bad1"], rel["bad2"], rel["bad3"]) + 0.2
 
 
-def test_rare_annotators_share_parameters_and_nothing_is_lost(spark):
-    data = [(f"r{i}", f"w{i % 7}", "c", None) for i in range(30)] + [(f"r{i}", "main", "d" if i % 9 == 0 else "c", None) for i in range(30)]
-    labels = C.long_labels(rows(spark, data), "run", "who", FIELDS, "at")
-    found, reliability = C.minimax_consensus(labels, FIELDS, rounds=4, max_annotators=1)
-    assert found.count() == 30
-    rel = {r["annotator"]: r["pooled"] for r in reliability.collect()}
-    assert len(rel) == 8 and not rel["main"] and all(rel[f"w{i}"] for i in range(7))
+def test_tilts_as_a_table_give_the_same_and_every_annotator_has_its_own(spark):
+    rng = random.Random(5)
+    values = FIELDS["cls"]
+    data = [(f"r{i}", f"w{rng.randrange(9)}", rng.choice(values), None) for i in range(60) for _ in range(4)]
+    data += [(f"r{i}", "main", values[i % 3], None) for i in range(60)]
+    labels = C.long_labels(rows(spark, data), "run", "who", FIELDS, "at").cache()
+    both = [C.minimax_consensus(labels, FIELDS, rounds=5, local_bytes=n) for n in (1 << 20, 0)]
+    (one, rated), (many, rated_too) = [(c.toPandas().sort_values("item", ignore_index=True), r.toPandas().sort_values("annotator", ignore_index=True)) for c, r in both]
+    assert len(one) == 60 and one.drop(columns="probability").equals(many.drop(columns="probability"))
+    assert np.allclose(one["probability"], many["probability"], atol=1e-6)
+    assert len(rated) == 10 and rated["reliability"].nunique() == 10 and np.allclose(rated["reliability"], rated_too["reliability"], atol=1e-6)
+
+
+def test_item_tilts_reach_the_optimum_of_the_dual():
+    rng = np.random.default_rng(2)
+    k, n, n_items, beta = 3, 40, 6, 1.5
+    sigma, prior = rng.normal(size=(n, k, k)), np.array([0.5, 0.3, 0.2])
+    item, label, times = rng.integers(0, n_items, n), rng.integers(0, k, n), rng.integers(1, 3, n)
+
+    def dual(tau, j):
+        rows = np.flatnonzero(item == j)
+        x = sigma[rows] + tau
+        log_p = x - np.log(np.exp(x).sum(axis=2, keepdims=True))
+        likely = np.log(prior) + (times[rows, None] * log_p[np.arange(len(rows)), :, label[rows]]).sum(axis=0)
+        return np.log(np.exp(likely).sum()) - beta / 2 * (tau**2).sum()
+
+    _, tau, _ = C.fit_items(sigma, prior, item, label, times, n_items, beta, tolerance=1e-7, most=500)
+    _, short, _ = C.fit_items(sigma, prior, item, label, times, n_items, beta, most=2)
+    for j in range(n_items):
+        best = dual(tau[j], j)
+        assert best >= dual(short[j], j) - 1e-9
+        for c in np.ndindex(k, k):
+            for d in (1e-3, -1e-3):
+                near = tau[j].copy()
+                near[c] += d
+                assert dual(near, j) <= best + 1e-9
 
 
 def test_empty_input_and_single_labels(spark):
