@@ -77,8 +77,8 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    members, links, _ = spans.shared_spans(_texts(spark, sf))
-    return spans.pairs_of_ids(members, links)
+    members, sets, _ = spans.shared_spans(_texts(spark, sf))
+    return spans.pairs_of_ids(members, spans.links(sets))
 
 
 def p4_shared_share(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,6 +87,11 @@ def p4_shared_share(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_share(texts, members, found)
 
 
+def p4_memberships(spark: SparkSession, sf: str) -> DataFrame:
+    members, sets, _ = spans.shared_spans(_texts(spark, sf))
+    return spans.memberships(members, sets)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf, "chunks")).where("piece = 0").select("chunk_id", "cut").distinct()
 
@@ -125,7 +130,7 @@ def p8_source_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        p1_found, p1_consensus, p1_reliability, p1_agreement, p3_found, p3_ranking, p3_win_matrix, p4_found, p4_shared_share,
+        p1_found, p1_consensus, p1_reliability, p1_agreement, p3_found, p3_ranking, p3_win_matrix, p4_found, p4_shared_share, p4_memberships,
         p5_found, p5_pieces, p6_pack, p7_found, p7_items, p8_found, p8_scores, p8_source_rates,
     )
     return {f.__name__: f for f in every}

@@ -2,11 +2,15 @@
 
 Windows of ``w = length - period + 1`` characters are hashed only at positions whose remainder modulo ``period`` is in a difference
 cover. For any two places i and j there is a shift d < period with both i + d and j + d in the cover, so two texts that share
-``length`` characters share the hash of an aligned window. Anchors seen in two different texts are extended to whole spans.
+``length`` characters share the hash of an aligned window. Around the anchors that two texts share, windows of the full length are
+hashed: those with equal hash stand in one group.
 
-Exact copies are folded to one text before, and unfolded after. Anchors that very many texts share would give all pairs of those
-texts, whether or not the match extends: they are refined first, by hashing the full-length windows around them, so that what is
-paired in a group shares the full length. Every extension is checked on the characters themselves.
+A group is never expanded into pairs to find spans: each of its windows is compared, character by character, with the group's
+representative (the window of the smallest class) only, in runs of consecutive windows. As all are equal to the representative, they
+are equal to each other. What the shares need is therefore linear in the shared characters, however many texts share a passage. Pairs are
+made only where pairs are asked for, from the distinct sets of texts that share some window.
+
+Exact copies are folded to one text before, and unfolded after.
 """
 
 from __future__ import annotations
@@ -86,20 +90,22 @@ def gather_texts(*sources: tuple[DataFrame, str, str]) -> DataFrame:
     return rows
 
 
-def shared_spans(texts: DataFrame, length: int = 200, hot: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(members, links, spans)`` of texts ``(id, text)``; an id may have several texts, each of which stands for itself.
+def shared_spans(texts: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(members, sets, spans)`` of texts ``(id, text)``; an id may have several texts, each of which stands for itself.
 
     members: id, class, n_chars: the class is that of equal texts (null ids, null texts and texts under ``length`` take no part).
-    links: class_a < class_b: pairs of different texts that share at least ``length`` consecutive characters (code points).
-    spans: class, start, end: maximal stretches of a text that lie in matches with other texts (not merged where they overlap).
-    ``hot``: anchors in more texts than this are refined before pairing; it changes the way, not the result.
+    sets: set, class: the classes that share a passage of ``length`` characters (code points), one set for all passages that the same
+    classes share; sets whose texts all belong to one id are none. :func:`links` gives their pairs.
+    spans: class, start, end: maximal stretches of a text whose every window of ``length`` characters stands under another id too (not
+    merged where they overlap).
     """
     period, cover = cover_for(length)
     width = length - period + 1
-    rows = texts.where(F.col("id").isNotNull() & (F.length("text") >= length)).select("id", "text")
-    rows = rows.withColumn("class", F.xxhash64("text", F.reverse("text")))
-    members = rows.groupBy("class", "id").agg(F.max(F.length("text")).alias("n_chars"))
-    classes = cut(spread(rows.groupBy("class").agg(F.first("text").alias("text"))))
+    rows = texts.where(F.col("id").isNotNull() & (F.length("text") >= length)).select("id", "text", F.sha2("text", 256).alias("sha"))
+    folded = rows.select("sha", "text").distinct().withColumn("class", F.monotonically_increasing_id())
+    classes = cut(spread(folded))
+    members = cut(rows.select("id", "sha").distinct().join(classes.select("sha", "class", F.length("text").alias("n_chars")), "sha").select("id", "class", "n_chars"))
+    classes = classes.select("class", "text")
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher()
@@ -114,14 +120,6 @@ def shared_spans(texts: DataFrame, length: int = 200, hot: int = 64) -> tuple[Da
             if out:
                 yield pd.concat(out)
 
-    found = classes.mapInPandas(anchors, "hash long, class long, pos int")
-    groups = found.groupBy("hash").agg(
-        F.min("class").alias("low"), F.max("class").alias("high"), F.approx_count_distinct("class").alias("size")
-    )
-    shared = cut(groups.where("low <> high").select("hash", (F.col("size") > hot).alias("hot")))
-    kept = cut(found.join(shared, "hash").select("hash", "hot", "class", "pos"))
-    plain = kept.where("not hot").select("hash", "class", "pos")
-
     def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = _Hasher()
         for pdf in batches:
@@ -134,68 +132,102 @@ def shared_spans(texts: DataFrame, length: int = 200, hot: int = 64) -> tuple[Da
             if out:
                 yield pd.concat(out)
 
-    places = kept.where("hot").groupBy("class").agg(F.collect_set("pos").alias("places"))  # positions of one text
-    refined = classes.join(places, "class").mapInPandas(refine, "hash long, class long, pos int")
-    refined = cut(refined)
-    # All places of a window that another text has are shared; runs of them are one span.
-    several = refined.groupBy("hash").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("hash")
-    run = F.col("pos") - F.row_number().over(Window.partitionBy("class").orderBy("pos"))
-    windows = refined.join(several, "hash").select("class", "pos").distinct().withColumn("run", run)
-    repeated = windows.groupBy("class", "run").agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end")).drop("run")
-    # One window a (hash, class) for the links: a repeated passage within a text needs no pair for each of its places.
-    refined = refined.groupBy("hash", "class").agg(F.min("pos").alias("pos"))
-
-    def pair(anchored: DataFrame) -> DataFrame:
-        a, b = anchored.alias("a"), anchored.alias("b")
-        return a.join(b, (F.col("a.hash") == F.col("b.hash")) & (F.col("a.class") < F.col("b.class"))).select(
-            F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"), F.col("a.pos").alias("pos_a"), (F.col("a.pos") - F.col("b.pos")).alias("diagonal")
-        )
-
-    seeds = pair(plain).unionByName(pair(refined)).groupBy("class_a", "class_b", "diagonal").agg(F.collect_set("pos_a").alias("seeds"))
-    joined = (
-        seeds.join(classes.select(F.col("class").alias("class_a"), F.col("text").alias("text_a")), "class_a")
-        .join(classes.select(F.col("class").alias("class_b"), F.col("text").alias("text_b")), "class_b")
-    )
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for a, b, diagonal, seeds_, ta, tb in zip(pdf["class_a"], pdf["class_b"], pdf["diagonal"], pdf["seeds"], pdf["text_a"], pdf["text_b"], strict=True):
-                x, y = code_points(ta), code_points(tb)
-                low, high = max(0, diagonal), min(len(x), len(y) + diagonal)
-                same = x[low:high] == y[low - diagonal : high - diagonal]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
-                for s, e in zip(edge[::2] + low, edge[1::2] + low, strict=True):
-                    if e - s >= length and any(s <= p < e for p in seeds_):
-                        out.append((a, b, int(s), int(e), int(s - diagonal), int(e - diagonal)))
-            yield pd.DataFrame(out, columns=["class_a", "class_b", "start_a", "end_a", "start_b", "end_b"])
-
-    matches = cut(joined.mapInPandas(extend, "class_a long, class_b long, start_a int, end_a int, start_b int, end_b int"))
-    links = matches.select("class_a", "class_b").distinct()
-    spans = matches.select(F.explode(F.array(
-        F.struct(F.col("class_a").alias("class"), F.col("start_a").alias("start"), F.col("end_a").alias("end")),
-        F.struct(F.col("class_b").alias("class"), F.col("start_b").alias("start"), F.col("end_b").alias("end")),
-    )).alias("s")).select("s.*").unionByName(repeated).distinct()
-    return members, links, spans
-
-
-def pairs_of_ids(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``(id_a, id_b)``, id_a < id_b: pairs of ids with a text in the same class or in linked classes."""
+    found = cut(classes.mapInPandas(anchors, "hash long, class long, pos int"))
+    shared = found.groupBy("hash").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("hash")
+    places = found.join(shared, "hash").groupBy("class").agg(F.collect_list("pos").alias("places"))  # positions of one text
+    windows = cut(classes.join(places, "class").mapInPandas(refine, "hash long, class long, pos int"))
+    while True:
+        groups = (
+            windows.groupBy("hash", "class").agg(F.min("pos").alias("pos"))
+            .groupBy("hash").agg(
+                F.min("class").alias("rep"), F.min_by("pos", "class").alias("rep_pos"), F.count("*").alias("n"),
+                F.bit_xor(F.xxhash64("class")).alias("s1"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("s2"),
+            )
+            .where("n > 1")
+        )
+        groups = cut(groups)
+        # Consecutive windows of a text whose representatives are consecutive too are one run, compared at once.
+        placed = windows.join(groups.select("hash", "rep", "rep_pos"), "hash").withColumn("diagonal", F.col("pos") - F.col("rep_pos"))
+        run = F.col("pos") - F.row_number().over(Window.partitionBy("class", "rep", "diagonal").orderBy("pos"))
+        runs = placed.where("class <> rep or diagonal <> 0").withColumn("run", run)
+        runs = runs.groupBy("class", "rep", "diagonal", "run").agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end"))
+        wrong = cut(_unequal(runs, classes, length).join(placed, ["class", "pos"]).select("hash").distinct())
+        if not wrong.head(1):
+            break
+        # A hash stood for different characters: its windows are keyed anew by the characters themselves.
+        doubtful = windows.join(wrong, "hash", "left_semi").join(classes, "class")
+        renamed = doubtful.select(F.xxhash64(F.sha2(F.expr(f"substring(text, pos + 1, {length})"), 256), "hash").alias("hash"), "class", "pos")
+        windows = cut(windows.join(wrong, "hash", "left_anti").unionByName(renamed))
+    # One set for all groups of the same classes; it counts if its texts stand under two ids.
+    first = groups.groupBy("n", "s1", "s2").agg(F.min("hash").alias("set"))
+    ids = members.groupBy("class").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    in_set = first.join(windows.withColumnRenamed("hash", "set"), "set").select("set", "n", "s1", "s2", "class").distinct().join(ids, "class")
+    several = in_set.groupBy("set", "n", "s1", "s2").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    several = cut(several.select("set", "n", "s1", "s2"))
+    sets = in_set.join(several.select("set"), "set", "left_semi").select("set", "class")
+    good = groups.join(several, ["n", "s1", "s2"], "left_semi").select("hash")
+    stretch = F.col("pos") - F.row_number().over(Window.partitionBy("class").orderBy("pos"))
+    kept = windows.join(good, "hash", "left_semi").select("class", "pos").distinct().withColumn("run", stretch)
+    spans = kept.groupBy("class", "run").agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end")).drop("run")
+    return members, sets, spans
+
+
+def _unequal(runs: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """``(class, pos)`` of the windows in ``runs`` that differ from their representative's in some character."""
+    mine, other = classes.select("class", F.col("text").alias("text_a")), classes.select(F.col("class").alias("rep"), F.col("text").alias("text_b"))
+    a = F.substring(F.col("text_a"), F.col("start") + 1, F.col("end") - F.col("start"))
+    b = F.substring(F.col("text_b"), F.col("start") - F.col("diagonal") + 1, F.col("end") - F.col("start"))
+    pieces = runs.join(mine, "class").withColumn("a", a).drop("text_a").join(other, "rep").withColumn("b", b).drop("text_b").where("a <> b")
+    each = pieces.select("class", "start", "a", "b", F.explode(F.sequence(F.lit(0), F.length("a") - length)).alias("i"))
+    differs = F.substring(F.col("a"), F.col("i") + 1, F.lit(length)) != F.substring(F.col("b"), F.col("i") + 1, F.lit(length))
+    return each.where(differs).select("class", (F.col("start") + F.col("i")).cast("int").alias("pos"))
+
+
+def _pairs_within(df: DataFrame, group: str, key: str, slice_: int = 1000) -> DataFrame:
+    """``(a, b)``, a < b, of all keys with the same ``group``. A group of more than ``slice_`` keys is cut into slices: each row is met by one
+    slice at a time, so that no task holds more than a slice and its partners' share of the group."""
+    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / slice_).alias("slices")).where("slices > 1")
+    rows = df.join(sizes, group, "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    left = rows.select(group, F.col(key).alias("a"), F.pmod(F.xxhash64(key), F.col("slices")).alias("slice"))
+    right = rows.select(group, F.col(key).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    return left.join(right, [group, "slice"]).where("a < b").select("a", "b")
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """``(class_a, class_b)``, class_a < class_b: pairs of different texts that share at least ``length`` consecutive characters."""
+    return _pairs_within(sets, "set", "class").distinct().select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+
+
+def pairs_of_ids(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """``(id_a, id_b)``, id_a < id_b: pairs of ids with a text in the same class or in linked classes.
+
+    This lists every pair, so it grows with the square of the number of ids that share one passage; :func:`memberships` does not.
+    """
+    copies = _pairs_within(members.select("class", "id"), "class", "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     m = members.select("class", "id")
-    copies = m.alias("a").join(m.alias("b"), (F.col("a.class") == F.col("b.class")) & (F.col("a.id") < F.col("b.id")))
-    linked = (
-        links.join(m.withColumnsRenamed({"class": "class_a", "id": "x"}), "class_a")
+    across = (
+        linked.join(m.withColumnsRenamed({"class": "class_a", "id": "x"}), "class_a")
         .join(m.withColumnsRenamed({"class": "class_b", "id": "y"}), "class_b")
         .where("x <> y")
         .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     )
-    return copies.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).unionByName(linked).distinct()
+    return copies.unionByName(across).distinct()
+
+
+def memberships(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(id, class_id, passages)`` for each text of an id that has ``length`` characters or more: the smallest id with the same text, and
+    the sets of texts it shares passages with, as ``first|number`` with the smallest id in the set. Two ids share a passage if their texts are in one class or
+    one set, so this says the same as :func:`pairs_of_ids`, in rows that are as many as the texts."""
+    low = members.groupBy("class").agg(F.min("id").alias("class_id"))
+    named = sets.join(low, "class")
+    named = named.join(named.groupBy("set").agg(F.min("class_id").alias("first")), "set").groupBy("class").agg(F.array_sort(F.collect_list(F.concat_ws("|", "first", F.col("set").cast("string")))).alias("passages"))
+    return members.join(low, "class").join(named, "class", "left").select("id", "class_id", F.coalesce("passages", F.array().cast("array<string>")).alias("passages"))
 
 
 def shared_share(texts: DataFrame, members: DataFrame, spans: DataFrame) -> DataFrame:
     """``(id, n_texts, n_chars, shared_chars, share)`` for every id: characters that lie in a span shared with another text.
 
-    An equal text under another id is shared as a whole. Texts below the length count in n_chars only; share is null if n_chars is 0.
+    An equal text under another id is shared as a whole. Equal texts of one id count once. Texts below the length count in n_chars only; share is null if n_chars is 0.
     """
     w = Window.partitionBy("class").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -205,15 +237,13 @@ def shared_share(texts: DataFrame, members: DataFrame, spans: DataFrame) -> Data
         .agg(F.sum(F.greatest(F.col("end") - F.col("from"), F.lit(0))).alias("covered"))
     )
     copies = members.groupBy("class").agg((F.count_distinct("id") > 1).alias("copied"))
-    whole = texts.where("id is not null").groupBy("id").agg(
+    whole = texts.where("id is not null").distinct().groupBy("id").agg(
         F.count("text").alias("n_texts"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars")
     )
-    distinct_texts = texts.where("id is not null and text is not null").withColumn("class", F.xxhash64("text", F.reverse("text")))
     part = (
-        distinct_texts.groupBy("id", "class").agg(F.count("*").alias("times"), F.max(F.length("text")).alias("size"))
-        .join(covered, "class", "left")
+        members.join(covered, "class", "left")
         .join(copies, "class", "left")
-        .select("id", (F.col("times") * F.when(F.coalesce("copied", F.lit(False)), F.col("size")).otherwise(F.coalesce("covered", F.lit(0)))).alias("n"))
+        .select("id", F.when(F.coalesce("copied", F.lit(False)), F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).alias("n"))
         .groupBy("id")
         .agg(F.sum("n").alias("shared_chars"))
     )

@@ -34,14 +34,19 @@ def test_covers():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-@pytest.mark.parametrize(("length", "hot"), [(30, 64), (30, 1), (41, 64)])
-def test_pairs_against_brute_force(spark, length, hot):
+@pytest.mark.parametrize("length", [30, 41])
+def test_pairs_against_brute_force(spark, length):
     rows = corpus(length)
     texts = spark.createDataFrame([(i, t, "clash") for i, t in rows], "id string, text string, class string").select("id", "text")
-    members, links, _ = S.shared_spans(texts, length, hot)
-    got = {tuple(r) for r in S.pairs_of_ids(members, links).collect()}
+    members, sets, _ = S.shared_spans(texts, length)
+    got = {tuple(r) for r in S.pairs_of_ids(members, S.links(sets)).collect()}
     want = brute([r for r in rows if r[0] is not None], length)
     assert got == want and want
+    met = defaultdict(set)
+    for r in S.memberships(members, sets).collect():
+        for name in [("class", r["class_id"]), *r["passages"]]:
+            met[name].add(r["id"])
+    assert {(a, b) for ids in met.values() for a in ids for b in ids if a < b} == want
 
 
 def test_share(spark):
@@ -63,17 +68,42 @@ def test_arrays_stand_for_themselves_and_empty_table(spark):
     a, b = "x" * 20 + "0123456789" * 2, "0123456789" * 2
     units = spark.createDataFrame([("u", [a[:20], b, None]), ("v", [b, ""]), ("w", None)], "id string, ss array<string>")
     texts = S.gather_texts((units, "id", "ss"))
-    members, links, _ = S.shared_spans(texts, 20)
-    assert {tuple(r) for r in S.pairs_of_ids(members, links).collect()} == {("u", "v")}
-    members, links, spans = S.shared_spans(texts.limit(0), 20)
-    assert S.pairs_of_ids(members, links).count() == 0 and S.shared_share(texts.limit(0), members, spans).count() == 0
+    members, sets, _ = S.shared_spans(texts, 20)
+    assert {tuple(r) for r in S.pairs_of_ids(members, S.links(sets)).collect()} == {("u", "v")}
+    members, sets, spans = S.shared_spans(texts.limit(0), 20)
+    assert S.pairs_of_ids(members, S.links(sets)).count() == 0 and S.shared_share(texts.limit(0), members, spans).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 64])
-def test_share_counts_every_place_of_a_passage(spark, hot):
+def test_share_counts_every_place_of_a_passage(spark):
     shared = "".join(random.Random(3).choices("abcdefgh", k=40))
     rows = [("a", "1" * 9 + shared + "2" * 25 + shared + "3" * 7), *((f"b{i}", str(i) * 12 + shared) for i in range(4, 8)), ("c", "9" * 60)]
-    texts = spark.createDataFrame(rows, "id string, text string")
-    members, _, spans = S.shared_spans(texts, 30, hot)
+    texts = spark.createDataFrame([*rows, ("d", shared[:35] + "0" * 9), ("d", shared[:35] + "5" * 9)], "id string, text string")
+    members, _, spans = S.shared_spans(texts, 30)
     got = {r["id"]: r["shared_chars"] for r in S.shared_share(texts, members, spans).collect()}
-    assert got == {"a": 80, "b4": 40, "b5": 40, "b6": 40, "b7": 40, "c": 0}
+    assert got == {"a": 80, "b4": 40, "b5": 40, "b6": 40, "b7": 40, "c": 0, "d": 70}
+
+
+def test_two_texts_of_one_id_share_with_nobody(spark):
+    shared = "".join(random.Random(3).choices("abcdefgh", k=40))
+    texts = spark.createDataFrame([("a", "1" * 9 + shared), ("a", "2" * 9 + shared), ("b", "3" * 50)], "id string, text string")
+    members, sets, spans = S.shared_spans(texts, 30)
+    assert sets.count() == 0
+    assert {r["id"]: r["shared_chars"] for r in S.shared_share(texts, members, spans).collect()} == {"a": 0, "b": 0}
+
+
+def test_shares_of_one_passage_are_linear_in_its_texts(spark):
+    rng = random.Random(3)
+    shared = "".join(rng.choices("abcdefgh", k=60))
+    for n in (100, 400):
+        rows = [(f"t{i:04}", "".join(rng.choices("0123456789", k=40)) + chr(1000 + i) + shared + chr(1000 + i) + "9" * (i % 29)) for i in range(n)]
+        members, sets, spans = S.shared_spans(spark.createDataFrame(rows, "id string, text string"), 30)
+        assert spans.count() == n and sets.count() == n
+
+
+def test_hashes_that_stand_for_different_characters_are_told_apart(spark, monkeypatch):
+    real = S.window_hashes
+    monkeypatch.setattr(S, "window_hashes", lambda codes, starts, width, up, down: real(codes, starts, width, up, down) % 50)
+    rows = corpus(30, 12)
+    texts = spark.createDataFrame(rows, "id string, text string")
+    members, sets, _ = S.shared_spans(texts, 30)
+    assert {tuple(r) for r in S.pairs_of_ids(members, S.links(sets)).collect()} == brute([r for r in rows if r[0] is not None], 30)
