@@ -1,132 +1,190 @@
 """Evaluation texts leaking into training text, by greedy string tiling.
 
-Items and documents become sequences of words (see :mod:`argosift.llm.textforms`). Seeds are runs of ``least`` words that occur in some
-item. Only where a document has seeds, the item and the document are tiled: the longest common run that overlaps no earlier tile is
-marked, again and again, until no run of ``least`` words is left; matches are found by the rolling hash of their first ``least`` words
-(running Karp-Rabin) and checked word by word. A document holds an item whose words are covered to at least ``coverage``.
+Items and documents become sequences of word hashes (see :mod:`argosift.llm.textforms`). Seeds are runs of ``least`` words that occur in some
+item. Where a document has seeds of an item, the two are tiled by running Karp-Rabin: runs of a search length are found by rolling hashes
+and checked word by word, the longest that overlap no earlier tile are marked first, and the search length falls until it is ``least``.
+A document holds an item whose words are covered to at least ``coverage``.
 
-Distribution: one pass over the documents, without shuffle. The items are a stated query set; they go to the tasks in blocks of at most
-``block_bytes`` of text, and each block is one such pass, so any number of items can be searched.
+Distribution: one pass over the documents, without a shuffle of texts. What goes to that pass is a Bloom filter of the items' seeds (32 bits a
+seed, at most ``filter_bits`` in all, so its size is bounded; a fuller filter only lets more through). Out come, for documents that may hold
+something, the stretches of words under seeds. These are joined to the items by seed. An item that is covered to the threshold has a known
+number of its seeds in the document, so it is enough to join each item's rarest seeds, all but one less than that number: a seed that very
+many items have ("in the present study") brings no items that its own seeds do not bring.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from argosift.llm.textforms import bare_word, plain
+from argosift.runtime import cut
+
+_KNOWN_WORDS = 300_000
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
-_KNOWN_WORDS = 2_000_000
-
-
-class ItemIndex:
-    """Words and seeds of the items."""
-
-    def __init__(self, items: list[tuple[int, str]], least: int):
-        self.least = least
-        self.codes: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
-        self.cache: dict[str, int] = {}
-        seeds: dict[tuple, set[int]] = defaultdict(set)
-        for item, text in items:
-            words = [self.codes.setdefault(w, len(self.codes) + 1) for w in map(bare_word, plain(text or "").split()) if w]
-            if len(words) >= least:
-                for i in range(len(words) - least + 1):
-                    seeds[tuple(words[i : i + least])].add(len(self.items))
-                self.items.append((item, words))
-        self.base = np.uint64(len(self.codes) * 2 + 3)
-        keys: dict[int, set[int]] = defaultdict(set)
-        for seed, where in seeds.items():
-            keys[int(self._keys(np.array(seed, dtype=np.uint64))[0])] |= where
-        self.keys = np.array(sorted(keys), dtype=np.uint64)
-        self.where = [sorted(keys[int(k)]) for k in self.keys]
-
-    def _keys(self, codes: np.ndarray) -> np.ndarray:
-        n = len(codes) - self.least + 1
-        out = np.zeros(max(0, n), np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(self.least if n > 0 else 0):
-                out = out * self.base + codes[i : i + n]
-        return out
 
-    def encode(self, text: str) -> np.ndarray:
-        """Codes of a document's words; 0 for words of no item."""
-        cache, out = self.cache, []
-        get = cache.get
+class Words:
+    """Texts as sequences of 64-bit hashes of their bare words (never 0)."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        out, known = [], self.known
         for raw in plain(text).split():
-            code = get(raw)
+            code = known.get(raw)
             if code is None:
                 word = bare_word(raw)
-                code = self.codes.get(word, 0) if word else -1
-                if len(cache) > _KNOWN_WORDS:
-                    cache.clear()
-                cache[raw] = code
-            out.append(code)
-        codes = np.array(out, dtype=np.int64)
-        return codes[codes >= 0].astype(np.uint64)
-
-    def candidates(self, codes: np.ndarray) -> dict[int, int]:
-        """Items with a seed in the document, and how many places it has seeds at."""
-        known = codes > 0
-        runs = np.convolve(known, np.ones(self.least, int), "valid") == self.least if len(codes) >= self.least else np.zeros(0, bool)
-        keys = self._keys(codes)[runs]
-        found: dict[int, int] = defaultdict(int)
-        if len(keys) and len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            for k in at[self.keys[at] == keys]:
-                for item in self.where[k]:
-                    found[item] += 1
+                code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1 if word else 0
+                if len(known) >= _KNOWN_WORDS:
+                    known.clear()
+                known[raw] = code
+            if code:
+                out.append(code)
+        return np.array(out, dtype=np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+class Rolling:
+    """Hashes of all windows of a sequence for any window length, from one running sum."""
+
+    _up = _down = np.ones(1, np.uint64)
+
+    def __init__(self, codes: np.ndarray):
+        if len(codes) >= len(Rolling._up):
+            size = 2 * len(codes) + 64
+            with np.errstate(over="ignore"):
+                Rolling._up, Rolling._down = (np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size, b, np.uint64)], dtype=np.uint64) for b in (_BASE, _INVERSE))
+        with np.errstate(over="ignore"):
+            self.sums = np.r_[np.zeros(1, np.uint64), np.cumsum(codes * Rolling._up[: len(codes)], dtype=np.uint64)]
+
+    def windows(self, width: int) -> np.ndarray:
+        n = max(0, len(self.sums) - width)
+        with np.errstate(over="ignore"):
+            return _mix((self.sums[width : width + n] - self.sums[:n]) * Rolling._down[:n])
+
+
+class SeedFilter:
+    """A Bloom filter with three places a key."""
+
+    def __init__(self, n: int, most_bits: int):
+        bits = 1 << max(10, (32 * max(n, 1) - 1).bit_length())
+        while bits > most_bits and bits > 1 << 10:
+            bits >>= 1
+        self.mask, self.field = np.uint64(bits - 1), np.zeros(bits >> 3, np.uint8)
+
+    def _places(self, keys: np.ndarray):
+        for shift in (0, 17, 34):
+            at = (keys >> np.uint64(shift)) & self.mask
+            yield (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def add(self, keys: np.ndarray) -> None:
+        for byte, bit in self._places(keys):
+            np.bitwise_or.at(self.field, byte, bit)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for byte, bit in self._places(keys):
+            out &= (self.field[byte] & bit) > 0
+        return out
+
+
+def _free_starts(taken: np.ndarray, width: int) -> np.ndarray:
+    """Starts of the windows without a taken place."""
+    before = np.r_[0, np.cumsum(taken)]
+    return np.flatnonzero(before[width:] == before[: len(before) - width]) if len(taken) >= width else np.zeros(0, int)
+
+
+def tile(item, doc, least: int, search: int = 32) -> list[tuple[int, int, int]]:
+    """Tiles ``(place in item, place in document, length)``, longest first, none overlapping another in either text; 0 in ``doc`` is a break.
+
+    Running Karp-Rabin: the search length starts at ``search``, is raised where a match is more than twice as long, and falls by halves.
+    Equally long matches are marked in order of their places.
+    """
+    item, doc = np.asarray(item, dtype=np.uint64), np.asarray(doc, dtype=np.uint64)
+    mine, other = Rolling(item), Rolling(doc)
+    taken_item, taken_doc = np.zeros(len(item), bool), doc == 0
+    tiles: list[tuple[int, int, int]] = []
+
+    def scan(width: int) -> list[tuple[int, int, int]]:
+        """Matches of at least ``width`` free words that cannot begin earlier, as ``(-length, i, j)``."""
+        left, right = _free_starts(taken_item, width), _free_starts(taken_doc, width)
+        if not len(left) or not len(right):
+            return []
+        keys, asked = mine.windows(width)[left], other.windows(width)[right]
+        order = np.argsort(keys, kind="stable")
+        low, high = (np.searchsorted(keys[order], asked, side) for side in ("left", "right"))
+        found = []
+        for at in np.flatnonzero(high > low):
+            j = int(right[at])
+            for i in left[order[low[at] : high[at]]].tolist():
+                if i and j and item[i - 1] == doc[j - 1] and not taken_item[i - 1] and not taken_doc[j - 1]:
+                    continue
+                n = min(len(item) - i, len(doc) - j)
+                same = (item[i : i + n] == doc[j : j + n]) & ~taken_item[i : i + n] & ~taken_doc[j : j + n]
+                k = n if same.all() else int(same.argmin())
+                if k >= width:
+                    found.append((-k, i, j))
         return found
 
+    width = max(least, min(search, len(item), len(doc)))
+    while True:
+        matches = scan(width)
+        longest = -min(matches)[0] if matches else 0
+        if longest > 2 * width:
+            width = longest
+            continue
+        heapq.heapify(matches)
+        while matches:
+            k, i, j = heapq.heappop(matches)
+            free = ~taken_item[i : i - k] & ~taken_doc[j : j - k]
+            if free.all():
+                taken_item[i : i - k] = taken_doc[j : j - k] = True
+                tiles.append((i, j, -k))
+                continue
+            edges = np.flatnonzero(np.diff(np.r_[0, free.view(np.int8), 0]))
+            for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if e - s >= width:
+                    heapq.heappush(matches, (s - e, i + s, j + s))
+        if width == least:
+            return tiles
+        width = max(least, width // 2) if width > 2 * least else least
+
+
+def _seeds(codes: np.ndarray, least: int) -> np.ndarray:
+    return Rolling(codes).windows(least)
 
-def tile(item: list[int], doc: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Tiles ``(place in item, place in document, length)``: longest first, none overlapping another in either text."""
-    seeds = defaultdict(list)
-    for i in range(len(item) - least + 1):
-        seeds[tuple(item[i : i + least])].append(i)
-    starts = []
-    for j in range(len(doc) - least + 1):
-        if doc[j]:
-            starts += [(i, j) for i in seeds.get(tuple(doc[j : j + least]), ())]
-    taken_item, taken_doc = [False] * len(item), [False] * len(doc)
-    tiles = []
-    while starts:
-        longest, best, open_ = least - 1, [], []
-        for i, j in starts:
-            k = 0
-            while i + k < len(item) and j + k < len(doc) and item[i + k] == doc[j + k] and not taken_item[i + k] and not taken_doc[j + k]:
-                k += 1
-            if k >= least:
-                open_.append((i, j))
-                if k > longest:
-                    longest, best = k, [(i, j)]
-                elif k == longest:
-                    best.append((i, j))
-        for i, j in best:
-            if not (taken_item[i] or taken_doc[j] or any(taken_item[i : i + longest]) or any(taken_doc[j : j + longest])):
-                taken_item[i : i + longest] = [True] * longest
-                taken_doc[j : j + longest] = [True] * longest
-                tiles.append((i, j, longest))
-        starts = open_ if best else []
-    return tiles
-
-
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most ``block_bytes`` of text (at least one item each), streamed through the driver."""
-    block, size = [], 0
-    for row in items.toLocalIterator():
-        n = len(row["text"].encode("utf-8", "surrogatepass"))
-        if block and size + n > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row["item_id"], row["text"]))
-        size += n
-    yield block
+
+def _item_words(least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for pdf in batches:
+            codes = [words(t) for t in pdf["text"]]
+            yield pd.DataFrame({
+                "item": pdf["item"], "item_id": pdf["item_id"], "words": [c.view(np.int64) for c in codes],
+                "seeds": [_seeds(c, least).view(np.int64) for c in codes],
+            })
+
+    return run
+
+
+def _pack_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"keys": [np.unique(np.concatenate([np.asarray(s, np.int64) for s in pdf["seeds"]])).tobytes() if len(pdf) else b""]})
 
 
 def leaked_items(
@@ -138,46 +196,69 @@ def leaked_items(
     item_text: str = "text",
     least: int = 4,
     coverage: float = 0.5,
-    block_bytes: int = 32 << 20,
+    filter_bits: int = 1 << 30,
 ) -> DataFrame:
     """``(doc_id, item_id, coverage, longest, tiles, item_words)`` for every document that holds an item to at least ``coverage``.
 
     Null ids or texts, and items of fewer than ``least`` words, match nothing. A document row that occurs twice gives two equal rows.
     """
+    spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(
         "doc_id is not null and text is not null"
     )
     queries = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(
         "item_id is not null and text is not null"
-    ).distinct()
-    result = None
-    for block in _blocks(queries, block_bytes):
-        found = docs.mapInPandas(_searcher(block, least, coverage), "doc_id long, item_id long, coverage double, longest int, tiles int, item_words int")
-        result = found if result is None else result.unionByName(found)
-    return result
+    ).distinct().withColumn("item", F.monotonically_increasing_id())
+    asked = cut(queries.mapInPandas(_item_words(least), "item long, item_id long, words array<long>, seeds array<long>").where(F.size("seeds") > 0))
+    n = F.size("words")
+    # A document that covers an item holds at least this many of its seed places.
+    needed = F.ceil(F.ceil(n * F.lit(coverage) - 1e-9) / least).cast("int")
+    sized = asked.agg(F.coalesce(F.sum(F.size("seeds")), F.lit(0)), F.coalesce(F.min(needed), F.lit(1))).first()
+    seeds = SeedFilter(sized[0], filter_bits)
+    for row in asked.select("seeds").mapInPandas(_pack_seeds, "keys binary").toLocalIterator():  # one batch of items at a time
+        seeds.add(np.frombuffer(row["keys"], np.uint64))
+    shared = spark.sparkContext.broadcast(seeds)
+    fewest = max(1, sized[1])
 
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for pdf in batches:
+            out = []
+            for row, d, t in zip(pdf["row"], pdf["doc_id"], pdf["text"], strict=True):
+                codes = words(t)
+                keys = _seeds(codes, least)
+                hit = np.flatnonzero(shared.value.holds(keys))
+                if len(hit) < fewest:
+                    continue
+                under = np.zeros(len(codes), bool)
+                for i in range(least):
+                    under[hit + i] = True
+                places = np.flatnonzero(under)
+                kept = np.insert(codes[places], np.flatnonzero(np.diff(places) > 1) + 1, 0)
+                out.append((row, d, kept.view(np.int64), np.unique(keys[hit]).view(np.int64)))
+            yield pd.DataFrame(out, columns=["row", "doc_id", "stretch", "seeds"])
 
-def _searcher(block, least: int, coverage: float):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = ItemIndex(block, least)
+    near = docs.withColumn("row", F.monotonically_increasing_id()).mapInPandas(stretches, "row long, doc_id long, stretch array<long>, seeds array<long>")
+    near = cut(near)
+    each = asked.select("item", (F.size("seeds") - needed + 1).alias("most"), F.explode("seeds").alias("seed"))
+    often = each.groupBy("seed").agg(F.count_distinct("item").alias("items"))
+    order = Window.partitionBy("item").orderBy("items", "seed")  # the places of one item
+    rarest = each.join(often, "seed").withColumn("n", F.row_number().over(order)).where("n <= most").select("seed", "item").distinct()
+    candidates = near.select("row", F.explode("seeds").alias("seed")).join(rarest, "seed").select("row", "item").distinct()
+
+    def tiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                codes = index.encode(t)
-                places = index.candidates(codes)
-                if not places:
+            for d, i, stretch, words, held, own in zip(*(pdf[c] for c in ("doc_id", "item_id", "stretch", "words", "held", "own")), strict=True):
+                if np.isin(own, held).sum() * least < coverage * len(words):
                     continue
-                words = None
-                for k, n in places.items():
-                    item, item_words = index.items[k]
-                    # n places start runs that cover at most least * n words of the item
-                    if n * least < coverage * len(item_words):
-                        continue
-                    words = words if words is not None else codes.tolist()
-                    tiles = tile(item_words, words, least)
-                    covered = sum(x[2] for x in tiles)
-                    if covered >= coverage * len(item_words):
-                        out.append((d, item, covered / len(item_words), max(x[2] for x in tiles), len(tiles), len(item_words)))
+                tiles = tile(np.asarray(words).view(np.uint64), np.asarray(stretch).view(np.uint64), least)
+                covered = sum(x[2] for x in tiles)
+                if covered >= coverage * len(words):
+                    out.append((d, i, covered / len(words), max(x[2] for x in tiles), len(tiles), len(words)))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "coverage", "longest", "tiles", "item_words"])
 
-    return search
+    pairs = candidates.join(asked.withColumnRenamed("seeds", "own"), "item").join(near.withColumnRenamed("seeds", "held"), "row")
+    return pairs.select("doc_id", "item_id", "stretch", "words", "held", "own").mapInPandas(
+        tiled, "doc_id long, item_id long, coverage double, longest int, tiles int, item_words int"
+    )
