@@ -5,7 +5,7 @@ tokens, and each goes to the container of least cost so far that still has room
 
 Distribution: tokens are counted where the texts lie; from then on only (document, piece, tokens) moves. These rows are dealt at random
 to shards of about ``shard_containers`` containers, each packed by one task. Containers that stay below ``good_fill`` are opened
-again and their texts dealt to fewer shards, round by round, until one shard holds the rest.
+again and their texts dealt to fewer shards, round by round; the shards of the last round keep what they pack.
 """
 
 from __future__ import annotations
@@ -165,8 +165,7 @@ def pack_documents(
     shards = max(1, math.ceil(total / (capacity * shard_containers)))
     for turn in range(rounds - 1, -1, -1):
         if turn and shards == 1:
-            continue  # one shard is packed once, for good
-        shards = shards if turn else 1 if rounds > 1 and turn == 0 and shards <= 4 else shards
+            continue  # what one task holds is packed once, for good
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", "piece", F.lit(turn)), F.lit(shards)))
         packed = cut(dealt.groupBy("shard").applyInPandas(work(turn), schema))
         placed = placed.unionByName(packed.where("done").drop("done"))

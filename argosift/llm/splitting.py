@@ -33,24 +33,26 @@ def boundaries(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def atoms(text: str, limit: int) -> tuple[list[tuple[int, int, int]], bool]:
+def atoms(text: str, limit: int, overlap: int = 0) -> tuple[list[tuple[int, int, int]], bool]:
     """Segments ``(start, end, strength of the boundary at the end)`` that tile the text, and whether a cut was forced.
 
-    White space at a boundary belongs to the segment before it, except what would carry that segment over the limit.
+    White space at a boundary belongs to the segment before it, except what would carry that segment over the limit. What must be cut
+    between boundaries is cut short enough to leave room for the overlap.
     """
+    room = max(1, limit - overlap)
     pieces: list[tuple[int, int, int]] = []
     forced, start = False, 0
     for stop, end, strength in [*boundaries(text), (len(text), len(text), 3)]:
         if stop - start > limit:
             forced = True
         while stop - start > limit:  # no natural boundary within reach: at white space, or anywhere
-            cut_at = max(text.rfind(" ", start + limit // 2, start + limit) + 1, text.rfind("\t", start + limit // 2, start + limit) + 1)
-            cut_at = cut_at if cut_at > start else start + limit
+            cut_at = max(text.rfind(" ", start + room // 2, start + room) + 1, text.rfind("\t", start + room // 2, start + room) + 1)
+            cut_at = cut_at if cut_at > start else start + room
             pieces.append((start, cut_at, 0))
             start = cut_at
         while end - start > limit:  # a long run of white space
-            pieces.append((start, start + limit, strength))
-            start += limit
+            pieces.append((start, start + room, strength))
+            start += room
         if end > start:
             pieces.append((start, end, strength))
             start = end
@@ -60,9 +62,11 @@ def atoms(text: str, limit: int) -> tuple[list[tuple[int, int, int]], bool]:
 def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, int]], bool]:
     """Pieces ``(start, core start, end)`` of a text longer than the limit, and whether a cut was forced.
 
-    Cores tile the text. A piece starts up to ``overlap`` characters before its core, at an atomic boundary if one lies there.
+    Cores tile the text. A piece starts up to ``overlap`` characters before its core: at the earliest natural boundary that leaves at least
+    half of the overlap, else at the earliest start of a word, else as early as it may. The overlap is shorter only where the piece
+    before, or the room under the limit, is.
     """
-    parts, forced = atoms(text, limit)
+    parts, forced = atoms(text, limit, overlap)
     n = len(parts)
     start, end = [p[0] for p in parts], [p[1] for p in parts]
     left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -89,8 +93,8 @@ def split_text(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int
             begin = start[i]
             if pieces:
                 least = max(begin - min(overlap, max(0, limit - (end[i] - begin))), pieces[-1][1])
-                natural = [e for e in _between(edges, least, begin)]
-                begin = natural[0] if natural else least
+                natural = _between(edges, least, begin - (begin - least) // 2)
+                begin = natural[0] if natural else _word_start(text, least, begin)
             pieces.append((begin, start[i], end[i]))
     return pieces, forced
 
@@ -106,6 +110,15 @@ def _between(edges, low: int, high: int):
     return edges[bisect_left(edges, low) : bisect_left(edges, high)]
 
 
+_WORD = re.compile(r"(?<=\s)\S")
+
+
+def _word_start(text: str, low: int, high: int) -> int:
+    """The first start of a word in the first half of the stretch, else its beginning."""
+    m = _WORD.search(text, low, low + (high - low) // 2 + 1)
+    return m.start() if m else low
+
+
 def split_oversized(
     df: DataFrame, key: str = "chunk_id", text: str = "text", carry: tuple[str, ...] = ("section",), limit: int = 4000, overlap: int = 200
 ) -> DataFrame:

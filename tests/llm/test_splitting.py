@@ -50,3 +50,11 @@ def test_operator(spark):
 def test_very_long_text():
     check("A sentence of some length stands here. " * 50_000, 4000, 200)
     check("x" * 1_000_000, 4000, 200)
+
+
+def test_overlap_is_kept():
+    rng = random.Random(1)
+    words = " ".join("".join(rng.choices("abcde", k=rng.randrange(1, 12))) for _ in range(4000))
+    for text in (words, "x" * 30_000, words.replace("a ", ". "), "Short. " * 3000):
+        pieces, _ = P.split_text(text, 1000, 100)
+        assert all(50 <= c - s <= 100 for s, c, _ in pieces[1:])
