@@ -32,8 +32,12 @@ from argosift.llm.packing import tokenizer_path
 from argosift.llm.textforms import bare_word, plain
 
 _BITS = {name: 1 << i for i, name in enumerate(lexicon.CLASSES)}
+#: Tokens that begin a run of words (an idiom, a threat, a kind of people).
+_RUN = 1 << len(lexicon.CLASSES)
 #: Classes that make a sentence worth a score.
 _LEXICAL = sum(_BITS[c] for c in (*lexicon.FUZZY, "animal", "tender", "violent", "harm", "group", "track"))
+#: Two letters set apart.
+_SPACED = re.compile(r"(?<!\S)[^\W\d_]\s+[^\W\d_](?!\S)")
 _STRETCH = re.compile(r"(.)\1{2,}")
 _MASKS = frozenset("*#@$%!&?")
 _LEET = str.maketrans("013457@$", "oieastas")
@@ -92,6 +96,17 @@ def ordinary_words(path: str) -> frozenset[str]:
         return frozenset(t[1:].decode().lower() for t in tokens if t[:1] == b" " and t[1:].isalpha() and len(t) > 4)
 
 
+class Token(NamedTuple):
+    """What is known of a token: its classes, its bare word, the term it stands for and at which distance, quote marks, whether it ends a sentence."""
+
+    flags: int
+    word: str
+    term: str
+    distance: int
+    marks: int
+    ends: bool
+
+
 class Terms:
     """A lexicon of ``(term, class, misspellings too)`` and what is found in it for a token."""
 
@@ -106,16 +121,20 @@ class Terms:
             if misspelt:
                 fuzzy[word] = fuzzy.get(word, 0) | _BITS[kind]
         self.fuzzy, self.trie, self.vocabulary = fuzzy, Trie(fuzzy), vocabulary
+        self.by_letter = {c: Trie({t: x for t, x in fuzzy.items() if t[0] == c}) for c in {t[0] for t in fuzzy if t}}
         self.every = Trie({t: flags for t, flags in self.exact.items() if flags & _LEXICAL and len(t) > 3})  # for masked letters
-        self.known: dict[str, tuple[int, str, str, int]] = {}
+        self.known: dict[str, Token] = {}
 
-    def __call__(self, raw: str) -> tuple[int, str, str, int]:
-        """``(flags, bare word, term, distance)`` of a token; the term is that of a misspelling or of a class searched with them."""
+    def __call__(self, raw: str) -> Token:
+        """What a token is; the term is that of a misspelling or of a class searched with them."""
         found = self.known.get(raw)
         if found is None:
             if len(self.known) >= 300_000:
                 self.known.clear()
-            found = self.known[raw] = self._search(raw)
+            flags, word, term, distance = self._search(raw)
+            ends = raw[-1] in ".!?…\"')]»”" and len(raw) > 1 and _END.search(raw) is not None
+            marks = sum(raw.count(q) for q in _QUOTE)
+            found = self.known[raw] = Token(flags | _RUN * (word in _RUN_STARTS), word, term, distance, marks, ends)
         return found
 
     def _plain_term(self, word: str, shown: str):
@@ -156,7 +175,7 @@ class Terms:
             for form in forms:
                 if len(form) < 4 or not form.isalpha() or form in usual or form in _NEIGHBOURS or (form.endswith("s") and form[:-1] in usual):
                     continue
-                hit = self.trie.search(form, 2 if len(form) >= 9 else 1)
+                hit = self.by_letter[form[0]].search(form, 2 if len(form) >= 9 else 1) if form[0] in self.by_letter else None
                 if hit and self._likely(form, hit) and (best is None or hit.distance < best.distance):
                     best = hit
         return (best.flags, best.term, best.term, best.distance) if best else (0, word, "", 0)
@@ -205,6 +224,8 @@ def _runs_of(text: str) -> dict[str, list[tuple[str, ...]]]:
 
 
 _IDIOMS, _KINDS, _THREATS = _runs_of(lexicon.IDIOMS), _runs_of(lexicon.KINDS), _runs_of(lexicon.THREATS)
+_RUN_STARTS = frozenset((*_IDIOMS, *_KINDS, *_THREATS, "die"))
+_BEFORE_DEATH = frozenset(lexicon.BEFORE_DEATH.split())
 _NEIGHBOURS = frozenset(lexicon.NEIGHBOURS.split())
 #: Words on either side of a term that a score looks at.
 WINDOW = 12
@@ -214,6 +235,10 @@ def _places(words: list[str], runs) -> list[int]:
     return [i for i, w in enumerate(words) for run in runs.get(w, ()) if tuple(words[i : i + len(run)]) == run]
 
 
+def _deaths(words: list[str]) -> list[int]:
+    return [i for i, w in enumerate(words) if w == "die" and i and words[i - 1] in _BEFORE_DEATH] if "die" in words else []
+
+
 def _near(a: list[int], b: list[int], reach: int) -> bool:
     return any(0 < abs(i - j) <= reach for i in a for j in b)
 
@@ -230,17 +255,18 @@ _THING_LEADS = frozenset("the a an this that it its old in at to from for with d
 _SPEAKS = {"insult": "abuse", "slur": "hate", "scorn": "abuse", "profane": "abuse", "animal": "abuse", "either": "abuse", "sex": "sexual", "tender": "sexual", "violent": "threat", "harm": "threat", "track": "threat", "group": "hate"}
 
 
-def features(part: list[tuple[int, str, str, int]], quoted: list[bool]) -> dict[str, float]:
+def features(part: list[Token], quoted: list[bool]) -> dict[str, float]:
     """What the context model knows of a sentence: which classes stand in it and within which distance of each other."""
     at = {c: [] for c in _BITS}
-    for i, (flags, *_rest) in enumerate(part):
+    for i, token in enumerate(part):
+        flags = token[0]
         if flags:
             for c, bit in _BITS.items():
                 if flags & bit:
                     at[c].append(i)
     words = [t[1] for t in part]
     idiom, kind = _places(words, _IDIOMS), _places(words, _KINDS)
-    at["harm"] += [i + 1 for i in _places(words, _THREATS)]
+    at["harm"] += [i + 1 for i in _places(words, _THREATS)] + _deaths(words)
     you, person, work, tech = at["you"], at["person"], at["work"], at["technical"]
     group = at["group"] + kind + at["slur"]
     people = you + person + at["insult"]
@@ -312,25 +338,26 @@ class Scorer:
     def __init__(self, terms: Terms, weights: np.ndarray):
         self.terms, self.weights = terms, weights
 
-    def sentences(self, text: str) -> Iterator[tuple[int, list[tuple[int, str, str, int]], list[bool]]]:
+    def sentences(self, text: str) -> Iterator[tuple[int, list[Token], list[bool]]]:
         """``(flags of all, tokens, whether each is in quotes)`` of every stretch up to a sentence end."""
-        raws = plain(text).split()
-        if sum(1 for r in raws if len(r) == 1 and r.isalpha()) >= 2:
+        text = plain(text)
+        raws = text.split()
+        if _SPACED.search(text):
             raws = self.terms.joined(raws)
         known, token = self.terms.known, self.terms
         part, quoted, flags, open_ = [], [], 0, False
         for raw in raws:
             t = known.get(raw) or token(raw)
-            marks = sum(raw.count(q) for q in _QUOTE) if not raw.isalnum() else 0
             part.append(t)
-            quoted.append(open_ or marks > 0)
-            if marks % 2:
-                open_ = not open_
-            flags |= t[0]
-            if raw[-1] in ".!?…\"')]»”" and len(raw) > 1 and _END.search(raw):
+            flags |= t.flags
+            if t.marks:
+                quoted.append(True)
+                open_ ^= t.marks % 2 == 1
+            else:
+                quoted.append(open_)
+            if t.ends:
                 yield flags, part, quoted
-                part, quoted, flags = [], [], 0
-                open_ = False
+                part, quoted, flags, open_ = [], [], 0, False
         if part:
             yield flags, part, quoted
 
@@ -356,8 +383,10 @@ class Scorer:
     @staticmethod
     def windows(flags: int, part) -> list[tuple[int, int]]:
         """The stretches of a sentence that are scored: ``WINDOW`` words on either side of each term or idiom; a short sentence is one."""
+        if not flags & (_LEXICAL | _RUN):
+            return []
         words = [t[1] for t in part]
-        idioms = [i for runs in (_IDIOMS, _KINDS, _THREATS) for i in _places(words, runs)]
+        idioms = [i for runs in (_IDIOMS, _KINDS, _THREATS) for i in _places(words, runs)] + _deaths(words) if flags & _RUN else []
         if not idioms and not flags & _LEXICAL:
             return []
         if len(part) <= 2 * WINDOW:

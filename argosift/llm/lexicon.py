@@ -67,9 +67,11 @@ NEIGHBOURS = """idiom idioms boron whorl whorls titer titers damping dumping cre
 #: Runs of words that dismiss or wish harm as idioms.
 IDIOMS = """get lost|shut up|shut your|go to hell|piss off|screw you|fuck you|fuck off|eat shit|drop dead|go die|up yours|kiss my|kill yourself|
 hang yourself|waste of|shame on you|ashamed of yourself|verpiss dich|halt die klappe|halt die fresse|halts maul|leck mich|fahr zur holle"""
-#: Runs of words that speak of somebody's death (the word alone is an article in German and a tool in English), and idioms of threat.
+#: Idioms of threat.
 THREATS = """put you down|put him down|put them down|come for you|coming for you|come after you|coming after you|watch your back|hunt you|
-finish you|get you for|make you pay|where you live|you die|he dies|and die|to die|should die|will die|must die|would die|rot in|burn in hell|gas the|gas all"""
+finish you|get you for|make you pay|where you live|rot in|burn in hell|gas the|gas all"""
+#: Words before "die" that make it a death: alone it is an article in German and a tool in English.
+BEFORE_DEATH = "you i we they and to should will must would please just"
 #: Runs of words that name people by kind.
 KINDS = "you people|your kind|those people|these people|people like|people from|leute wie|old people|your sort|that lot"
 
