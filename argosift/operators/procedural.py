@@ -12,20 +12,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from argosift.operators.ordering import numbered
 from argosift.runtime import cut
 
-_ABBREVIATION = re.compile(r"(?:\bet al|\bFigs?|\be\.g|\bi\.e|\bcf|\bRefs?|\bvs|\bEqs?)\.$")
+# Abbreviations after which a full stop ends no sentence.
+ABBREVIATIONS = frozenset("al approx ca cf dr e.g eq eqs etc fig figs i.e no nos prof ref refs resp sec st tab vol vs".split())
+_STOP = re.compile(r"[.!?][\"')\]]*(\s+)(?=[\"'(\[]?[A-Z0-9])")
+_LAST_WORD = re.compile(r"[\w.]*\w$")
+
+
+def sentence_ends(text: str) -> Iterator[tuple[int, int]]:
+    """``(end of a sentence, start of the next)``: a stop, white space, then a capital, digit or bracket; not after an abbreviation or initial."""
+    for m in _STOP.finditer(text):
+        word = _LAST_WORD.search(text, max(0, m.start() - 20), m.start())
+        short = word and text[m.start()] == "." and (word[0].lower() in ABBREVIATIONS or len(word[0]) == 1 and word[0].isupper())
+        if not short:
+            yield m.start(1), m.end(1)
 
 
 def split_sentences(text: str) -> list[str]:
-    """Sentences; a break after an abbreviation is none."""
-    out: list[str] = []
-    for part in re.split(r"(?<=[.!?])\s+(?=[A-Z(\[])", text or ""):
-        if out and _ABBREVIATION.search(out[-1]):
-            out[-1] += " " + part
-        elif part:
-            out.append(part)
-    return out
+    """Sentences without the white space between them; their order and characters are those of the text."""
+    text = (text or "").strip()
+    starts = [0]
+    ends = []
+    for end, start in sentence_ends(text):
+        ends.append(end)
+        starts.append(start)
+    return [text[a:b] for a, b in zip(starts, [*ends, len(text)], strict=True) if a < b]
 
 
 def paragraph_chunks(text: str, most: int = 1600, least: int = 200) -> list[str]:
@@ -170,33 +183,57 @@ def verify_quote(quote: str, text: str) -> str:
     return "loose" if words and len(words & set(re.findall(r"[a-z0-9]+", t))) >= 0.8 * len(words) else "none"
 
 
-def swiss(players: list[str], beats: Callable[[str, str], float], rounds: int = 5, final: int = 5) -> list[tuple[str, float]]:
-    """Swiss rounds, neighbours by points that have not met, then all pairs of the best; ``beats`` gives the first's points (1, 0.5, 0)."""
-    points = dict.fromkeys(players, 0.0)
-    met: set[frozenset] = set()
-    index = {p: i for i, p in enumerate(players)}
+def swiss_round(standings: DataFrame, met: DataFrame) -> DataFrame:
+    """``(a, b)``: the pairings of one round, from ``standings (player, points, seed)`` and ``met (a, b)``, the pairs that have played.
+
+    Players are ranked by points, then seed. Each wishes for the nearest in rank it has not met; a pair is made where two wish for each other,
+    and the rest are ranked and wish again, until no pair can be made. Of an odd number, the last of those with the most games has the bye. Nearest first, and of equally near ones
+    those that make the first pair with the second, the third with the fourth and so on, so that most pairs are made in one pass. A
+    player that has met m others finds one within m + 1 ranks, so wishes are equi-joins of ranks, not of all with all.
+    """
+    played = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = played.select(F.col("a").alias("p")).unionByName(played.select(F.col("b").alias("p")))
+    reach = (ends.groupBy("p").count().agg(F.max("count")).first()[0] or 0) + 1
+    left, pairs = standings.select("player", "points", "seed"), None
+    if left.count() % 2:
+        games = left.join(ends.groupBy(F.col("p").alias("player")).agg(F.count("*").alias("n")), "player", "left")
+        last = games.orderBy(F.coalesce("n", F.lit(0)).desc(), "points", F.desc("seed"), F.desc("player")).limit(1)
+        left = left.join(last.select("player"), "player", "left_anti")
+    while True:
+        left = cut(numbered(left, [F.desc("points"), F.col("seed"), F.col("player")], "rank"))
+        near = left.select("player", "rank", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("apart")).withColumn("other", F.col("rank") + F.col("apart"))
+        open_ = near.alias("x").join(left.alias("y"), F.col("x.other") == F.col("y.rank")).select(
+            F.least("x.player", "y.player").alias("a"), F.greatest("x.player", "y.player").alias("b"), F.struct("x.apart", (F.col("x.rank") % 2).alias("odd"), F.col("x.rank").alias("high")).alias("wish")
+        )
+        open_ = open_.join(played, ["a", "b"], "left_anti")
+        best = open_.select(F.explode(F.array("a", "b")).alias("p"), "wish").groupBy("p").agg(F.min("wish").alias("best"))
+        made = open_.join(best.withColumnRenamed("p", "a"), "a").where("wish = best").drop("best").join(best.withColumnRenamed("p", "b"), "b").where("wish = best")
+        made = cut(made.select("a", "b"))
+        if not made.head(1):
+            return pairs if pairs is not None else made
+        pairs = made if pairs is None else pairs.unionByName(made)
+        left = left.drop("rank").join(made.select(F.explode(F.array("a", "b")).alias("player")), "player", "left_anti")
+
+
+def swiss(players: DataFrame, beats: Callable[[DataFrame], DataFrame], rounds: int = 5) -> DataFrame:
+    """``(player, points, played)`` after ``rounds`` Swiss rounds of ``players (player, seed)``.
+
+    ``beats`` turns pairings ``(a, b)`` into ``(a, b, got)``, got being a's points (1, 0.5 or 0); b has the rest. Byes give nothing.
+    """
+    spark = players.sparkSession
+    kind = dict(players.dtypes)["player"]
+    results = spark.createDataFrame([], f"a {kind}, b {kind}, got double")
 
-    def play(a, b):
-        got = beats(a, b)
-        points[a] += got
-        points[b] += 1 - got
-        met.add(frozenset((a, b)))
+    def standings() -> DataFrame:
+        won = results.select(F.col("a").alias("player"), F.col("got").alias("p")).unionByName(results.select(F.col("b").alias("player"), (1 - F.col("got")).alias("p")))
+        sums = won.groupBy("player").agg(F.sum("p").alias("points"), F.count("*").alias("played"))
+        table = players.select("player", "seed").join(sums, "player", "left")
+        return table.select("player", "seed", F.coalesce("points", F.lit(0.0)).alias("points"), F.coalesce("played", F.lit(0)).alias("played"))
 
     for _ in range(rounds):
-        waiting = sorted(players, key=lambda p: (-points[p], index[p]))
-        while len(waiting) > 1:
-            a = waiting.pop(0)
-            b = next((x for x in waiting if frozenset((a, x)) not in met), None)
-            if b is None:
-                continue
-            waiting.remove(b)
-            play(a, b)
-    best = sorted(players, key=lambda p: (-points[p], index[p]))[:final]
-    for i, a in enumerate(best):
-        for b in best[i + 1 :]:
-            if frozenset((a, b)) not in met:
-                play(a, b)
-    return sorted(points.items(), key=lambda x: (-x[1], index[x[0]]))
+        pairs = swiss_round(standings(), results.select("a", "b"))
+        results = cut(results.unionByName(beats(pairs).select("a", "b", F.col("got").cast("double").alias("got"))))
+    return standings().select("player", "points", "played")
 
 
 def ridge_without_group(df: DataFrame, group: str, features: list[str], target: str, penalty: float = 10.0) -> DataFrame:

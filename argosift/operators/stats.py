@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from argosift.operators.ordering import average_ranks
+from argosift.operators.ordering import average_ranks, numbered
+from argosift.runtime import cut
 
 
 def average_rank(order: Column, *by: str, name: str = "rank") -> Column:
@@ -71,8 +72,8 @@ def icc1(df: DataFrame, unit: str, order: str, value: str, *by: str) -> DataFram
     w = Window.partitionBy(*by, unit)
     rows = df.where(F.col(value).isNotNull()).select(*by, unit, F.col(value).cast("double").alias("v"), F.count("*").over(w).alias("m"), F.row_number().over(w.orderBy(order)).alias("i")).where("m >= 2")
     least = rows.groupBy(*by).agg(F.min("m").alias("k"))
-    cut = (rows.join(least, list(by)) if by else rows.crossJoin(F.broadcast(least))).where("i <= k")  # one row a group
-    per = cut.groupBy(*by, unit).agg(F.avg("v").alias("mean"), F.sum(F.col("v") * F.col("v")).alias("sq"), F.max("k").alias("k"))
+    kept = (rows.join(least, list(by)) if by else rows.crossJoin(F.broadcast(least))).where("i <= k")  # one row a group
+    per = kept.groupBy(*by, unit).agg(F.avg("v").alias("mean"), F.sum(F.col("v") * F.col("v")).alias("sq"), F.max("k").alias("k"))
     out = per.groupBy(*by).agg(F.count("*").alias("n_units"), F.max("k").alias("k"), F.var_samp("mean").alias("vm"), F.sum(F.col("sq") - F.col("k") * F.col("mean") * F.col("mean")).alias("within"))
     msb = F.col("k") * F.col("vm")
     msw = F.col("within") / (F.col("n_units") * (F.col("k") - 1))
@@ -114,23 +115,31 @@ def draw(seed: int, *parts: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n)
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, *by: str, resamples: int = 2000, seed: int = 20260421) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, *by: str, resamples: int = 10_000, seed: int = 20260421) -> DataFrame:
     """``(*by, n_clusters, point, low, high)``: mean of cluster means; bounds are order statistics of the resampled means.
 
-    Rows are brought to one mean a cluster first, so what is resampled is as small as the number of clusters.
+    Rows are brought to one mean a cluster first. Draws are spread over the resamples, not over the clusters: a task makes its share of the
+    resamples of a group, so no group is in one task, and what a resample leaves is one number.
     """
     means = df.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.avg(value).alias("m"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    numbered = means.select(*by, "m", (F.row_number().over(part.orderBy(cluster)) - 1).alias("i"), F.count("*").over(part).alias("n"))
-    reps = df.sparkSession.range(resamples).select(F.col("id").alias("rep"))
-    slots = numbered.select(*by, "n", F.col("i").alias("j")).crossJoin(F.broadcast(reps)).withColumn("i", draw(seed, F.col("rep"), F.col("j"), n=F.col("n")))
-    values = numbered.select(*by, "i", "m")
-    drawn = slots.join(values, [*by, "i"]).groupBy(*by, "rep").agg(F.avg("m").alias("mean"))
-    ranked = drawn.withColumn("r", F.row_number().over(part.orderBy("mean", "rep")) - 1)
+    if by:
+        part = Window.partitionBy(*by)
+        counted = means.select(*by, "m", (F.row_number().over(part.orderBy(cluster)) - 1).cast("long").alias("i"), F.count("*").over(part).alias("n"))
+    else:
+        counted = numbered(means, [cluster], "i").crossJoin(F.broadcast(means.agg(F.count("*").alias("n"))))  # one row
+        counted = counted.select("m", "i", "n")
+    counted = cut(counted)
+    blocks = -(-resamples // 500)
+    reps = F.sequence(F.col("block") * 500, F.least((F.col("block") + 1) * 500, F.lit(resamples)) - 1)
+    spread_out = counted.select(*by, "n", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    slots = spread_out.select(*by, "n", "j", F.explode(reps).alias("rep")).withColumn("i", draw(seed, F.col("rep"), F.col("j"), n=F.col("n")))
+    drawn = slots.join(counted.select(*by, "i", "m"), [*by, "i"]).groupBy(*by, "rep").agg(F.avg("m").alias("mean"))
+    order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row a resample
+    ranked = drawn.withColumn("r", F.row_number().over(order.orderBy("mean", "rep")) - 1)
     bounds = ranked.groupBy(*by).agg(
         F.max(F.when(F.col("r") == int(0.025 * resamples), F.col("mean"))).alias("low"), F.max(F.when(F.col("r") == int(0.975 * resamples) - 1, F.col("mean"))).alias("high")
     )
-    points = numbered.groupBy(*by).agg(F.count("*").alias("n_clusters"), F.avg("m").alias("point"))
+    points = counted.groupBy(*by).agg(F.count("*").alias("n_clusters"), F.avg("m").alias("point"))
     joined = points.join(bounds, list(by)) if by else points.crossJoin(bounds)
     return joined.select(*by, "n_clusters", *(F.round(c, 6).alias(c) for c in ("point", "low", "high")))
 

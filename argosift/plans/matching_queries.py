@@ -6,23 +6,15 @@ from pyspark.sql import functions as F
 from argosift.functions import text as X
 from argosift.operators import matching as H
 from argosift.plans.base import query
-from argosift.plans.text_queries import TOKENS
 from argosift.runtime import table
 
 _PT = "list_distinct(list_filter(regexp_extract_all(lower(p_name),'[a-z0-9]+'), lambda t: length(t) > 2))"
 
 
-@query("""SELECT d.doc_id, i.item_id FROM documents d JOIN heldout_items i ON contains(lower(d.text), lower(substring(i.text,1,60))) WHERE length(i.text)>=60""")
-def leak_guard(spark, sf):
-    """Documents that hold the first 60 characters of an item in any case; the items are a stated set, searched by one automaton."""
-    i = table(spark, sf, "heldout_items").where("length(text) >= 60").select("item_id", F.lower(F.substring("text", 1, 60)).alias("needle"))
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.lower("text").alias("text"))
-    return H.contains_any(d, "doc_id", "text", i, "item_id", "needle")
-
-
 @query("""SELECT d.doc_id, i.item_id FROM documents d JOIN heldout_items i ON contains(lower(d.text), lower(i.text)) WHERE length(i.text)>=40""")
-def leak_guard_whole(spark, sf):
-    """Documents that hold the whole text of an item in any case; values of under 40 characters are not guarded."""
+def leak_guard(spark, sf):
+    """Documents that hold the whole text of an item in any case; values of under 40 characters are not guarded. The items are a stated set,
+    searched by one automaton."""
     i = table(spark, sf, "heldout_items").where("length(text) >= 40").select("item_id", F.lower("text").alias("needle"))
     d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.lower("text").alias("text"))
     return H.contains_any(d, "doc_id", "text", i, "item_id", "needle")
@@ -84,12 +76,12 @@ def span_context(spark, sf):
     return anchored.select("unit_id", F.md5("span").alias("span_hash"), F.greatest(F.lit(0), at - 421).cast("long").alias("ctx_from"), F.md5(F.substring(F.col("text"), begin.cast("int"), size.cast("int"))).alias("context_hash"))
 
 
-@query(f"""WITH q AS (SELECT p_partkey AS a, {_PT} AS k FROM part WHERE p_partkey%100=0), x AS (SELECT p_partkey AS b, {_PT} AS k FROM part)
+@query(f"""WITH q AS (SELECT p_partkey AS a, {_PT} AS k FROM part WHERE p_partkey%50=0), x AS (SELECT p_partkey AS b, {_PT} AS k FROM part)
 SELECT a, b, round(j,6) AS jaccard FROM (SELECT a, b, len(list_intersect(q.k,x.k))::DOUBLE/len(list_distinct(list_concat(q.k,x.k))) AS j FROM q JOIN x ON a<>b AND len(list_intersect(q.k,x.k))>0) QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(j,9) DESC, b DESC)=1""")
 def hard_negatives(spark, sf):
-    """The most similar other part of each asked one; ties go to the larger key."""
+    """The most similar other part of each part whose key is divisible by 50; ties go to the larger key."""
     k = table(spark, sf, "part").select("p_partkey", F.array_distinct(X.tokens("p_name")).alias("k"))
-    return H.best_match(k.where("p_partkey % 100 = 0"), k, "p_partkey", "k")
+    return H.best_match(k.where("p_partkey % 50 = 0"), k, "p_partkey", "k")
 
 
 @query()
@@ -158,14 +150,18 @@ def optional_outputs(spark, sf):
     return table(spark, sf, "customer").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "best", F.col("n_orders").isNull().alias("missing"))
 
 
-@query(f"""WITH h AS (SELECT item_id, {TOKENS} AS w, list_distinct({TOKENS}) AS k, paper_id FROM heldout_items),
-p AS (SELECT a.item_id, round(max(len(list_intersect(a.k,b.k))::DOUBLE/len(a.k)),6) AS traced FROM h a JOIN h b ON a.paper_id=b.paper_id AND a.item_id<>b.item_id GROUP BY 1) SELECT * FROM p""")
+_LOW = "list_distinct(list_filter(regexp_extract_all(lower({}),'[a-z0-9]+'), lambda t: length(t) > 2))"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT unit_id, mechanism, evidence_spans FROM evidence_units WHERE unit_id IS NOT NULL AND mechanism IS NOT NULL),
+k AS (SELECT unit_id, mechanism, {_LOW.format('mechanism')} AS m, s, {_LOW.format('s')} AS w FROM (SELECT *, unnest(evidence_spans) AS s FROM u) WHERE s IS NOT NULL)
+SELECT unit_id, md5(mechanism) AS claim, round(max(CASE WHEN len(m)>0 THEN len(list_intersect(m,w))::DOUBLE/len(m) ELSE 0 END),6) AS traced FROM k GROUP BY unit_id, mechanism""")
 def traced_share(spark, sf):
-    """How much of an item's terms another item of its paper has, at most."""
-    h = table(spark, sf, "heldout_items").select("item_id", "paper_id", F.array_distinct(X.tokens("text")).alias("k"))
-    a, b = h.alias("a"), h.alias("b")
-    j = a.join(b, (F.col("a.paper_id") == F.col("b.paper_id")) & (F.col("a.item_id") != F.col("b.item_id")))
-    return j.groupBy("a.item_id").agg(F.round(F.max(X.containment(F.col("a.k"), F.col("b.k"))), 6).alias("traced"))
+    """How much of a unit's stated mechanism one of its own evidence spans holds, at most: the share that is copied from its evidence."""
+    u = table(spark, sf, "evidence_units").where("unit_id is not null and mechanism is not null").select("unit_id", "mechanism", "evidence_spans").distinct()
+    k = u.select("unit_id", "mechanism", F.array_distinct(X.tokens("mechanism")).alias("m"), F.explode("evidence_spans").alias("s")).where("s is not null")
+    share = F.when(F.size("m") > 0, F.size(F.array_intersect("m", F.array_distinct(X.tokens("s")))) / F.size("m")).otherwise(0.0)
+    return k.groupBy("unit_id", "mechanism").agg(F.round(F.max(share), 6).alias("traced")).select("unit_id", F.md5("mechanism").alias("claim"), "traced")
 
 
 @query("""WITH c AS (SELECT unit_id, lower(k) AS k, lower(trim(v)) AS v FROM (SELECT DISTINCT unit_id, unnest(map_keys(conditions)) AS k, unnest(map_values(conditions)) AS v FROM evidence_units WHERE unit_id IS NOT NULL))
@@ -185,15 +181,9 @@ def unit_summaries(spark, sf):
     return table(spark, sf, "evidence_units").where("unit_id is not null").select("unit_id", F.array_join(F.filter(parts, lambda x: x.isNotNull()), " | ").alias("summary")).distinct()
 
 
-@query("""WITH q AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('5|'||o_orderkey), o_orderkey)-1 AS i FROM orders WHERE o_orderkey%100=0) SELECT o_orderkey, ['ABC','ACB','BAC','BCA','CAB','CBA'][(i%6)+1] AS ordering FROM q""")
-def latin_assignment(spark, sf):
-    """Balanced permutations over a seeded order."""
-    return _latin(table(spark, sf, "orders").where("o_orderkey % 100 = 0"))
-
-
 @query("""WITH q AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('5|'||o_orderkey), o_orderkey)-1 AS i FROM orders) SELECT o_orderkey, ['ABC','ACB','BAC','BCA','CAB','CBA'][(i%6)+1] AS ordering FROM q""")
-def latin_assignment_all(spark, sf):
-    """The same for every order."""
+def latin_assignment(spark, sf):
+    """Balanced permutations over a seeded order of all orders."""
     return _latin(table(spark, sf, "orders"))
 
 

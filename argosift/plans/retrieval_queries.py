@@ -151,19 +151,13 @@ def gaps_and_islands(spark, sf):
 _KW = "list_distinct(regexp_extract_all(lower(text),'[a-z][a-z\\-]{3,}'))"
 
 
-@query(f"""WITH s AS (SELECT record_id, {_KW} AS k FROM (SELECT DISTINCT record_id, text FROM retrieval_records WHERE text IS NOT NULL)),
-e AS (SELECT record_id, len(k) AS n, unnest(k) AS t FROM s), i AS (SELECT a.record_id AS a, b.record_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.t=b.t AND a.record_id<b.record_id GROUP BY ALL)
-SELECT a, b, round(c::DOUBLE/(na+nb-c),6) AS jaccard FROM i WHERE c::DOUBLE/(na+nb-c) >= 0.8-1e-9""")
+@query(f"""WITH s AS (SELECT record_id, list_sort({_KW}) AS k FROM (SELECT DISTINCT record_id, text FROM retrieval_records WHERE text IS NOT NULL)),
+g AS (SELECT k, min(record_id) AS rep, len(k) AS n FROM s WHERE len(k)>0 GROUP BY k), e AS (SELECT rep, n, unnest(k) AS t FROM g),
+i AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.t=b.t AND a.rep<b.rep GROUP BY ALL)
+SELECT a, b, round(c::DOUBLE/(na+nb-c),6) AS jaccard FROM i WHERE c::DOUBLE/(na+nb-c) >= 0.12-1e-9
+UNION ALL SELECT rep, record_id, 1.0::DOUBLE FROM s JOIN g USING (k) WHERE record_id<>rep""")
 def jaccard_edges(spark, sf):
-    """Pairs of different records with keyword sets alike to 0.8 (prefix filter); equal sets are linked too."""
-    sets = _keyword_sets(spark, sf)
-    star = cut(M.jaccard_pairs(cut(sets), "record_id", "k", 0.8))
-    return _unfold(star, sets).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
-
-
-@query()
-def keyword_edges(spark, sf):
-    """The keyword graph: links of 0.12 and more between class representatives over all records, and each equal set's link to its own."""
+    """The keyword graph over all records: links of 0.12 and more between class representatives, and each equal set's link to its own."""
     star = M.jaccard_pairs(cut(_keyword_sets(spark, sf)), "record_id", "k", 0.12)
     return star.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
@@ -173,19 +167,6 @@ def _keyword_sets(spark, sf):
     return r.select("record_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{3,}"), F.lit(0))).alias("k"))
 
 
-def _unfold(star, sets):
-    """All links of the members of a class, for a comparison with SQL; the operator itself returns links between representatives."""
-    same = star.where("jaccard = 1.0").select(F.col("a").alias("rep"), F.col("b").alias("m"))
-    members = same.unionByName(same.select("rep", F.col("rep").alias("m")).distinct())
-    ids = sets.select(F.col("record_id").alias("m")).distinct().join(members.select("m").distinct(), "m", "left_anti").select(F.col("m").alias("rep"), "m")
-    every = members.unionByName(ids)
-    cross = star.where("jaccard < 1.0").join(every.select(F.col("rep").alias("a"), F.col("m").alias("x")), "a").join(every.select(F.col("rep").alias("b"), F.col("m").alias("y")), "b")
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
-    x, y = every.alias("x"), every.alias("y")
-    equal = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.m") < F.col("y.m"))).select(F.col("x.m").alias("a"), F.col("y.m").alias("b"), F.lit(1.0).alias("jaccard"))
-    return cross.unionByName(equal)
-
-
 @query(f"""WITH sh AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w)-10), lambda i: array_to_string(w[i:i+11],' ')))) AS s FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text),'[^a-z0-9]+',' ','g')),' ') AS w FROM heldout_items)),
 d AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w)-10), lambda i: array_to_string(w[i:i+11],' ')))) AS s FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text),'[^a-z0-9]+',' ','g')),' ') AS w FROM documents WHERE text IS NOT NULL)),
 n AS (SELECT item_id, count(*) AS n FROM sh GROUP BY 1)
@@ -204,23 +185,27 @@ def shingle_containment(spark, sf):
     return hits.where("c / n >= 0.05").select("doc_id", "item_id", F.round(F.col("c") / F.col("n"), 6).alias("containment"))
 
 
-@query(f"""WITH s AS (SELECT paper_id, item_id, {_KW} AS k FROM heldout_items),
-p AS (SELECT a.paper_id, a.item_id, sum(len(list_intersect(a.k,b.k))::DOUBLE/len(list_distinct(list_concat(a.k,b.k)))) AS t FROM s a JOIN s b ON a.paper_id=b.paper_id AND a.item_id<>b.item_id GROUP BY ALL)
-SELECT paper_id, item_id, round(t,6) AS total FROM p QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY round(t,9) DESC, item_id)=1""")
-def medoid_by_paper(spark, sf):
-    i = table(spark, sf, "heldout_items").select("paper_id", "item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{3,}"), F.lit(0))).alias("k"))
-    return M.medoids(i, "paper_id", "item_id", "k")
+_LINE = "['f'||l_returnflag, 's'||l_linestatus, 'd'||round(l_discount*100)::INT, 't'||round(l_tax*100)::INT, 'q'||(l_quantity::INT//10)]"
+
 
+@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, {_LINE} AS k FROM lineitem),
+p AS (SELECT a.l_orderkey, a.l_linenumber, sum(len(list_intersect(a.k,b.k))::DOUBLE/len(list_distinct(list_concat(a.k,b.k)))) AS t FROM s a JOIN s b ON a.l_orderkey=b.l_orderkey AND a.l_linenumber<>b.l_linenumber GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, round(t,6) AS total FROM p QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY round(t,9) DESC, l_linenumber)=1""")
+def medoid_of_drafts(spark, sf):
+    """The line of each order (a unit with a few drafts) that is most like its other lines."""
+    li = table(spark, sf, "lineitem")
+    word = lambda c, v: F.concat(F.lit(c), v)
+    whole = lambda c: F.round(F.col(c) * 100).cast("int").cast("string")
+    k = F.array(word("f", F.col("l_returnflag")), word("s", F.col("l_linestatus")), word("d", whole("l_discount")), word("t", whole("l_tax")), word("q", F.floor(F.col("l_quantity") / 10).cast("string")))
+    return M.medoids(li.select("l_orderkey", "l_linenumber", k.alias("k")), "l_orderkey", "l_linenumber", "k")
 
-@query(f"""WITH RECURSIVE s AS (SELECT paper_id, item_id, {_KW} AS k, row_number() OVER (PARTITION BY paper_id ORDER BY item_id) AS i FROM heldout_items),
-f AS (SELECT paper_id, item_id, i, true AS kept, [k] AS ks FROM s WHERE i=1 UNION ALL
- SELECT s.paper_id, s.item_id, s.i, len(list_filter(f.ks, lambda x: len(list_intersect(x,s.k))::DOUBLE/len(list_distinct(list_concat(x,s.k))) >= 0.3))=0,
-  CASE WHEN len(list_filter(f.ks, lambda x: len(list_intersect(x,s.k))::DOUBLE/len(list_distinct(list_concat(x,s.k))) >= 0.3))=0 THEN list_append(f.ks,s.k) ELSE f.ks END FROM f JOIN s ON s.paper_id=f.paper_id AND s.i=f.i+1)
-SELECT paper_id, item_id, kept FROM f""")
-def greedy_near_duplicates(spark, sf):
-    """Items dropped when alike to 0.3 to an item kept before in their paper."""
-    i = table(spark, sf, "heldout_items").select("paper_id", "item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z\-]{3,}"), F.lit(0))).alias("k"))
-    return M.greedy_distinct(i, "paper_id", "item_id", "k", 0.3)
+
+@query()
+def near_duplicates_first(spark, sf):
+    """Documents whose five-word shingles are alike to 0.8 or more: in key order the first is kept, and what is alike to a kept one is not."""
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.split(F.trim(F.regexp_replace(F.lower("text"), "[^\\p{L}\\p{N}]+", " ")), " ").alias("w"))
+    shingles = F.when(F.size("w") >= 5, F.transform(X.runs(F.col("w"), 5), lambda r: F.xxhash64(r))).otherwise(F.array(F.xxhash64("w")))
+    return M.keep_first(d.select("doc_id", F.array_distinct(shingles).alias("k")), "doc_id", "k", 0.8)
 
 
 _COS = "list_dot_product(a.e,b.e)/(sqrt(list_dot_product(a.e,a.e))*sqrt(list_dot_product(b.e,b.e)))"

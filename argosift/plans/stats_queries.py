@@ -93,45 +93,29 @@ def _draw_sql(n):
 
 @query(f"""WITH m AS (SELECT l_returnflag AS g, l_suppkey AS c, avg(l_quantity) AS m FROM lineitem GROUP BY ALL),
 u AS (SELECT g, m, row_number() OVER (PARTITION BY g ORDER BY c)-1 AS i, count(*) OVER (PARTITION BY g) AS n FROM m),
-d AS (SELECT g, rep, {_draw_sql('n')} AS i FROM (SELECT g, n, i AS j FROM u), range(300) r(rep)),
+d AS (SELECT g, rep, {_draw_sql('n')} AS i FROM (SELECT g, n, i AS j FROM u), range(10000) r(rep)),
 v AS (SELECT g, rep, avg(m) AS mean FROM d JOIN u USING (g,i) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY mean,rep)-1 AS r FROM v)
 SELECT g AS l_returnflag, n_clusters, round(point,6) AS point, round(low,6) AS low, round(high,6) AS high FROM
- (SELECT g, count(*) AS n_clusters, avg(m) AS point FROM u GROUP BY g) JOIN (SELECT g, max(CASE WHEN r=7 THEN mean END) AS low, max(CASE WHEN r=291 THEN mean END) AS high FROM k GROUP BY g) USING (g)""")
+ (SELECT g, count(*) AS n_clusters, avg(m) AS point FROM u GROUP BY g) JOIN (SELECT g, max(CASE WHEN r=250 THEN mean END) AS low, max(CASE WHEN r=9749 THEN mean END) AS high FROM k GROUP BY g) USING (g)""")
 def cluster_bootstrap(spark, sf):
-    return S.cluster_bootstrap(_li(spark, sf), "l_suppkey", "l_quantity", "l_returnflag", resamples=300)
-
-
-@query()
-def cluster_bootstrap_10000(spark, sf):
     return S.cluster_bootstrap(_li(spark, sf), "l_suppkey", "l_quantity", "l_returnflag", resamples=10_000)
 
 
 @query(f"""WITH {_DIFFS}, u AS (SELECT diff AS m, row_number() OVER (ORDER BY l_suppkey)-1 AS i, count(*) OVER () AS n FROM x WHERE diff IS NOT NULL),
-d AS (SELECT rep, {_draw_sql('n')} AS i FROM (SELECT n, i AS j FROM u), range(500) r(rep)), v AS (SELECT rep, avg(m) AS mean FROM d JOIN u USING (i) GROUP BY ALL),
+d AS (SELECT rep, {_draw_sql('n')} AS i FROM (SELECT n, i AS j FROM u), range(10000) r(rep)), v AS (SELECT rep, avg(m) AS mean FROM d JOIN u USING (i) GROUP BY ALL),
 k AS (SELECT mean, row_number() OVER (ORDER BY mean,rep)-1 AS r FROM v)
-SELECT n_clusters, round(point,6) AS point, round(low,6) AS low, round(high,6) AS high FROM (SELECT count(*) AS n_clusters, avg(m) AS point FROM u), (SELECT max(CASE WHEN r=12 THEN mean END) AS low, max(CASE WHEN r=486 THEN mean END) AS high FROM k)""")
+SELECT n_clusters, round(point,6) AS point, round(low,6) AS low, round(high,6) AS high FROM (SELECT count(*) AS n_clusters, avg(m) AS point FROM u), (SELECT max(CASE WHEN r=250 THEN mean END) AS low, max(CASE WHEN r=9749 THEN mean END) AS high FROM k)""")
 def paired_bootstrap(spark, sf):
-    return S.cluster_bootstrap(_diffs(spark, sf), "l_suppkey", "diff", resamples=500)
-
-
-@query()
-def paired_bootstrap_10000(spark, sf):
     return S.cluster_bootstrap(_diffs(spark, sf), "l_suppkey", "diff", resamples=10_000)
 
 
 @query("""WITH c AS (SELECT l_suppkey AS g, year(l_shipdate) AS dose, avg(l_discount) AS v FROM lineitem GROUP BY ALL),
 r AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY v)+(count(*) OVER (PARTITION BY g,v)-1)/2.0 AS rv, row_number() OVER (PARTITION BY g ORDER BY dose) AS rd, count(*) OVER (PARTITION BY g) AS m FROM c),
 o AS (SELECT count(*) AS n_clusters, avg(coalesce(CASE WHEN isnan(q) THEN 0 ELSE q END,0)) AS rho FROM (SELECT g, corr(rv,rd) AS q FROM r WHERE m>=3 GROUP BY g)),
-s AS (SELECT g, rv, rep, row_number() OVER (PARTITION BY rep,g ORDER BY md5('20260421|'||rep||'|'||g||'|'||rd)) AS ps FROM r, range(200) t(rep) WHERE m>=3),
+s AS (SELECT g, rv, rep, row_number() OVER (PARTITION BY rep,g ORDER BY md5('20260421|'||rep||'|'||g||'|'||rd)) AS ps FROM r, range(10000) t(rep) WHERE m>=3),
 n AS (SELECT rep, avg(coalesce(CASE WHEN isnan(q) THEN 0 ELSE q END,0)) AS rho0 FROM (SELECT rep,g,corr(rv,ps) AS q FROM s GROUP BY ALL) GROUP BY rep)
-SELECT n_clusters, round(rho,6) AS rho, round((count(*) FILTER (rho0>=rho-1e-12)+1)/201.0,6) AS p FROM o,n GROUP BY n_clusters,rho""")
+SELECT n_clusters, round(rho,6) AS rho, round((count(*) FILTER (rho0>=rho-1e-12)+1)/10001.0,6) AS p FROM o,n GROUP BY n_clusters,rho""")
 def permutation_trend(spark, sf):
-    li = _li(spark, sf).withColumn("dose", F.year("l_shipdate"))
-    return S.permutation_trend(li, "l_suppkey", "dose", "l_discount", permutations=200)
-
-
-@query()
-def permutation_trend_10000(spark, sf):
     li = _li(spark, sf).withColumn("dose", F.year("l_shipdate"))
     return S.permutation_trend(li, "l_suppkey", "dose", "l_discount", permutations=10_000)
 

@@ -17,17 +17,10 @@ def _works(spark, sf):
 _WORKS = "w AS (SELECT o_orderkey AS id, o_orderdate::DATE AS date, CASE WHEN o_custkey%7=0 THEN NULL ELSE o_custkey::VARCHAR END AS family FROM orders)"
 
 
-@query(f"""WITH {_WORKS}, c AS (SELECT id, date AS cutoff, family FROM w WHERE id%500=0)
+@query(f"""WITH {_WORKS}, c AS (SELECT id, date AS cutoff, family FROM w)
 SELECT c.id AS case_id, count(*) AS n_eligible, max(w.date)::VARCHAR AS newest FROM c JOIN w ON w.id<>c.id AND w.date<c.cutoff AND NOT (coalesce(c.family,'')<>'' AND coalesce(w.family,'')=c.family) GROUP BY c.id""")
 def eligible_records(spark, sf):
-    """Records before each case's date, not the case itself and not of its family; counted from ordered days, not from pairs."""
-    w = _works(spark, sf)
-    return P.eligible_counts(w.where("id % 500 = 0"), w).withColumn("newest", F.col("newest").cast("string"))
-
-
-@query()
-def eligible_records_all(spark, sf):
-    """The same with every order as a case."""
+    """For every order as a case: records before its date, not itself and not of its family; counted from ordered days, not from pairs."""
     w = _works(spark, sf)
     return P.eligible_counts(w, w).withColumn("newest", F.col("newest").cast("string"))
 
@@ -125,10 +118,10 @@ def pending_jobs(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
 
 
-@query("""WITH e AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey<20), a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice>100000)
+@query("""WITH e AS (SELECT c_custkey AS k FROM customer), a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice>100000)
 SELECT 'missing' AS kind, k FROM e WHERE k NOT IN (SELECT k FROM a) UNION ALL SELECT 'unexpected', k FROM a WHERE k NOT IN (SELECT k FROM e)""")
 def missing_unexpected(spark, sf):
-    expected = table(spark, sf, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("k"))
+    expected = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
     actual = table(spark, sf, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("k")).distinct()
     return expected.join(actual, "k", "left_anti").select(F.lit("missing").alias("kind"), "k").unionByName(actual.join(expected, "k", "left_anti").select(F.lit("unexpected").alias("kind"), "k"))
 

@@ -132,8 +132,6 @@ def test_procedures():
     assert len(chunks) > 2 and all(len(c) <= 1800 for c in chunks)
     assert P.line_chunks("a\nb\nc\nd", 2, 0.0) == [(0, 2), (2, 4)]
     assert P.verify_quote("The Quick  fox", "the quick fox ran") == "exact" and P.verify_quote("quick brown fox jumps high", "fox high brown quick jumps") == "loose" and P.verify_quote("", "x") == "none"
-    order = P.swiss(list("abcdef"), lambda a, b: float(a < b), 3, 3)
-    assert order[0][0] == "a" and sum(p for _, p in order) >= 6
     assert P.ready_order({"a": [], "b": ["a", "ghost"], "c": ["b"], "x": ["y"], "y": ["x"]}) == ([["a"], ["b"], ["c"]], ["x", "y"])
     assert P.beam_search([1], lambda x: [x + 1, x - 1], lambda x: -abs(x - 3), 2, 5) == 3
     assert P.critique_loop(0, lambda x: (x, x >= 2), lambda x: x + 1, 5) == (2, 2, "fine")
@@ -202,7 +200,7 @@ def test_markup(spark):
     <table-wrap><table><tr><td>a</td><td>b</td></tr></table></table-wrap></sec></body><back><ref-list><ref id="r1">A</ref><ref id="r2">B</ref><ref id="r3">C</ref></ref-list></back></article>"""
     kinds = [r["kind"] for r in markup.jats_table(spark.createDataFrame([("p", xml)], "k string, x string"), "k", "x").orderBy("pos").collect()]
     assert kinds == ["title", "abstract", "heading", "paragraph", "row", "reference", "reference", "reference"]
-    assert [(n, r) for n, r, _ in markup.jats_citations(xml)] == [(1, "r1"), (1, "r2"), (1, "r3")]
+    assert [(n, r) for n, r, _, _ in markup.jats_citations(xml)] == [(1, "r1"), (1, "r2"), (1, "r3")]
     assert markup.jats_table(spark.createDataFrame([("p", "<bad")], "k string, x string"), "k", "x").first()["kind"] == "error"
 
 
@@ -245,3 +243,74 @@ def test_eligible_counts_with_every_work_a_case(spark):
         if old:
             want[i] = (len(old), max(old))
     assert {r["case_id"]: (r["n_eligible"], str(r["newest"])) for r in D.eligible_counts(df, df).collect()} == want
+
+
+def test_html_blocks_of_unruly_pages():
+    page = """<!DOCTYPE html><!-- <p>a comment that is longer than forty characters for sure</p> --><body class=main>
+    <h3>A &amp; B<p>An open paragraph that is ended by the heading which follows it<h4>Next
+    </h4><ul><li>An item of more than sixty characters, which holds a <sup>1</sup>note and <br>a line break, too.<li>short</ul>
+    <div class="x navbox-y"><p>hidden paragraph in a navigation box, longer than forty characters</div>
+    <table><tr><td><p>a cell that is longer than forty characters but in a table</p></td></tr></table><p>After the table <a href="x>y">comes</a> a paragraph of text.</p>
+    <script>if (a < b) document.write("<p>script text that is longer than forty characters</p>")</script><footer><p>x"""
+    got = markup.html_block_list(page)
+    assert [t for t, _ in got] == ["h3", "p", "h4", "li", "p"]
+    assert got[0][1] == "A & B" and got[3][1].endswith("holds a note and a line break, too.") and got[4][1] == "After the table comes a paragraph of text."
+    assert markup.html_block_list("") == markup.html_block_list(None) == []
+
+
+def test_jats_citations_with_long_ranges_and_the_sentence_before():
+    refs = "".join(f'<ref id="r{i}">x</ref>' for i in range(300))
+    xml = f'<article><p>First one. We cite <xref ref-type="bibr" rid="r0">1</xref>-<xref ref-type="bibr" rid="r250">251</xref>.</p><ref-list>{refs}</ref-list></article>'
+    got = markup.jats_citations(xml)
+    assert [r for _, r, _, _ in got] == [f"r{i}" for i in range(251)] and {b for _, _, _, b in got} == {"First one."}
+
+
+def test_jats_dates(spark):
+    pub = lambda kind, y, m, d: f'<pub-date{f" pub-type={chr(34)}{kind}{chr(34)}" if kind else ""}>' + "".join(f"<{t}>{v}</{t}>" for t, v in (("year", y), ("month", m), ("day", d)) if v) + "</pub-date>"
+    wrap = lambda x: f"<article><front><article-meta>{x}</article-meta></front></article>"
+    full = wrap(pub("epub", 2020, 3, 4) + pub("ppub", 2020, 5, None) + pub("collection", 2021, 1, 1) + '<pub-history><event event-type="pmc-release"><date><year>2022</year><month>2</month><day>3</day></date></event></pub-history>')
+    rows = [(1, full), (2, wrap(pub("epub", 2020, 3, 4) + pub("epub", 2020, 3, 5))), (3, wrap(pub("", 2019, 12, 31))), (4, "<bad"), (5, None), (6, wrap(pub("epub", 2020, 2, 31)))]
+    got = {r["k"]: r for r in markup.jats_date_table(spark.createDataFrame(rows, "k int, x string"), "k", "x").collect()}
+    assert (got[1]["online"], got[1]["print"], got[1]["collection"], got[1]["release"], got[1]["error"]) == ("2020-03-04", None, "2021-01-01", "2022-02-03", None)
+    assert "conflicting" in got[2]["error"] and got[2]["online"] is None and got[3]["online"] == "2019-12-31"
+    assert all(got[k]["error"] for k in (4, 5, 6))
+
+
+def test_sentences():
+    assert P.split_sentences("See Fig. 3 of J. Doe et al. Here. It ended! (Why?) \"So.\" 12 more.") == ["See Fig. 3 of J. Doe et al. Here.", "It ended!", "(Why?)", '"So."', "12 more."]
+    assert P.split_sentences("  ") == P.split_sentences(None) == []
+
+
+def test_swiss(spark):
+    from pyspark.sql import functions as F
+
+    players = spark.createDataFrame([(f"p{i:02}", i) for i in range(21)], "player string, seed int")
+    beats = lambda pairs: pairs.withColumn("got", (F.col("a") < F.col("b")).cast("double"))
+    met = []
+
+    def play(pairs):
+        met.append([tuple(sorted(r)) for r in pairs.collect()])
+        return beats(pairs)
+
+    table = P.swiss(players, play, 5).orderBy(F.desc("points"), "player").collect()
+    every = [p for r in met for p in r]
+    assert len(every) == len(set(every)) and all(len({x for p in r for x in p}) == 2 * len(r) for r in met)
+    assert all(len(r) == 10 for r in met) and table[0]["player"] == "p00" and table[0]["points"] == 5.0
+    assert P.swiss(players.limit(1), beats, 2).collect()[0]["points"] == 0.0 and P.swiss(players.limit(0), beats, 2).count() == 0
+
+
+def test_keep_first_is_the_greedy_walk(spark):
+    rng = random.Random(11)
+    rows = [(i, [f"w{rng.randrange(12)}" for _ in range(rng.randrange(0, 9))]) for i in range(120)]
+    kept, want = [], {}
+    for k, s in rows:
+        s = set(s)
+        want[k] = not any(s and t and len(s & t) / len(s | t) >= 0.5 for t in kept)
+        if not s:
+            want[k] = True
+        elif want[k]:
+            kept.append(s)
+    empty = [k for k, s in rows if not s]
+    got = {r["k"]: r["kept"] for r in M.keep_first(spark.createDataFrame(rows, "k int, s array<string>"), "k", "s", 0.5).collect()}
+    assert got == want and len(empty) > 1 and not all(want.values())
+    assert M.keep_first(spark.createDataFrame([], "k int, s array<string>"), "k", "s", 0.5).count() == 0

@@ -60,21 +60,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_keyword_edges_reach_the_graph_threshold(spark):
-    r = pd.read_parquet(f"{DATA}/retrieval_records.parquet", columns=["record_id", "text"]).dropna().drop_duplicates()
-    sets = {k: frozenset(re.findall(r"[a-z][a-z\-]{3,}", t.lower())) for k, t in zip(r["record_id"], r["text"], strict=True)}
-    rep = {s: min(k for k in sets if sets[k] == s) for s in sets.values()}
-    want = {(rep[sets[k]], k): 1.0 for k in sets if rep[sets[k]] != k}
-    for s, a in rep.items():
-        for t, b in rep.items():
-            if a < b and s and len(s & t) / len(s | t) >= 0.12 - 1e-9:
-                want[a, b] = round(len(s & t) / len(s | t), 6)
-    got = QUERIES["keyword_edges"](spark, DATA).collect()
-    assert min(want.values()) < 0.2 and len(got) == len(want)
-    assert {(x["a"], x["b"]): pytest.approx(x["jaccard"], abs=1e-6) for x in got} == want
-
-
-@pytest.mark.parametrize(("name", "table", "key", "column"), [("hard_negatives_all", "part", "p_partkey", "a"), ("latin_assignment_all", "orders", "o_orderkey", "o_orderkey")])
+@pytest.mark.parametrize(("name", "table", "key", "column"), [("hard_negatives_all", "part", "p_partkey", "a"), ("latin_assignment", "orders", "o_orderkey", "o_orderkey")])
 def test_every_id_is_asked(spark, name, table, key, column):
     keys = pd.read_parquet(f"{DATA}/{table}.parquet", columns=[key])[key]
     assert sorted(QUERIES[name](spark, DATA).toPandas()[column]) == sorted(keys)
@@ -96,7 +82,7 @@ def test_pagerank_has_settled(spark):
 
 def test_bootstrap_takes_10000_resamples(spark):
     li = pd.read_parquet(f"{DATA}/lineitem.parquet", columns=["l_returnflag", "l_suppkey", "l_quantity"])
-    got = QUERIES["cluster_bootstrap_10000"](spark, DATA).toPandas().set_index("l_returnflag")
+    got = QUERIES["cluster_bootstrap"](spark, DATA).toPandas().set_index("l_returnflag")
     for flag, g in li.groupby("l_returnflag"):
         m = g.groupby("l_suppkey")["l_quantity"].mean().sort_index().astype(float).to_numpy()
         draws = [[int(hashlib.md5(f"20260421|{r}|{j}".encode()).hexdigest()[:8], 16) % len(m) for j in range(len(m))] for r in range(10_000)]
@@ -105,7 +91,7 @@ def test_bootstrap_takes_10000_resamples(spark):
 
 
 def test_permutations_are_10000(spark):
-    p = QUERIES["permutation_trend_10000"](spark, DATA).first()["p"]
+    p = QUERIES["permutation_trend"](spark, DATA).first()["p"]
     assert abs(p * 10_001 - round(p * 10_001)) < 0.01
 
 
@@ -113,4 +99,4 @@ def test_leak_guard_looks_for_whole_items(spark, tmp_path):
     item = "An opening of more than sixty characters that many other texts share, " + "and a rest that is the item's own."
     spark.createDataFrame([(1, item)], "item_id int, text string").write.parquet(str(tmp_path / "heldout_items.parquet"))
     spark.createDataFrame([(1, "x " + item.upper()), (2, item[:70]), (3, None)], "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert [tuple(r) for r in QUERIES["leak_guard_whole"](spark, str(tmp_path)).collect()] == [(1, 1)]
+    assert [tuple(r) for r in QUERIES["leak_guard"](spark, str(tmp_path)).collect()] == [(1, 1)]
