@@ -187,7 +187,8 @@ def swiss_round(standings: DataFrame, met: DataFrame) -> DataFrame:
     """``(a, b)``: the pairings of one round, from ``standings (player, points, seed)`` and ``met (a, b)``, the pairs that have played.
 
     Players are ranked by points, then seed. Each wishes for the nearest in rank it has not met; a pair is made where two wish for each other,
-    and the rest are ranked and wish again, until no pair can be made. Of an odd number, the last of those with the most games has the bye. Nearest first, and of equally near ones
+    and the rest are ranked and wish again, until no pair can be made. Of an odd number, the last of those with the most games has the bye;
+    players that are left with only opponents they have met have one too. Nearest first, and of equally near ones
     those that make the first pair with the second, the third with the fourth and so on, so that most pairs are made in one pass. A
     player that has met m others finds one within m + 1 ranks, so wishes are equi-joins of ranks, not of all with all.
     """
