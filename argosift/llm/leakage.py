@@ -8,8 +8,9 @@ A document holds an item whose words are covered to at least ``coverage``.
 Distribution: one pass over the documents, without a shuffle of texts. What goes to that pass is a Bloom filter of the items' seeds (32 bits a
 seed, at most ``filter_bits`` in all, so its size is bounded; a fuller filter only lets more through). Out come, for documents that may hold
 something, the stretches of words under seeds. These are joined to the items by seed. An item that is covered to the threshold has a known
-number of its seeds in the document, so it is enough to join each item's rarest seeds, all but one less than that number: a seed that very
-many items have ("in the present study") brings no items that its own seeds do not bring.
+number of its seed places in the document. Half of that number of places, the commonest, are left out of the join, and of the others the other
+half must be met: so a seed that very many items have ("in the present study") brings no items by itself, and the words of a document and an
+item come together only where enough seeds have met.
 """
 
 from __future__ import annotations
@@ -240,11 +241,13 @@ def leaked_items(
 
     near = docs.withColumn("row", F.monotonically_increasing_id()).mapInPandas(stretches, "row long, doc_id long, stretch array<long>, seeds array<long>")
     near = cut(near)
-    each = asked.select("item", (F.size("seeds") - needed + 1).alias("most"), F.explode("seeds").alias("seed"))
+    half = F.ceil(needed / 2).cast("int")
+    each = asked.select("item", (F.size("seeds") - needed + half).alias("most"), half.alias("least"), F.explode("seeds").alias("seed"))
     often = each.groupBy("seed").agg(F.count_distinct("item").alias("items"))
     order = Window.partitionBy("item").orderBy("items", "seed")  # the places of one item
-    rarest = each.join(often, "seed").withColumn("n", F.row_number().over(order)).where("n <= most").select("seed", "item").distinct()
-    candidates = near.select("row", F.explode("seeds").alias("seed")).join(rarest, "seed").select("row", "item").distinct()
+    rarest = each.join(often, "seed").withColumn("n", F.row_number().over(order)).where("n <= most").groupBy("seed", "item", "least").agg(F.count("*").alias("places"))
+    met = near.select("row", F.explode("seeds").alias("seed")).join(rarest, "seed").groupBy("row", "item", "least").agg(F.sum("places").alias("places"))
+    candidates = met.where("places >= least").select("row", "item")
 
     def tiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
