@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def _load() -> None:
-    from argosift.plans import graph_queries, matching_queries, procedural_queries, report_queries, retrieval_queries, stats_queries, temporal_queries, text_queries, units  # noqa: F401
+    from argosift.plans import evidence_queries, graph_queries, matching_queries, procedural_queries, report_queries, retrieval_queries, stats_queries, temporal_queries, text_queries, units  # noqa: F401
