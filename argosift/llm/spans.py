@@ -2,8 +2,9 @@
 
 Windows of ``w = length - period + 1`` characters are hashed only at positions whose remainder modulo ``period`` is in a difference
 cover. For any two places i and j there is a shift d < period with both i + d and j + d in the cover, so two texts that share
-``length`` characters share the hash of an aligned window. Around the anchors that two texts share, windows of the full length are
-hashed: those with equal hash stand in one group.
+``length`` characters share the hash of an aligned window. An anchor that occurs at two to ``FEW`` places is extended between each two of
+them, character by character: at most a fixed number of pairs for each place. Around the other shared anchors, windows of the full length
+are hashed: those with equal hash stand in one group. Any window that two texts share holds an anchor of theirs, so it is met on one of the ways.
 
 A group is never expanded into pairs to find spans: each of its windows is compared, character by character, with the group's
 representative (the window of the smallest class) only, in runs of consecutive windows. As all are equal to the representative, they
@@ -35,6 +36,8 @@ DIFFERENCE_COVERS = {
     73: (0, 1, 3, 7, 15, 31, 36, 54, 63),
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
 }
+#: Places of an anchor up to which they are compared two by two.
+FEW = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -132,9 +135,37 @@ def shared_spans(texts: DataFrame, length: int = 200) -> tuple[DataFrame, DataFr
             if out:
                 yield pd.concat(out)
 
-    found = cut(classes.mapInPandas(anchors, "hash long, class long, pos int"))
-    shared = found.groupBy("hash").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("hash")
-    places = found.join(shared, "hash").groupBy("class").agg(F.collect_list("pos").alias("places"))  # positions of one text
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for a, b, diagonal, seeds, ta, tb in zip(*(pdf[c] for c in ("class_a", "class_b", "diagonal", "seeds", "text_a", "text_b")), strict=True):
+                x, y = code_points(ta), code_points(tb)
+                low, high = max(0, diagonal), min(len(x), len(y) + diagonal)
+                same = x[low:high] == y[low - diagonal : high - diagonal]
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+                for s, e in zip(edge[::2] + low, edge[1::2] + low, strict=True):
+                    if e - s >= length and any(s <= p < e for p in seeds):
+                        out.append((a, b, int(s), int(e), int(s - diagonal), int(e - diagonal)))
+            yield pd.DataFrame(out, columns=["class_a", "class_b", "start_a", "end_a", "start_b", "end_b"])
+
+    found = classes.mapInPandas(anchors, "hash long, class long, pos int")
+    shared = found.groupBy("hash").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low <> high")
+    kept = cut(found.join(shared.select("hash", (F.col("n") <= FEW).alias("few")), "hash"))
+    ids = members.groupBy("class").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+
+    few = kept.where("few").select("hash", "class", "pos")
+    a, b = few.alias("a"), few.alias("b")
+    seeds = a.join(b, (F.col("a.hash") == F.col("b.hash")) & (F.col("a.class") < F.col("b.class"))).select(
+        F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"), (F.col("a.pos") - F.col("b.pos")).alias("diagonal"), F.col("a.pos").alias("pos")
+    )
+    seeds = seeds.groupBy("class_a", "class_b", "diagonal").agg(F.collect_list("pos").alias("seeds"))  # places of one text
+    both = seeds.join(classes.withColumnsRenamed({"class": "class_a", "text": "text_a"}), "class_a").join(classes.withColumnsRenamed({"class": "class_b", "text": "text_b"}), "class_b")
+    matches = both.mapInPandas(extend, "class_a long, class_b long, start_a int, end_a int, start_b int, end_b int")
+    of = lambda side: ids.select(F.col("class").alias(f"class_{side}"), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}"))
+    apart = F.least("low_a", "low_b") != F.greatest("high_a", "high_b")
+    matches = cut(matches.join(of("a"), "class_a").join(of("b"), "class_b").where(apart).drop("low_a", "low_b", "high_a", "high_b"))
+
+    places = kept.where("not few").groupBy("class").agg(F.collect_list("pos").alias("places"))  # positions of one text
     windows = cut(classes.join(places, "class").mapInPandas(refine, "hash long, class long, pos int"))
     while True:
         groups = (
@@ -160,15 +191,18 @@ def shared_spans(texts: DataFrame, length: int = 200) -> tuple[DataFrame, DataFr
         windows = cut(windows.join(wrong, "hash", "left_anti").unionByName(renamed))
     # One set for all groups of the same classes; it counts if its texts stand under two ids.
     first = groups.groupBy("n", "s1", "s2").agg(F.min("hash").alias("set"))
-    ids = members.groupBy("class").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     in_set = first.join(windows.withColumnRenamed("hash", "set"), "set").select("set", "n", "s1", "s2", "class").distinct().join(ids, "class")
     several = in_set.groupBy("set", "n", "s1", "s2").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
     several = cut(several.select("set", "n", "s1", "s2"))
-    sets = in_set.join(several.select("set"), "set", "left_semi").select("set", "class")
+    sets = in_set.join(several.select("set"), "set", "left_semi").select(F.col("set").cast("string").alias("set"), "class")
+    pair = F.concat_ws("-", "class_a", "class_b").alias("set")
+    sets = sets.unionByName(matches.select("class_a", "class_b").distinct().select(pair, F.explode(F.array("class_a", "class_b")).alias("class")))
     good = groups.join(several, ["n", "s1", "s2"], "left_semi").select("hash")
     stretch = F.col("pos") - F.row_number().over(Window.partitionBy("class").orderBy("pos"))
-    kept = windows.join(good, "hash", "left_semi").select("class", "pos").distinct().withColumn("run", stretch)
-    spans = kept.groupBy("class", "run").agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end")).drop("run")
+    covered = windows.join(good, "hash", "left_semi").select("class", "pos").distinct().withColumn("run", stretch)
+    spans = covered.groupBy("class", "run").agg(F.min("pos").alias("start"), (F.max("pos") + length).alias("end")).drop("run")
+    sides = (F.struct(F.col(f"class_{x}").alias("class"), F.col(f"start_{x}").alias("start"), F.col(f"end_{x}").alias("end")) for x in "ab")
+    spans = spans.unionByName(matches.select(F.explode(F.array(*sides)).alias("s")).select("s.*")).distinct()
     return members, sets, spans
 
 
@@ -220,7 +254,7 @@ def memberships(members: DataFrame, sets: DataFrame) -> DataFrame:
     one set, so this says the same as :func:`pairs_of_ids`, in rows that are as many as the texts."""
     low = members.groupBy("class").agg(F.min("id").alias("class_id"))
     named = sets.join(low, "class")
-    named = named.join(named.groupBy("set").agg(F.min("class_id").alias("first")), "set").groupBy("class").agg(F.array_sort(F.collect_list(F.concat_ws("|", "first", F.col("set").cast("string")))).alias("passages"))
+    named = named.join(named.groupBy("set").agg(F.min("class_id").alias("first")), "set").groupBy("class").agg(F.array_sort(F.collect_list(F.concat_ws("|", "first", "set"))).alias("passages"))
     return members.join(low, "class").join(named, "class", "left").select("id", "class_id", F.coalesce("passages", F.array().cast("array<string>")).alias("passages"))
 
 
