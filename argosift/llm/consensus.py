@@ -175,6 +175,7 @@ def minimax_consensus(
     tolerance: float = 0.005,
     local_bytes: int = 64 << 20,
     entries: int = 250_000,
+    rough: float = 0.03,
 ) -> tuple[DataFrame, DataFrame]:
     """``(consensus, reliability)`` of labels in the form of :func:`long_labels`.
 
@@ -185,7 +186,8 @@ def minimax_consensus(
 
     alpha, beta: weights of the quadratic penalties, towards the mean annotator for sigma and towards 0 for tau. An item's list holds one
     entry for each annotator and label, however often it was given. ``entries``: about how many entries a task takes (Python starts and
-    the sums a task returns weigh little against them); there are never fewer tasks than cores.
+    the sums a task returns weigh little against them); there are never fewer tasks than cores. ``rough``: how near to their optimum the
+    item tilts come while the annotators' still move; the result is made with the closer tolerance of :func:`fit_items`.
     """
     spark = labels.sparkSession
     values = {f: [str(v) for v in vs] for f, vs in fields.items()}
@@ -213,10 +215,10 @@ def minimax_consensus(
         listed = joined.groupBy("item", "field").agg(F.sort_array(F.collect_list(F.struct("who", "code", "times", "tilt"))).alias("e"))
         return listed.select("item", "field", *(F.col(f"e.{a}").alias(b) for a, b in (("who", "who"), ("code", "label"), ("times", "times"), ("tilt", "tilt"))))
 
-    def fitted(pdf: pd.DataFrame, tilts, prior):
+    def fitted(pdf: pd.DataFrame, tilts, prior, **near):
         item, who, label, times = _flat(pdf)
         sigma = _tilts_by_row(tilts, pdf, who, len(prior))
-        q, _, p = fit_items(sigma, prior, item, label, times, len(pdf), beta)
+        q, _, p = fit_items(sigma, prior, item, label, times, len(pdf), beta, **near)
         return q, p, item, who, np.eye(len(prior))[label], times
 
     def summer(tilts, prior):
@@ -224,7 +226,7 @@ def minimax_consensus(
             found = []
             for pdf in batches:
                 for field, part in pdf.groupby("field"):
-                    q, p, item, who, hot, times = fitted(part, tilts.value if tilts else None, prior[field])
+                    q, p, item, who, hot, times = fitted(part, tilts.value if tilts else None, prior[field], tolerance=rough)
                     found.append(_sum_cells(field, who, q[item], p, hot, times))
                 if len(found) > 1:
                     found = [pd.concat(found).groupby(["field", "who", "cell"], as_index=False).sum()]
