@@ -133,7 +133,9 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, *by: str, resampl
     reps = F.sequence(F.col("block") * 500, F.least((F.col("block") + 1) * 500, F.lit(resamples)) - 1)
     spread_out = counted.select(*by, "n", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     slots = spread_out.select(*by, "n", "j", F.explode(reps).alias("rep")).withColumn("i", draw(seed, F.col("rep"), F.col("j"), n=F.col("n")))
-    drawn = slots.join(counted.select(*by, "i", "m"), [*by, "i"]).groupBy(*by, "rep").agg(F.avg("m").alias("mean"))
+    means = counted.select(*by, "i", "m")
+    hint = F.broadcast if counted.count() <= 1_000_000 else (lambda x: x)  # some tens of bytes a cluster
+    drawn = slots.join(hint(means), [*by, "i"]).groupBy(*by, "rep").agg(F.avg("m").alias("mean"))
     order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row a resample
     ranked = drawn.withColumn("r", F.row_number().over(order.orderBy("mean", "rep")) - 1)
     bounds = ranked.groupBy(*by).agg(

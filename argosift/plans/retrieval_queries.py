@@ -40,12 +40,8 @@ m AS (SELECT item_id, doc_id, sum(least(tf,qtf)) AS m FROM dt JOIN qt USING (tok
 s AS (SELECT item_id, doc_id, round(2*m/ql+m/sqrt(dl),6) AS score FROM m JOIN (SELECT doc_id, sum(tf) AS dl FROM dt GROUP BY 1) USING (doc_id) JOIN (SELECT item_id, sum(qtf) AS ql FROM qt GROUP BY 1) USING (item_id))
 SELECT * FROM (SELECT item_id, s.doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, publication_date NULLS FIRST, s.doc_id) AS place FROM s JOIN documents d ON d.doc_id=s.doc_id) WHERE place<=5""")
 def coverage_density_topk(spark, sf):
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "heldout_items")
-    scored = R.coverage_density(docs.select("doc_id", "text"), items.select("item_id", "text"), "doc_id", "item_id").join(docs.select("doc_id", "publication_date"), "doc_id")
-    top = R.top_k(scored, 5, [F.round("score", 6).desc(), F.col("publication_date"), F.col("doc_id")], ["item_id"])
-    return top.select("item_id", "doc_id", F.round("score", 6).alias("score"), "place")
-
-
+    docs = table(spark, sf, "documents").select("doc_id", "text", "publication_date")
+    return R.coverage_best(docs, table(spark, sf, "heldout_items").select("item_id", "text"), "doc_id", "item_id", 5, tie="publication_date")
 
 
 @query(rf"""WITH {_BM25}, w AS (SELECT item_id, s.doc_id, round(score*CASE WHEN section IN ('Results','Discussion','Conclusion') THEN 1.2 WHEN section IN ('Supporting Information') THEN 0.8 ELSE 1.0 END
@@ -175,14 +171,11 @@ def shingle_containment(spark, sf):
     """Documents with at least a twentieth of an item's runs of twelve words."""
     def hashes(df, key):
         words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
-        runs = F.transform(X.runs(F.col("w"), 12), lambda r: F.xxhash64(r))
-        return df.select(key, words.alias("w")).select(key, F.explode(F.array_distinct(runs)).alias("h"))
+        return df.select(key, words.alias("w")).select(key, F.array_distinct(F.transform(X.runs(F.col("w"), 12), lambda r: F.xxhash64(r))).alias("hs"))
 
     items = hashes(table(spark, sf, "heldout_items").where("text is not null").select("item_id", "text"), "item_id")
-    size = items.groupBy("item_id").agg(F.count("*").alias("n"))
     docs = hashes(table(spark, sf, "documents").where("text is not null").select("doc_id", "text"), "doc_id")
-    hits = docs.join(items, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("c")).join(size, "item_id")
-    return hits.where("c / n >= 0.05").select("doc_id", "item_id", F.round(F.col("c") / F.col("n"), 6).alias("containment"))
+    return M.shared_hashes(docs, items, "doc_id", "item_id", 0.05)
 
 
 _LINE = "['f'||l_returnflag, 's'||l_linestatus, 'd'||round(l_discount*100)::INT, 't'||round(l_tax*100)::INT, 'q'||(l_quantity::INT//10)]"

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side is broadcast on request only if Spark's own estimate or a count proves it below this.
-BROADCAST_BYTES = 64 << 20
 
 
 def session(app: str = "argosift", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -34,14 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in ``spark.checkpoint.dir``; set a private one only where none is named."""
+    """Use the shared folder in ``spark.checkpoint.dir``. Where none is named, a local session gets a private one; on a cluster that is an error, as
+    other nodes could not read it."""
     context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(shared)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="argosift-"))
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("name a folder that all nodes share in spark.checkpoint.dir")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="argosift-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,12 +57,3 @@ def widen(df: DataFrame, *columns: str) -> DataFrame:
     """Spread a table that has fewer partitions than the session has cores; a larger one stays as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *columns) if df.rdd.getNumPartitions() < cores else df
-
-
-def total_order_text(column: str):
-    """Text of any column for use as a deterministic tie-break (null first)."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
-def data_home() -> str:
-    return os.environ.get("ARGOSIFT_DATA", "/root/testdata")
