@@ -131,8 +131,9 @@ def offence_defence(
     tolerance on both ways.
     """
     smooth = cells.select("winner", "loser", (F.col("points") + smoothing).alias("w"), F.col("n").cast("double").alias("n"))
+    smooth = cut(smooth)
     itself = smooth.groupBy("winner").agg(F.lit(float(smoothing)).alias("w"), F.lit(0.0).alias("n")).select("winner", F.col("winner").alias("loser"), "w", "n")
-    smooth = cut(smooth.unionByName(itself))
+    smooth = smooth.unionByName(itself)
     scaled = _on_driver if smooth.count() <= local_cells else _by_joins
     found = scaled(smooth, tolerance, max_rounds)
     centre = found.agg(F.avg(F.log(F.col("offence") / F.col("defence"))).alias("centre"))
