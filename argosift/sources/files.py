@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import tarfile
 from collections.abc import Iterator
 
@@ -40,35 +41,52 @@ def read_jsonl_strict(spark: SparkSession, path: str | list[str], schema: T.Stru
     return parsed.select(checked.alias("row")).select("row.*").drop("_corrupt_record")
 
 
+class _Forward(io.RawIOBase):
+    """A member of a streamed archive as a plain stream that is only read on."""
+
+    def __init__(self, member):
+        self.member = member
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.member.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
 def read_tar_csv(spark: SparkSession, path: str, columns: list[str], chunk: int = 50_000) -> DataFrame:
     """Rows of the CSV members of tar (also compressed) archives, as strings; a row shorter than its header has ``short`` set.
 
-    An archive is one compressed stream and is read by one task, in chunks; several archives are read in parallel.
+    Only the paths are listed; a task opens its archive by path and reads it as a stream, so an archive may be of any size, and what a task holds is
+    ``chunk`` rows. An archive is one compressed stream and is read by one task; several are read in parallel.
     """
     import csv
 
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField("short", T.BooleanType())])
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for pdf in batches:
-            for content in pdf["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+            for uri in pdf["path"]:
+                system, place = fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(place, compression=None, buffer_size=1 << 20) as raw, tarfile.open(fileobj=raw, mode="r|*") as archive:
                     for member in archive:
                         stream = archive.extractfile(member) if member.isfile() and member.name.endswith(".csv") else None
                         if stream is None:
                             continue
-                        lines = csv.reader(io.TextIOWrapper(stream, "utf-8", errors="replace", newline=""))
+                        lines = csv.reader(io.TextIOWrapper(io.BufferedReader(_Forward(stream), 1 << 20), "utf-8", errors="replace", newline=""))
                         header = next(lines, [])
-                        at = [header.index(c) if c in header else None for c in columns]
-                        out = []
-                        for line in lines:
-                            out.append([line[i] if i is not None and i < len(line) else None for i in at] + [len(line) < len(header)])
-                            if len(out) >= chunk:
-                                yield pd.DataFrame(out, columns=schema.names)
-                                out = []
-                        yield pd.DataFrame(out, columns=schema.names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, schema)
+                        at = [header.index(c) if c in header else -1 for c in columns]
+                        while rows := list(itertools.islice(lines, chunk)):
+                            whole = [len(r) >= len(header) for r in rows]
+                            out = {c: [r[i] if 0 <= i < len(r) else None for r in rows] for c, i in zip(columns, at, strict=True)}
+                            yield pd.DataFrame({**out, "short": [not w for w in whole]})
+
+    paths = spark.read.format("binaryFile").load(path).select("path")
+    return paths.repartition(max(1, paths.count()), "path").mapInPandas(unpack, schema)
 
 
 def load_mentions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
