@@ -89,6 +89,67 @@ def best_match_each(sets: DataFrame, key: str, items: str) -> DataFrame:
     return same.unionByName(best_match(alone, every, key, items))
 
 
+def jaccard_join(left: DataFrame, right: DataFrame, key: str, other: str, least: float) -> DataFrame:
+    """``(key, other, jaccard)`` of all pairs of a left and a right set (array columns ``s``) of at least ``least``: prefix filter, exact.
+
+    Tokens are ordered from rare to common over both tables; sets that are alike share one of their first ``n - ceil(least * n) + 1`` tokens.
+    """
+    clean = lambda df, k: df.select(k, F.array_distinct("s").alias("s")).where(F.size("s") > 0).distinct()
+    a, b = clean(left, key), clean(right, other)
+    both = a.select("s").unionByName(b.select("s"))
+    df = cut(both.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("df")))
+
+    def prefix(rows: DataFrame, k: str) -> DataFrame:
+        n = F.size("s")
+        each = rows.select(k, n.alias("n"), F.explode("s").alias("t"), F.xxhash64("s").alias("h")).join(df, "t")
+        order = Window.partitionBy(k, "h").orderBy("df", "t")
+        return each.withColumn("p", F.row_number().over(order)).where(F.col("p") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select(k, "h", "t")
+
+    pairs = prefix(a, key).withColumnRenamed("h", "ha").join(prefix(b, other).withColumnRenamed("h", "hb"), "t").select(key, "ha", other, "hb").distinct()
+    x, y = a.withColumn("ha", F.xxhash64("s")).withColumnRenamed("s", "sa"), b.withColumn("hb", F.xxhash64("s")).withColumnRenamed("s", "sb")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    scored = pairs.join(x, [key, "ha"]).join(y, [other, "hb"]).select(key, other, (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= least - 1e-9)
+
+
+def identity_reasons(candidates: DataFrame, held: DataFrame, ids: list[str], same: float = 0.8, kin: float = 0.5) -> DataFrame:
+    """``(key, reason)``: 'identifier' where a candidate has one of a held-out record's ``ids``, else 'title' where their titles are alike to ``same``,
+    else 'title and author' where they are alike to ``kin`` with the same author, else null. Titles are array columns ``s``; an empty one is like nothing.
+
+    Both tables have key, s, author and the ``ids``; null ids and authors are equal to none.
+    """
+    by_id = None
+    for c in ids:
+        hit = candidates.where(F.col(c).isNotNull()).join(held.select(c).distinct(), c, "left_semi").select("key")
+        by_id = hit if by_id is None else by_id.unionByName(hit)
+    # Records with the same title and author are one class, so that common titles give no pairs of records.
+    named = F.sha2(F.concat_ws("\x1f", F.array_join("s", "\x1e"), F.coalesce("author", F.lit("\x1d"))), 256)
+    a, b = candidates.withColumn("c", named), held.withColumn("d", named).select("d", "s", F.col("author").alias("y")).distinct()
+    classes = a.select("c", "s", F.col("author").alias("x")).distinct()
+    alike = jaccard_join(classes.select("c", "s"), b.select("d", "s"), "c", "d", kin)
+    rated = alike.join(classes.select("c", "x"), "c").join(b.select("d", "y"), "d")
+    rated = rated.groupBy("c").agg(F.max("jaccard").alias("best"), F.coalesce(F.bool_or(F.col("x") == F.col("y")), F.lit(False)).alias("author"))
+    titles = a.select("key", "c").join(rated, "c").drop("c")
+    known = by_id.distinct().withColumn("known", F.lit(True))
+    out = candidates.select("key").join(known, "key", "left").join(titles, "key", "left")
+    return out.select("key", F.when(F.col("known"), "identifier").when(F.col("best") >= same - 1e-9, "title").when(F.col("author"), "title and author").alias("reason"))
+
+
+def resolve_by_title(references: DataFrame, targets: DataFrame, ids: list[str], least: float = 0.6) -> DataFrame:
+    """``(ref, target, method, score)``: the smallest target with an equal id, by the order of ``ids``, else the one whose title is most like the reference's, if
+    alike to ``least``; equal ones: the smallest target. null where none is found. Titles are array columns ``s``."""
+    found = None
+    for prio, c in enumerate(ids):
+        first = targets.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("target").alias("target"))
+        one = references.select("ref", c).join(first, c).select("ref", "target", F.lit(c).alias("method"), F.lit(1.0).alias("score"), F.lit(prio).alias("prio"))
+        found = one if found is None else found.unionByName(one)
+    smallest = targets.groupBy("s").agg(F.min("target").alias("target"))  # of equal titles only the smallest can be found
+    alike = jaccard_join(references.select("ref", "s"), smallest.select("target", "s"), "ref", "target", least)
+    alike = alike.select("ref", "target", F.lit("title").alias("method"), F.round("jaccard", 6).alias("score"), F.lit(len(ids)).alias("prio"))
+    best = first_by(found.unionByName(alike), ["ref"], [F.col("prio"), F.desc("score"), F.col("target")]).drop("prio")
+    return references.select("ref").join(best, "ref", "left")
+
+
 def resolve(references: DataFrame, targets: DataFrame, ref: str, target: str, rules: list[list[str]]) -> DataFrame:
     """``(ref, target, prio)``: the target found by the first rule (columns to agree in); the smallest target of several. Null without one."""
     found = None

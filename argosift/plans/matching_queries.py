@@ -40,6 +40,33 @@ def identity_cascade(spark, sf):
     return c.join(flags, "p_partkey", "left").select("p_partkey", F.when(F.col("held"), "held_out").when(F.col("fam"), "family").alias("reason"))
 
 
+_TITLE = "list_distinct(string_split(lower(p_name||' '||p_type),' '))"
+
+
+def _titles(spark, sf, keep: str):
+    p = table(spark, sf, "part").where(keep)
+    return p.select(F.col("p_partkey").alias("key"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("s"), F.col("p_brand").alias("author"), F.concat_ws("|", "p_name", "p_brand").alias("doi"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS key, {_TITLE} AS s, p_brand AS author, p_name||'|'||p_brand AS doi FROM part), c AS (SELECT * FROM t WHERE key%50<>0), h AS (SELECT * FROM t WHERE key%50=0),
+j AS (SELECT c.key, c.author=h.author AS kin, len(list_intersect(c.s,h.s))::DOUBLE/len(list_distinct(list_concat(c.s,h.s))) AS j FROM c, h),
+b AS (SELECT key, max(j) AS best, bool_or(kin AND j>=0.5-1e-9) AS author FROM j GROUP BY key)
+SELECT c.key, CASE WHEN c.doi IN (SELECT doi FROM h) THEN 'identifier' WHEN best>=0.8-1e-9 THEN 'title' WHEN b.author THEN 'title and author' END AS reason FROM c JOIN b USING (key)""")
+def title_exclusion(spark, sf):
+    """Parts that are a held-out one (key divisible by 50) by identifier, by nearly the same title, or by a similar title of the same maker."""
+    return H.identity_reasons(_titles(spark, sf, "p_partkey % 50 <> 0"), _titles(spark, sf, "p_partkey % 50 = 0"), ["doi"])
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS key, {_TITLE} AS s, p_name||'|'||p_brand||'|'||p_size AS doi FROM part), r AS (SELECT * FROM t WHERE key%50=0), g AS (SELECT * FROM t WHERE key%50<>0),
+m AS (SELECT r.key AS ref, g.key AS target, 'doi' AS method, 1.0::DOUBLE AS score, 0 AS prio FROM r JOIN g USING (doi)
+ UNION ALL SELECT r.key, g.key, 'title', round(len(list_intersect(r.s,g.s))::DOUBLE/len(list_distinct(list_concat(r.s,g.s))),6), 1 FROM r, g WHERE len(list_intersect(r.s,g.s))::DOUBLE/len(list_distinct(list_concat(r.s,g.s))) >= 0.6-1e-9)
+SELECT r.key AS ref, target, method, score FROM r LEFT JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY ref ORDER BY prio, score DESC, target)=1) x ON x.ref=r.key""")
+def title_resolution(spark, sf):
+    """The part each reference (a part whose key is divisible by 50) means: by identifier, else by the most similar title."""
+    t = lambda keep, name: _titles(spark, sf, keep).join(table(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_size"), "key").select(F.col("key").alias(name), "s", F.concat_ws("|", "doi", F.col("p_size").cast("string")).alias("doi"))
+    return H.resolve_by_title(t("p_partkey % 50 = 0", "ref"), t("p_partkey % 50 <> 0", "target"), ["doi"])
+
+
 @query("""SELECT source, substr(text,1,2)='Q:' AS is_question, CASE WHEN contains(lower(text),'hypothesis') THEN 'hypothesis' WHEN contains(lower(text),'question') OR contains(text,'?') THEN 'question' ELSE 'statement' END AS use, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL""")
 def question_triage(spark, sf):
     d = table(spark, sf, "documents").where("text is not null")

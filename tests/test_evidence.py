@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from argosift.operators import evidence as V
+from argosift.operators import matching as H
 
 
 def test_excerpts(spark):
@@ -83,3 +84,18 @@ def test_typed_graph(spark):
     assert {(r["source"], r["target"], r["type"]): (r["relations"], r["confidence"]) for r in edges.collect()} == {("p::a", "p::b", "x"): (2, 0.9), ("p::a", "q::c", "x"): (1, 0.5)}
     assert {r["id"]: r["degree"] for r in nodes.collect()} == {"p::a": 2, "p::b": 1, "q::c": 1}
     assert {r["reason"]: r["n"] for r in dropped.collect()} == {"no id": 1, "no source": 1, "no target": 1, "to itself": 1}
+
+
+def test_titles_exclude_and_resolve(spark):
+    words = lambda t: t.split() if t is not None else None
+    held = [("h1", "d1", "a b c d e", "Ann"), ("h2", None, "x y z", None), ("h3", "d3", "", "Bob")]
+    cand = [("c1", "d1", "q", "Zed"), ("c2", None, "a b c d e", None), ("c3", "d9", "a b c f", "Ann"), ("c4", "d9", "a b c f", "Bob"), ("c5", None, "x y z", None), ("c6", None, "", "Bob"), ("c7", None, None, None)]
+    schema = "key string, doi string, s array<string>, author string"
+    frame = lambda rows: spark.createDataFrame([(k, d, words(t), a) for k, d, t, a in rows], schema)
+    got = {r["key"]: r["reason"] for r in H.identity_reasons(frame(cand), frame(held), ["doi"]).collect()}
+    assert got == {"c1": "identifier", "c2": "title", "c3": "title and author", "c4": None, "c5": "title", "c6": None, "c7": None}
+    refs = frame(cand).select(F.col("key").alias("ref"), "doi", "s")
+    targets = frame(held).select(F.col("key").alias("target"), "doi", "s")
+    found = {r["ref"]: (r["target"], r["method"]) for r in H.resolve_by_title(refs, targets, ["doi"]).collect()}
+    assert found == {"c1": ("h1", "doi"), "c2": ("h1", "title"), "c3": (None, None), "c4": (None, None), "c5": ("h2", "title"), "c6": (None, None), "c7": (None, None)}
+    assert H.identity_reasons(frame([]), frame(held), ["doi"]).count() == 0
