@@ -236,3 +236,20 @@ def strip_back_matter(text: Column, heading: str, after: float = 0.4) -> Column:
 
     cut_at = F.aggregate(lines, start, step)["cut"]
     return F.when(cut_at >= 0, F.regexp_replace(F.substring(text, F.lit(1), cut_at), r"\s+$", "")).otherwise(text)
+
+
+def best_overlap(captions: DataFrame, passages: DataFrame) -> DataFrame:
+    """``(caption_id, passage_id, overlap)``: the passage of a caption's paper that has most of its tokens (each counted once), equal ones: the smaller id;
+    captions without a shared token have no row. Both have a paper_id and an array column, q_tokens and t_tokens; passages are met in parts."""
+    shared = multiset_overlap(in_parts(captions), salted(passages, "passage_id"), "caption_id", "passage_id", ["paper_id", "part"], counted=False)
+    best = shared.groupBy("caption_id").agg(F.max("overlap").alias("overlap"))
+    return shared.join(best, ["caption_id", "overlap"]).groupBy("caption_id", "overlap").agg(F.min("passage_id").alias("passage_id")).select("caption_id", "passage_id", "overlap")
+
+
+def hashed_vectors(df: DataFrame, key: str, text: str, size: int = 256) -> DataFrame:
+    """``(key, bucket, weight)``: a text's tokens counted in ``size`` buckets (at most 256) by the first byte of their MD5, scaled to length one; only buckets
+    that hold something have a row."""
+    bucket = (F.conv(F.substring(F.md5("token"), 1, 2), 16, 10).cast("int") % size).alias("bucket")
+    counts = df.select(key, F.explode(X.tokens(text)).alias("token")).groupBy(key, bucket).agg(F.count("*").alias("n"))
+    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))  # at most ``size`` rows a key
+    return counts.select(key, "bucket", (F.col("n") / length).alias("weight"))

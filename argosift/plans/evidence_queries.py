@@ -518,6 +518,27 @@ def verbatim_niches(spark, sf):
     return i.groupBy("item_id").agg(F.count("*").alias("niches"), F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("i", "quote")))["quote"], "|")).alias("niches_hash"))
 
 
+@query(f"""WITH c AS (SELECT relation_id, any_value(source_paper_id) AS paper, list_distinct({_tok('evidence_span')}) AS q FROM evidence_relations WHERE relation_id IS NOT NULL AND evidence_span IS NOT NULL GROUP BY relation_id, evidence_span, source_paper_id),
+r AS (SELECT DISTINCT record_id, paper_id, text FROM retrieval_records WHERE record_id IS NOT NULL AND text IS NOT NULL), p AS (SELECT record_id, paper_id, list_distinct({TOKENS}) AS t FROM r),
+s AS (SELECT relation_id, record_id, len(list_intersect(q,t)) AS overlap FROM c JOIN p ON c.paper=p.paper_id WHERE len(list_intersect(q,t))>0)
+SELECT relation_id, record_id, overlap FROM s QUALIFY row_number() OVER (PARTITION BY relation_id ORDER BY overlap DESC, record_id)=1""")
+def caption_passages(spark, sf):
+    """The record of its paper that each relation's evidence shares most words with."""
+    c = table(spark, sf, "evidence_relations").where("relation_id is not null and evidence_span is not null").select(F.col("relation_id").alias("caption_id"), F.col("source_paper_id").alias("paper_id"), "evidence_span").distinct()
+    p = table(spark, sf, "retrieval_records").where("record_id is not null and text is not null").select(F.col("record_id").alias("passage_id"), "paper_id", "text").distinct()
+    found = V.best_overlap(c.withColumn("q_tokens", X.tokens("evidence_span")), p.withColumn("t_tokens", X.tokens("text")))
+    return found.select(F.col("caption_id").alias("relation_id"), F.col("passage_id").alias("record_id"), F.col("overlap").cast("long").alias("overlap"))
+
+
+@query(f"""WITH b AS (SELECT item_id, ('0x'||substring(md5(tok),1,2))::INT AS b, count(*) AS c FROM (SELECT item_id, unnest({TOKENS}) AS tok FROM heldout_items) GROUP BY ALL),
+n AS (SELECT item_id, sqrt(sum(c*c)) AS norm FROM b GROUP BY 1) SELECT item_id, count(*) AS buckets, arg_min(b, {{'c': -c, 'b': b}}) AS top, round(max(c)/any_value(norm),6) AS weight FROM b JOIN n USING (item_id) GROUP BY item_id""")
+def hashed_vectors(spark, sf):
+    """The 256 hashed token counts of each item, as their number of buckets and the heaviest one."""
+    v = V.hashed_vectors(table(spark, sf, "heldout_items").select("item_id", "text"), "item_id", "text")
+    top = F.min_by("bucket", F.struct(-F.col("weight"), "bucket"))
+    return v.groupBy("item_id").agg(F.count("*").alias("buckets"), top.alias("top"), F.round(F.max("weight"), 6).alias("weight"))
+
+
 @query()
 def swiss_standings(spark, sf):
     """Five Swiss rounds of all suppliers; the larger balance wins a pairing."""
