@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from argosift.functions.digests import Tails
 from argosift.operators.ordering import average_ranks, numbered
 from argosift.runtime import cut
 
@@ -115,11 +120,12 @@ def draw(seed: int, *parts: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n)
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, *by: str, resamples: int = 10_000, seed: int = 20260421) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, *by: str, resamples: int = 10_000, seed: int = 20260421, most: int = 1_000_000) -> DataFrame:
     """``(*by, n_clusters, point, low, high)``: mean of cluster means; bounds are order statistics of the resampled means.
 
     Rows are brought to one mean a cluster first. Draws are spread over the resamples, not over the clusters: a task makes its share of the
-    resamples of a group, so no group is in one task, and what a resample leaves is one number.
+    resamples of all groups, so no group is in one task, and what a resample leaves is one number. Up to ``most`` means (8 bytes each) go to
+    every task; more stay a table that the draws are joined to.
     """
     means = df.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.avg(value).alias("m"))
     if by:
@@ -129,13 +135,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, *by: str, resampl
         counted = numbered(means, [cluster], "i").crossJoin(F.broadcast(means.agg(F.count("*").alias("n"))))  # one row
         counted = counted.select("m", "i", "n")
     counted = cut(counted)
-    blocks = -(-resamples // 500)
-    reps = F.sequence(F.col("block") * 500, F.least((F.col("block") + 1) * 500, F.lit(resamples)) - 1)
-    spread_out = counted.select(*by, "n", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    slots = spread_out.select(*by, "n", "j", F.explode(reps).alias("rep")).withColumn("i", draw(seed, F.col("rep"), F.col("j"), n=F.col("n")))
-    means = counted.select(*by, "i", "m")
-    hint = F.broadcast if counted.count() <= 1_000_000 else (lambda x: x)  # some tens of bytes a cluster
-    drawn = slots.join(hint(means), [*by, "i"]).groupBy(*by, "rep").agg(F.avg("m").alias("mean"))
+    drawn = _means_drawn(counted, by, resamples, seed) if counted.count() <= most else _means_joined(counted, by, resamples, seed)
     order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row a resample
     ranked = drawn.withColumn("r", F.row_number().over(order.orderBy("mean", "rep")) - 1)
     bounds = ranked.groupBy(*by).agg(
@@ -146,6 +146,39 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, *by: str, resampl
     return joined.select(*by, "n_clusters", *(F.round(c, 6).alias(c) for c in ("point", "low", "high")))
 
 
+def _means_joined(counted: DataFrame, by: tuple[str, ...], resamples: int, seed: int) -> DataFrame:
+    """``(*by, rep, mean)`` by a join of every draw with the mean it draws."""
+    blocks = -(-resamples // 500)
+    reps = F.sequence(F.col("block") * 500, F.least((F.col("block") + 1) * 500, F.lit(resamples)) - 1)
+    spread_out = counted.select(*by, "n", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    slots = spread_out.select(*by, "n", "j", F.explode(reps).alias("rep")).withColumn("i", draw(seed, F.col("rep"), F.col("j"), n=F.col("n")))
+    return slots.join(counted.select(*by, "i", "m"), [*by, "i"]).groupBy(*by, "rep").agg(F.avg("m").alias("mean"))
+
+
+def _means_drawn(counted: DataFrame, by: tuple[str, ...], resamples: int, seed: int) -> DataFrame:
+    """``(*by, rep, mean)`` with all means in every task. A draw's digest is the same in all groups, so it is made once."""
+    spark = counted.sparkSession
+    ids = cut(counted.select(*by).distinct().withColumn("_g", F.monotonically_increasing_id())) if by else None
+    rows = counted.join(ids, list(by)) if by else counted.withColumn("_g", F.lit(0).cast("long"))
+    rows = rows.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("i", "m")))["m"].alias("ms")).collect()
+    groups = spark.sparkContext.broadcast([(r["_g"], np.array(r["ms"], dtype=np.float64)) for r in rows])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        longest = max((len(m) for _, m in groups.value), default=0)
+        tails, at_once = Tails(str(j).encode() for j in range(longest)), max(1, (1 << 18) // max(1, longest))
+        for pdf in batches:
+            reps = pdf["rep"].to_numpy()
+            for low in range(0, len(reps), at_once):
+                part = reps[low : low + at_once]
+                drawn = np.concatenate([tails.digests(f"{seed}|{r}|".encode()) for r in part])
+                for g, m in groups.value:
+                    yield pd.DataFrame({"_g": g, "rep": part, "mean": np.take(m, drawn[:, : len(m)] % np.uint32(len(m))).mean(axis=1)})
+
+    tasks = min(resamples, 4 * spark.sparkContext.defaultParallelism)
+    out = spark.range(0, resamples, 1, tasks).select(F.col("id").alias("rep")).mapInPandas(run, "_g long, rep long, mean double")
+    return out.join(F.broadcast(ids), "_g").drop("_g") if by else out.drop("_g")  # one row a group
+
+
 def paired_differences(df: DataFrame, cluster: str, arm: str, value: str, new: str, base: str) -> DataFrame:
     """``(cluster, diff)``: mean of the new arm minus mean of the base arm where a cluster has both."""
     sides = df.groupBy(cluster).agg(F.avg(F.when(F.col(arm) == new, F.col(value))).alias("x"), F.avg(F.when(F.col(arm) == base, F.col(value))).alias("y"))
