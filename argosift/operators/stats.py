@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -185,21 +187,84 @@ def paired_differences(df: DataFrame, cluster: str, arm: str, value: str, new: s
     return sides.where("x is not null and y is not null").select(cluster, (F.col("x") - F.col("y")).alias("diff"))
 
 
-def permutation_trend(df: DataFrame, cluster: str, dose: str, value: str, permutations: int = 1000, seed: int = 20260421) -> DataFrame:
-    """``(n_clusters, rho, p)``: mean Spearman correlation of value with dose within clusters, against shuffles within clusters."""
-    cells = df.groupBy(cluster, F.col(dose).alias("dose")).agg(F.avg(value).alias("v"))
+def permutation_trend(df: DataFrame, cluster: str, dose: str, value: str, permutations: int = 1000, seed: int = 20260421, cells: int = 500_000) -> DataFrame:
+    """``(n_clusters, rho, p)``: mean Spearman correlation of value with dose within clusters, against shuffles within clusters.
+
+    A shuffle orders a cluster's doses by their MD5. A task makes a share of the permutations for the clusters of about ``cells`` doses, and leaves one
+    number a permutation.
+    """
+    spark = df.sparkSession
+    by_dose = df.groupBy(cluster, F.col(dose).alias("dose")).agg(F.avg(value).alias("v"))
     w = Window.partitionBy(cluster)
-    ranked = cells.select(cluster, average_rank(F.col("v"), cluster, name="rv"), F.row_number().over(w.orderBy("dose")).alias("rd"), F.count("*").over(w).alias("m")).where("m >= 3")
-    observed = ranked.groupBy(cluster).agg(correlation("rv", "rd").alias("r")).agg(F.count("*").alias("n_clusters"), F.avg(F.coalesce("r", F.lit(0.0))).alias("rho"))
-    reps = df.sparkSession.range(permutations).select(F.col("id").alias("rep"))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col(cluster).cast("string"), F.col("rd").cast("string")))
-    shuffled = ranked.crossJoin(F.broadcast(reps)).withColumn("ps", F.row_number().over(Window.partitionBy("rep", cluster).orderBy(key)))
-    null = shuffled.groupBy("rep", cluster).agg(correlation("rv", "ps").alias("r")).groupBy("rep").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("rho0"))
-    return observed.crossJoin(null).groupBy("n_clusters", "rho").agg(F.count_if(F.col("rho0") >= F.col("rho") - 1e-12).alias("x")).select(
+    ranked = by_dose.select(cluster, average_rank(F.col("v"), cluster, name="rv"), F.row_number().over(w.orderBy("dose")).alias("rd"), F.count("*").over(w).alias("m")).where("m >= 3")
+    rows = cut(ranked.groupBy(cluster).agg(correlation("rv", "rd").alias("r"), F.array_sort(F.collect_list(F.struct("rd", "rv")))["rv"].alias("rv")))
+    observed = rows.agg(F.count("*").alias("n_clusters"), F.avg(F.coalesce("r", F.lit(0.0))).alias("rho"), F.sum(F.size("rv")).alias("cells"))
+    parts = -(-(observed.first()["cells"] or 1) // cells)
+    blocks = min(permutations, -(-4 * spark.sparkContext.defaultParallelism // parts))
+    size = -(-permutations // blocks)
+    lists = rows.withColumn("part", F.pmod(F.xxhash64(cluster), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct(F.col(cluster).cast("string").alias("c"), "rv")).alias("x"))
+    lists = lists.select(F.col("x")["c"].alias("c"), F.transform("x", lambda x: F.size(x["rv"])).alias("m"), F.flatten(F.col("x")["rv"]).alias("rv"))
+    work = lists.withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1), F.lit(size)))).repartition(parts * blocks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for c, m, rv, low in zip(pdf["c"], pdf["m"], pdf["rv"], pdf["low"], strict=True):
+                shuffled = Shuffles(list(c), np.asarray(m), np.asarray(rv, dtype=np.float64), seed)
+                reps = range(low, min(low + size, permutations))
+                yield pd.DataFrame({"rep": list(reps), "s": [shuffled.total(r) for r in reps]})
+
+    null = work.mapInPandas(run, "rep int, s double").groupBy("rep").agg(F.sum("s").alias("s"))
+    return observed.crossJoin(null).groupBy("n_clusters", "rho").agg(F.count_if(F.col("s") / F.col("n_clusters") >= F.col("rho") - 1e-12).alias("x")).select(
         "n_clusters", F.round("rho", 6).alias("rho"), F.round((F.col("x") + 1) / F.lit(permutations + 1), 6).alias("p")
     )
 
 
+class Shuffles:
+    """The sum over clusters of the correlation of ranks ``rv`` with a shuffled order; ``sizes`` says how many of the ranks are each cluster's."""
+
+    def __init__(self, names: list[str | None], sizes: np.ndarray, rv: np.ndarray, seed: int):
+        self.seed, self.classes = seed, []
+        starts = np.cumsum(sizes) - sizes
+        for m in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == m)
+            ranks = rv[starts[at][None, :] + np.arange(m)[:, None]]  # (m, clusters)
+            spread = ranks.std(axis=0) * math.sqrt((m * m - 1) / 12)
+            weights = np.where(spread > 1e-12, (ranks - ranks.mean(axis=0)) / np.where(spread > 1e-12, spread, 1) / m, 0.0)
+            tails = [(f"{d}" if names[i] is None else f"{names[i]}|{d}").encode() for d in range(1, m + 1) for i in at]
+            self.classes.append((m, len(at), weights, tails, Tails(tails)))
+
+    def total(self, rep: int) -> float:
+        head = f"{self.seed}|{rep}|".encode()
+        out = 0.0
+        for m, n, weights, tails, hashed in self.classes:
+            first, second = hashed.digests(head, 2).astype(np.uint64)
+            keys = (first << np.uint64(32) | second).reshape(m, n)
+            out += float((places(keys, lambda i: [hashlib.md5(head + tails[d * n + i]).digest() for d in range(m)]) * weights).sum())  # noqa: B023
+        return out
+
+
+def places(keys: np.ndarray, whole: Callable[[int], list[bytes]]) -> np.ndarray:
+    """From 0, the place of each key in its column; columns with equal keys are ordered by their ``whole`` digests."""
+    m, n = keys.shape
+    if m > 24:
+        order = np.argsort(keys, axis=0)
+        out, ordered = np.empty(keys.shape, dtype=np.int64), np.take_along_axis(keys, order, axis=0)
+        np.put_along_axis(out, order, np.broadcast_to(np.arange(m)[:, None], keys.shape), axis=0)
+        tied = (ordered[1:] == ordered[:-1]).any(axis=0)
+    else:
+        out, tied = np.zeros((m, n), dtype=np.int8), np.zeros(n, dtype=bool)
+        for d in range(m):
+            for e in range(d + 1, m):
+                later = (keys[e] < keys[d]).view(np.int8)
+                out[d] += later
+                out[e] += 1 - later
+                tied |= keys[e] == keys[d]
+    for i in np.flatnonzero(tied).tolist():
+        digests = whole(i)
+        out[:, i] = [sorted(digests).index(x) for x in digests]
+    return out
+
+
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
     """1 - C(n - c, k) / C(n, k); 1 if fewer than k are wrong, null if n < k."""
     miss = F.lit(1.0)

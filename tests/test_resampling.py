@@ -31,7 +31,35 @@ def test_bootstrap_drawn_and_joined(spark):
         assert drawn == joined and len(drawn) == (3 if by else 1)
 
 
-@pytest.mark.parametrize("what", ["grouped"])
+@pytest.mark.parametrize("cells", [500_000, 10])
+def test_permutations_by_hand(spark, cells):
+    rng = random.Random(3)
+    rows = [(c, d, rng.choice([0.1, 0.2, 0.3, 0.5])) for c in range(12) for d in range(rng.choice([2, 3, 5, 30]))]
+    d = spark.createDataFrame(rows, "c int, dose int, v double")
+    got = S.permutation_trend(d, "c", "dose", "v", permutations=100, cells=cells).first()
+
+    def ranks(xs):
+        return [sum(y < x for y in xs) + (sum(y == x for y in xs) + 1) / 2 for x in xs]
+
+    clusters = {c: ranks([v for k, _, v in rows if k == c]) for c in {c for c, _, _ in rows}}
+    clusters = {c: r for c, r in clusters.items() if len(r) >= 3}
+    corr = lambda x, y: float(np.corrcoef(x, y)[0, 1]) if np.std(x) > 0 else 0.0
+    rho = np.mean([corr(r, range(len(r))) for r in clusters.values()])
+
+    def shuffled(rep, c, m):
+        return ranks([hashlib.md5(f"20260421|{rep}|{c}|{d}".encode()).hexdigest() for d in range(1, m + 1)])
+
+    null = [np.mean([corr(r, shuffled(rep, c, len(r))) for c, r in clusters.items()]) for rep in range(100)]
+    assert (got["n_clusters"], got["rho"]) == (len(clusters), pytest.approx(rho, abs=1e-6))
+    assert got["p"] == pytest.approx((sum(x >= rho - 1e-12 for x in null) + 1) / 101, abs=1e-6)
+
+
+def test_places_of_equal_keys():
+    keys = np.array([[5, 1], [5, 2], [1, 3]], dtype=np.uint64)
+    assert S.places(keys, lambda i: [b"c", b"b", b"a"]).tolist() == [[2, 0], [1, 1], [0, 2]]
+
+
+@pytest.mark.parametrize("what", ["grouped", "trend"])
 def test_ten_thousand_values_in_time(spark, what):
     """A hundred million digests, one for each value and resample."""
     d = spark.range(10_000).select((F.col("id") % 2000).alias("c"), (F.col("id") / 2000).cast("int").alias("dose"), F.rand(5).alias("v")).cache()
