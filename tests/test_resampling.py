@@ -59,7 +59,7 @@ def test_places_of_equal_keys():
     assert S.places(keys, lambda i: [b"c", b"b", b"a"]).tolist() == [[2, 0], [1, 1], [0, 2]]
 
 
-@pytest.mark.parametrize("what", ["grouped", "trend"])
+@pytest.mark.parametrize("what", ["grouped", "whole", "trend"])
 def test_ten_thousand_values_in_time(spark, what):
     """A hundred million digests, one for each value and resample."""
     d = spark.range(10_000).select((F.col("id") % 2000).alias("c"), (F.col("id") / 2000).cast("int").alias("dose"), F.rand(5).alias("v")).cache()
