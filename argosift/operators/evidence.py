@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argosift.functions import text as X
+from argosift.operators.blocks import Postings, met
 from argosift.operators.retrieve import top_k
 
 PARTS = 16
@@ -240,10 +241,22 @@ def strip_back_matter(text: Column, heading: str, after: float = 0.4) -> Column:
 
 def best_overlap(captions: DataFrame, passages: DataFrame) -> DataFrame:
     """``(caption_id, passage_id, overlap)``: the passage of a caption's paper that has most of its tokens (each counted once), equal ones: the smaller id;
-    captions without a shared token have no row. Both have a paper_id and an array column, q_tokens and t_tokens; passages are met in parts."""
-    shared = multiset_overlap(in_parts(captions), salted(passages, "passage_id"), "caption_id", "passage_id", ["paper_id", "part"], counted=False)
-    best = shared.groupBy("caption_id").agg(F.max("overlap").alias("overlap"))
-    return shared.join(best, ["caption_id", "overlap"]).groupBy("caption_id", "overlap").agg(F.min("passage_id").alias("passage_id")).select("caption_id", "passage_id", "overlap")
+    captions without a shared token have no row. Both have a paper_id and an array column, q_tokens and t_tokens; they are met in blocks."""
+    asked = captions.where(F.size("q_tokens") > 0).select("paper_id", "caption_id", F.array_distinct("q_tokens").alias("q"))
+    texts = passages.where(F.size("t_tokens") > 0).select("paper_id", "passage_id", F.array_distinct("t_tokens").alias("t"))
+
+    def best(asked: list, texts: list) -> Iterator[tuple]:
+        texts.sort(key=lambda x: x[0])
+        held = Postings(t for _, t in texts)
+        for c, q in asked:
+            shared = held.shared(q)
+            at = int(shared.argmax())  # the first of equal ones
+            if shared[at]:
+                yield c, texts[at][0], int(shared[at])
+
+    kinds = dict(captions.dtypes)["caption_id"], dict(passages.dtypes)["passage_id"]
+    found = met(asked, texts, "paper_id", best, f"caption_id {kinds[0]}, passage_id {kinds[1]}, overlap long")
+    return top_k(found, 1, [F.desc("overlap"), F.col("passage_id")], ["caption_id"]).select("caption_id", "passage_id", "overlap")
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str, size: int = 256) -> DataFrame:

@@ -5,7 +5,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from argosift.operators import evidence as V
 from argosift.operators import matching as H
+from argosift.operators.blocks import met
 
 
 def test_best_match_of_many_equal_sets(spark):
@@ -29,3 +31,23 @@ def test_best_match_by_hand(spark):
     for part in ("k % 3 = 0", "k >= 0"):
         got = {r["a"]: (r["jaccard"], r["b"]) for r in H.best_match(df.where(part), df, "k", "s").collect()}
         assert got == {a: (round(j, 6), b) for a, (j, b) in want.items() if part != "k % 3 = 0" or a % 3 == 0}
+
+
+def test_caption_passages_of_a_large_paper(spark):
+    """Four million pairs of one paper that share words; every pair was a row with its tokens."""
+    words = F.array(F.lit("alloy"), F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("x"), F.col("id") % 1000))
+    c = spark.range(2000).select(F.col("id").alias("caption_id"), F.lit("p").alias("paper_id"), words.alias("q_tokens"))
+    p = spark.range(2000).select(F.col("id").alias("passage_id"), F.lit("p").alias("paper_id"), words.alias("t_tokens"))
+    p = p.unionByName(spark.createDataFrame([(-1, "q", ["alloy"]), (-2, None, ["alloy"]), (-3, "p", [])], "passage_id long, paper_id string, t_tokens array<string>"))
+    c = c.unionByName(spark.createDataFrame([(9000, "q", ["other"]), (9001, "q", ["alloy", "alloy"]), (9002, None, ["alloy"])], "caption_id long, paper_id string, q_tokens array<string>"))
+    got = {r["caption_id"]: (r["passage_id"], r["overlap"]) for r in V.best_overlap(c, p).collect()}
+    assert got == {i: (i, 3) for i in range(2000)} | {9001: (-1, 1)}
+
+
+def test_blocks_meet_once(spark):
+    a = spark.createDataFrame([(p, i) for p in ("x", "y", None) for i in range(50)] + [("z", 1)], "p string, a int")
+    b = spark.createDataFrame([(p, i) for p in ("x", "y", None) for i in range(30)] + [("u", 1)], "p string, b int")
+    pairs = lambda left, right: [(i, j) for (i,) in left for (j,) in right]
+    for sizes in ((1000, 1000), (7, 4), (1000, 4)):
+        got = sorted(map(tuple, met(a, b, "p", pairs, "a int, b int", *sizes).collect()))
+        assert got == sorted(2 * [(i, j) for i in range(50) for j in range(30)])
