@@ -92,3 +92,35 @@ class Postings:
             else:
                 out[p] += 1
         return out
+
+
+class Counts:
+    """How often each text has an item: as a row of numbers where many texts have it, else by their places."""
+
+    def __init__(self, counters: list[dict]):
+        self.n = len(counters)
+        found: dict = defaultdict(list)
+        for i, c in enumerate(counters):
+            for t, n in c.items():
+                found[t].append((i, n))
+        self.found = {}
+        for t, pairs in found.items():
+            at, n = np.array([i for i, _ in pairs], dtype=np.int32), np.array([n for _, n in pairs])
+            kind = np.uint16 if n.max() < 65_536 else np.int64
+            if len(at) * 32 < self.n:
+                self.found[t] = at, n
+            else:
+                self.found[t] = None, np.zeros(self.n, dtype=kind)
+                self.found[t][1][at] = n
+
+    def shared(self, counter: dict) -> np.ndarray:
+        """For each text, how many items it shares with ``counter``, each as often as in both."""
+        out = np.zeros(self.n, dtype=np.uint16 if sum(counter.values()) < 65_536 else np.int64)
+        for t, n in counter.items():
+            if t in self.found:
+                at, m = self.found[t]
+                if at is None:
+                    out += np.minimum(m, min(n, np.iinfo(m.dtype).max)).astype(out.dtype, copy=False)
+                else:
+                    out[at] += np.minimum(m, n).astype(out.dtype)
+        return out

@@ -6,12 +6,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argosift.functions import text as X
-from argosift.operators.blocks import Postings, met
+from argosift.operators.blocks import Counts, Postings, met
 from argosift.operators.retrieve import top_k
 
 PARTS = 16
@@ -134,49 +135,41 @@ def excerpts(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.select(F.col(key).alias("k"), "text", "q_tokens", "spans").mapInPandas(run, f"k {kind}, excerpt string").withColumnRenamed("k", key)
 
 
-def quick_ratio(a: Counter, b: Counter, n: int) -> float:
-    """Twice the shared characters over all ``n`` characters of both."""
-    return 2 * (a & b).total() / n if n else 1.0
-
-
 def best_passages(claims: DataFrame, passages: DataFrame, least: float = 0.55) -> DataFrame:
     """``(claim_id, passage_id, score)``: the first passage of a claim's paper that holds it (score 1), else the one most like it, if that is ``least`` or more.
 
     Texts are compared in lower case with single spaces. Likeness is the larger of the share of the claim's words that the passage has and the
     quick ratio of their characters; equal ones: the smaller passage_id. claims: claim_id, paper_id, text; passages: passage_id, paper_id, text.
-    Passages of a paper are met in parts; only claims that no passage holds are compared further, and the best of each part is kept.
+    A claim and the passages of its paper are met in blocks. For a block, the words and characters that a claim shares with each passage are counted by
+    array arithmetic; only a passage with all characters of a claim, and all words but those at its ends, is searched for it.
     """
     plain = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
     asked = claims.where("text is not null").select("claim_id", "paper_id", plain.alias("claim")).where("claim <> ''").distinct()
-    texts = salted(passages.where("text is not null").select("passage_id", "paper_id", plain.alias("passage")).distinct(), "passage_id")
-    both = in_parts(asked).join(texts, ["paper_id", "part"])
-    exact = both.where(F.contains("passage", "claim")).groupBy("claim_id", "claim").agg(F.min("passage_id").alias("passage_id")).withColumn("score", F.lit(1.0))
-    rest = in_parts(asked.join(exact.select("claim_id", "claim"), ["claim_id", "claim"], "left_anti")).join(texts, ["paper_id", "part"])
+    texts = passages.where("text is not null").select("paper_id", "passage_id", plain.alias("passage")).distinct()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            best: dict[tuple, tuple] = {}
-            seen: dict[str, tuple[frozenset, Counter]] = {}
-
-            def forms(text):
-                if text not in seen:
-                    if len(seen) > 2000:
-                        seen.clear()
-                    seen[text] = frozenset(text.split()), Counter(text)
-                return seen[text]
-
-            for c, claim, p, passage in zip(pdf["claim_id"], pdf["claim"], pdf["passage_id"], pdf["passage"], strict=True):
-                (words, letters), (others, more) = forms(claim), forms(passage)
-                score = round(max(len(words & others) / len(words), quick_ratio(letters, more, len(claim) + len(passage))), 9)
-                had = best.get((c, claim))
-                if score >= least and (had is None or (-score, p) < had):
-                    best[c, claim] = (-score, p)
-            yield pd.DataFrame([(c, claim, p, -s) for (c, claim), (s, p) in best.items()], columns=["claim_id", "claim", "passage_id", "score"])
-
-    kinds = dict(claims.dtypes)["claim_id"], dict(passages.dtypes)["passage_id"]
-    near = rest.select("claim_id", "claim", "passage_id", "passage").mapInPandas(run, f"claim_id {kinds[0]}, claim string, passage_id {kinds[1]}, score double")
-    near = top_k(near, 1, [F.desc("score"), F.col("passage_id")], ["claim_id", "claim"]).drop("place")
-    return exact.unionByName(near.select(*exact.columns)).select("claim_id", "claim", "passage_id", F.round("score", 6).alias("score"))
+    def best(asked: list, texts: list) -> Iterator[tuple]:
+        texts.sort(key=lambda x: x[0])
+        ids, texts = [p for p, _ in texts], [t for _, t in texts]
+        held, sizes = Postings(set(t.split()) for t in texts), np.array([len(t) for t in texts])
+        letters = Counts([Counter(t) for t in texts])
+        for paper, claim in asked:
+            words = set(claim.split())
+            same = letters.shared(Counter(claim))
+            shared = held.shared(words)
+            whole = next((i for i in np.flatnonzero((same == len(claim)) & (shared >= max(0, len(words) - 2))).tolist() if claim in texts[i]), None)
+            if whole is not None:
+                yield paper, claim, ids[whole], 1.0, True
+                continue
+            score = np.round(np.maximum(shared / max(1, len(words)), 2 * same.astype(np.int64) / (len(claim) + sizes)), 9)
+            at = int(score.argmax())  # the first of equal ones
+            if score[at] >= least:
+                yield paper, claim, ids[at], float(score[at]), False
+
+    kinds = dict(claims.dtypes)["paper_id"], dict(passages.dtypes)["passage_id"]
+    each = asked.select("paper_id", F.col("paper_id").alias("paper"), "claim").distinct()
+    found = met(each, texts, "paper_id", best, f"paper_id {kinds[0]}, claim string, passage_id {kinds[1]}, score double, whole boolean")
+    every = top_k(asked.join(found, ["paper_id", "claim"]), 1, [F.desc("whole"), F.desc("score"), F.col("passage_id")], ["claim_id", "claim"])
+    return every.select("claim_id", "claim", "passage_id", F.round("score", 6).alias("score"))
 
 
 def expansion(seeds: DataFrame, references: DataFrame, k: int) -> DataFrame:

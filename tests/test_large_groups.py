@@ -51,3 +51,18 @@ def test_blocks_meet_once(spark):
     for sizes in ((1000, 1000), (7, 4), (1000, 4)):
         got = sorted(map(tuple, met(a, b, "p", pairs, "a int, b int", *sizes).collect()))
         assert got == sorted(2 * [(i, j) for i in range(50) for j in range(30)])
+
+
+def test_best_passages_of_a_large_paper(spark):
+    """A million pairs of one paper, none of them exact; each was compared in Python. Then a claim of 255 words that one passage holds whole."""
+    rng = random.Random(8)
+    text = lambda k, n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n)) + f" {k}"
+    passages = [(k, "p", text(k, 20)) for k in range(1500)]
+    claims = [(k, "p", passages[k][2][3:].replace("a", "b", 1)) for k in range(700)]
+    long = text("long", 300)
+    passages.append((7000, "p", long + " end"))
+    claims.append((7000, "p", " ".join(long.split()[:255])))
+    began = time.time()
+    got = V.best_passages(spark.createDataFrame(claims, "claim_id int, paper_id string, text string"), spark.createDataFrame(passages, "passage_id int, paper_id string, text string")).collect()
+    assert time.time() - began < 15
+    assert {r["claim_id"]: r["passage_id"] for r in got} == {k: k for k in (*range(700), 7000)} and max(r["score"] for r in got) == 1.0
