@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 def met(left: DataFrame, right: DataFrame, on: str, kernel: Callable[[list, list], Iterable[tuple]], schema: str, left_size: int = 32_768, right_size: int = 8_192) -> DataFrame:
     """What ``kernel`` gives for each pair of blocks of a left and a right table with the same ``on``; null is equal to none.
 
-    The kernel gets the rows of both blocks as tuples, without ``on``, and gives tuples of ``schema``. A block has about ``left_size`` or ``right_size``
+    The kernel gets the rows of both blocks as lists, without ``on``, and gives tuples of ``schema``. A block has about ``left_size`` or ``right_size``
     rows at most. Each row is sent once for every block of the other side of its ``on``, so once where that is one block.
     """
     counts = left.groupBy(on).agg(F.count("*").alias("n"), F.lit(0).alias("m")).unionByName(right.groupBy(on).agg(F.lit(0).alias("n"), F.count("*").alias("m")))
     blocks = counts.groupBy(on).agg(F.ceil(F.sum("n") / left_size).alias("_l"), F.ceil(F.sum("m") / right_size).alias("_r"))
     large = F.broadcast(blocks.where("_l > 1 or _r > 1"))  # not more than there are full blocks
 
+    # A whole number goes as text, as pandas would make it a float beside nulls.
+    whole = {c for df in (left, right) for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")}
+    back = [{i for i, c in enumerate(c for c in df.columns if c != on) if c in whole} for df in (left, right)]
+
     def sent(df: DataFrame, side: int) -> DataFrame:
         names = [c for c in df.columns if c != on]
         own, other = ("_l", "_r") if side == 0 else ("_r", "_l")
         rows = df.where(F.col(on).isNotNull()).join(large, on, "left").withColumns({c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in ("_l", "_r")})
         place = F.pmod(F.xxhash64(*names), F.col(own)).alias(own)
-        return rows.select(on, place, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), F.lit(side).alias("_s"), *(F.col(c).alias(f"_{side}_{i}") for i, c in enumerate(names)))
+        return rows.select(on, place, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), F.lit(side).alias("_s"), *((F.col(c).cast("string") if c in whole else F.col(c)).alias(f"_{side}_{i}") for i, c in enumerate(names)))
 
     key = [on, "_l", "_r"]
     n_left = len(left.columns) - 1
@@ -43,7 +47,10 @@ def met(left: DataFrame, right: DataFrame, on: str, kernel: Callable[[list, list
                     if sides[0] and sides[1]:
                         out.extend(kernel(*sides))
                     now, sides = (at, l, r), ([], [])
-                sides[s].append(values[:n_left] if s == 0 else values[n_left:])
+                row = values[:n_left] if s == 0 else values[n_left:]
+                for i in back[s]:
+                    row[i] = None if row[i] is None else int(row[i])
+                sides[s].append(row)
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []

@@ -15,19 +15,6 @@ from argosift.functions import text as X
 from argosift.operators.blocks import Counts, Postings, met
 from argosift.operators.retrieve import top_k
 
-PARTS = 16
-
-
-def salted(df: DataFrame, key: str, parts: int = PARTS) -> DataFrame:
-    """With a column part from the hash of ``key``: a paper with much of a table is met in parts."""
-    return df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
-
-
-def in_parts(df: DataFrame, parts: int = PARTS) -> DataFrame:
-    """Each row once for every part, to meet a :func:`salted` table."""
-    return df.withColumn("part", F.explode(F.array(*(F.lit(i).cast("long") for i in range(parts)))))
-
-
 def multiset_overlap(queries: DataFrame, texts: DataFrame, q: str, t: str, on: list[str], counted: bool = True) -> DataFrame:
     """``(*on, q, t, overlap)``: shared tokens of the array columns ``q_tokens`` and ``t_tokens``, each as often as in both (or once)."""
     count = F.count("*") if counted else F.lit(1)
@@ -84,21 +71,50 @@ def cross_section_chunks(units: DataFrame, chunks: DataFrame, k: int) -> DataFra
     3 for each figure or table reference, 0.5 for another section and 0.75 from results to methods or discussion.
 
     units: unit_id, paper_id, section, spans, terms (lower case), references (lower case, without full stops), q_tokens; chunks: chunk_id, paper_id,
-    section, chunk_index, text, t_tokens. Chunks of a paper are met in parts.
+    section, chunk_index, text, t_tokens. Units and chunks of a paper are met in blocks; a chunk is searched for spans only where it would be taken.
     """
-    u, c = in_parts(units), salted(chunks, "chunk_id")
-    overlap = multiset_overlap(u, c, "unit_id", "chunk_id", ["paper_id", "part"])
-    rows = u.withColumn("q_section", F.lower("section")).drop("section").join(c, ["paper_id", "part"]).join(overlap, ["paper_id", "part", "unit_id", "chunk_id"], "left")
     low = F.lower("text")
-    count = lambda items, hay: F.size(F.filter(items, lambda x: F.contains(hay, x)))
-    terms, refs = count("terms", low), count("references", F.replace(low, F.lit("."), F.lit("")))
-    held = F.exists("spans", lambda s: F.contains(F.col("text"), s))
-    other = F.coalesce(F.lower("section") != F.col("q_section"), F.lit(True))
-    methods = F.col("q_section").startswith("result") & F.lower("section").isin("methods", "materials", "materials and methods", "experimental", "discussion", "results and discussion")
-    score = F.coalesce("overlap", F.lit(0)) / F.greatest(F.size("q_tokens"), F.lit(1)) + 2.0 * terms + 3.0 * refs + 0.5 * other.cast("int") + 0.75 * F.coalesce(methods, F.lit(False)).cast("int")
-    rows = rows.where(~held & ((F.coalesce("overlap", F.lit(0)) > 0) | (terms > 0))).select("unit_id", "chunk_id", "chunk_index", score.alias("score"))
-    best = top_k(rows, k, [F.round("score", 9).desc(), F.col("chunk_index"), F.col("chunk_id")], ["unit_id"])
-    return best.select("unit_id", "chunk_id", F.round("score", 6).alias("score"), "place")
+    u = units.select("paper_id", "unit_id", F.lower("section").alias("q_section"), *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("spans", "terms", "references", "q_tokens")))
+    c = chunks.select("paper_id", "chunk_id", "chunk_index", F.lower("section").alias("section"), "text", low.alias("low"), F.coalesce("t_tokens", F.array().cast("array<string>")).alias("t_tokens"))
+    turned = ("methods", "materials", "materials and methods", "experimental", "discussion", "results and discussion")
+
+    def best(units: list, chunks: list) -> Iterator[tuple]:
+        first = lambda x: (x is not None and x == x, 0 if x is None or x != x else x)
+        chunks.sort(key=lambda x: (first(x[1]), first(x[0])))
+        ids, places, sections, texts, lows, tokens = map(list, zip(*chunks, strict=True))
+        held = Counts([Counter(t) for t in tokens])
+        undotted = [t.replace(".", "") for t in lows]
+        at = {s: np.array([x == s for x in sections]) for s in {*sections, *(x[1] for x in units)} - {None}}
+        nowhere, to = np.array([x is None for x in sections]), np.array([x in turned for x in sections])
+        having: dict[tuple, np.ndarray] = {}
+
+        def have(word: str, hay: list, kind: str) -> np.ndarray:
+            if (kind, word) not in having:
+                if len(having) > 1000:
+                    having.clear()
+                having[kind, word] = np.fromiter((word in t for t in hay), dtype=np.int64, count=len(hay))
+            return having[kind, word]
+
+        for unit, section, spans, terms, references, q in units:
+            overlap = held.shared(Counter(q))
+            n_terms = sum((have(t, lows, "term") for t in terms), np.zeros(len(ids), dtype=np.int64))
+            n_refs = sum((have(t, undotted, "reference") for t in references), np.zeros(len(ids), dtype=np.int64))
+            other = ~at[section] | nowhere if section is not None else np.ones(len(ids), dtype=bool)
+            methods = to if section is not None and section.startswith("result") else np.zeros(len(ids), dtype=bool)
+            score = overlap / max(1, len(q)) + 2.0 * n_terms + 3.0 * n_refs + 0.5 * other + 0.75 * methods
+            able = np.flatnonzero((overlap > 0) | (n_terms > 0))
+            left = k
+            for i in able[np.argsort(-np.round(score[able], 9), kind="stable")].tolist():
+                if not any(s in texts[i] for s in spans):
+                    yield unit, ids[i], places[i], float(score[i])
+                    left -= 1
+                    if not left:
+                        break
+
+    kinds = dict(units.dtypes)["unit_id"], dict(chunks.dtypes)["chunk_id"], dict(chunks.dtypes)["chunk_index"]
+    found = met(u, c, "paper_id", best, f"unit_id {kinds[0]}, chunk_id {kinds[1]}, chunk_index {kinds[2]}, score double", 8_192, 2_048)
+    best_k = top_k(found, k, [F.round("score", 9).desc(), F.col("chunk_index"), F.col("chunk_id")], ["unit_id"])
+    return best_k.select("unit_id", "chunk_id", F.round("score", 6).alias("score"), "place")
 
 
 def excerpt(text: str, query: Counter, spans: list[str], most: int = 2400, around: int = 500, pieces: int = 8) -> str:

@@ -66,3 +66,25 @@ def test_best_passages_of_a_large_paper(spark):
     got = V.best_passages(spark.createDataFrame(claims, "claim_id int, paper_id string, text string"), spark.createDataFrame(passages, "passage_id int, paper_id string, text string")).collect()
     assert time.time() - began < 15
     assert {r["claim_id"]: r["passage_id"] for r in got} == {k: k for k in (*range(700), 7000)} and max(r["score"] for r in got) == 1.0
+
+
+def test_cross_section_chunks_of_a_large_paper(spark):
+    """Four million pairs of one paper; every pair was a row with the texts of both. Equal scores go by chunk_index, without one first, and large ids stay whole."""
+    big = 1 << 60
+    texts = [(big + i, "p", ("methods", None, "results")[i % 3], None if i == 5 else i, f"Alloy {i % 50} grain size{i}. See Fig. {i % 4}." + " filler words" * 50) for i in range(2000)]
+    c = spark.createDataFrame(texts, "chunk_id long, paper_id string, section string, chunk_index int, text string").withColumn("t_tokens", F.array(F.lit("grain"), F.concat(F.lit("size"), F.col("chunk_id") - big)))
+    units = [(u, "p", "Results", [f"grain size{u}."], [f"alloy {u % 50} "], [f"fig {u % 4}"], ["grain", f"size{u}"]) for u in range(2000)]
+    u = spark.createDataFrame(units, "unit_id int, paper_id string, section string, spans array<string>, terms array<string>, references array<string>, q_tokens array<string>")
+    began = time.time()
+    got = {}
+    for r in V.cross_section_chunks(u, c, 2).collect():
+        got.setdefault(r["unit_id"], []).append((r["place"], r["chunk_id"] - big, r["score"]))
+    assert time.time() - began < 30
+    for n in (0, 5, 7, 1234):
+        scored = []
+        for i, _, section, index, text in texts:
+            i -= big
+            if f"grain size{n}." not in text:
+                score = (1 + (i == n)) / 2 + 2 * (i % 50 == n % 50) + 3 * (i % 4 == n % 4) + 0.5 * (section != "results") + 0.75 * (section == "methods")
+                scored.append((-score, -1 if index is None else index, i))
+        assert sorted(got[n]) == [(p + 1, i, -s) for p, (s, _, i) in enumerate(sorted(scored)[:2])]
