@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from argosift.operators import evidence as V
 from argosift.operators import matching as H
+from argosift.operators import similarity as M
 from argosift.operators.blocks import met
 
 
@@ -88,3 +89,17 @@ def test_cross_section_chunks_of_a_large_paper(spark):
                 score = (1 + (i == n)) / 2 + 2 * (i % 50 == n % 50) + 3 * (i % 4 == n % 4) + 0.5 * (section != "results") + 0.75 * (section == "methods")
                 scored.append((-score, -1 if index is None else index, i))
         assert sorted(got[n]) == [(p + 1, i, -s) for p, (s, _, i) in enumerate(sorted(scored)[:2])]
+
+
+def test_jaccard_of_many_loosely_alike_sets(spark):
+    """Eight million candidates with a common word, few links: candidates are made in no table."""
+    rng = random.Random(9)
+    sets = {f"k{i:05}": frozenset(["common", *(f"w{rng.randrange(2000)}" for _ in range(12))]) for i in range(4000)}
+    df = spark.createDataFrame([(k, list(s)) for k, s in sets.items()], "k string, s array<string>")
+    got = M.jaccard_pairs(df, "k", "s", 0.12, block=1500).collect()
+    keys = list(sets)
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if (c := len(sets[a] & sets[b])) > 1 and c / (len(sets[a]) + len(sets[b]) - c) >= 0.12}
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(want) and all(r["jaccard"] >= 0.12 for r in got)
+    small = spark.createDataFrame([(i, rng.sample("abcdefghijkl", rng.randrange(0, 6))) for i in range(200)], "k int, s array<string>")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(M.jaccard_pairs(small, "k", "s", 0.4, block=30, dense=1)) == rows(M.jaccard_pairs(small, "k", "s", 0.4))
