@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from argosift.operators.blocks import Postings, met
 from argosift.operators.ordering import numbered
 from argosift.runtime import cut
 
@@ -137,35 +138,51 @@ def fuzzy_ratio(span: str, source: str, margin: float = 0.3, least: float = 0.0)
     return best
 
 
-def fuzzy_grounding(units: DataFrame, records: DataFrame, parts: int = 16) -> DataFrame:
+def fuzzy_grounding(units: DataFrame, records: DataFrame) -> DataFrame:
     """``(unit_id, span, ratio)``: how much of a unit's span stands in the best record of its paper, in blocks of three characters or more.
 
-    1 for a span that a record holds, 0 for one without any likeness or without characters, null where the paper has no text. Only what no
-    record holds goes to the matcher, and only with records that have its longest word. Records are salted within their paper.
+    1 for a span that a record holds, 0 for one without any likeness or without characters, null where the paper has no text. Spans and records of a
+    paper are met in blocks. Only what no record of a block holds goes to the matcher, and only with records that have its longest word, those
+    that share most runs of three characters first, so that the others seldom can give more.
     """
     spans = units.select("unit_id", "paper_id", F.explode("evidence_spans").alias("span")).distinct()
-    texts = records.where("text is not null").select("paper_id", "text").distinct().withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
-    asked = spans.where("length(span) > 0").select("paper_id", "span").distinct()
-    every = F.explode(F.array(*(F.lit(i).cast("long") for i in range(parts)))).alias("part")
-    exact = asked.select("*", every).join(texts, ["paper_id", "part"]).where(F.col("text").contains(F.col("span"))).select("paper_id", "span").distinct()
-    exact = cut(exact)
+    texts = records.where("text is not null").select("paper_id", "text").distinct()
+    asked = spans.where("length(span) > 0").select("paper_id", F.col("paper_id").alias("paper"), "span").distinct()
+
+    def best(asked: list, texts: list) -> Iterator[tuple]:
+        texts = [t for (t,) in texts]
+        words = Postings(set(re.findall(r"\w+", t)) for t in texts)
+        vocabulary = "\n".join(words.places)
+        held = Postings({t[i : i + 3] for i in range(len(t) - 2)} for t in texts)
+        having: dict[str, list[int]] = {}
+
+        def with_word(word: str) -> list[int]:
+            """The texts that have the word, also within a longer one."""
+            if word not in having:
+                found, at = set(), vocabulary.find(word)
+                while at >= 0:
+                    end = vocabulary.find("\n", at)
+                    found.add(vocabulary[vocabulary.rfind("\n", 0, at) + 1 : end if end >= 0 else None])
+                    at = vocabulary.find(word, end) if end >= 0 else -1
+                if len(having) > 10_000:
+                    having.clear()
+                having[word] = np.flatnonzero(words.shared(found)).tolist()
+            return having[word]
+
+        for paper, span in asked:
+            word = longest_word(span)
+            near = with_word(word) if word else range(len(texts))
+            if any(span in texts[i] for i in near):
+                yield paper, span, 1.0
+            elif word:
+                ratio = 0.0
+                shared = held.shared({span[i : i + 3] for i in range(len(span) - 2)})
+                for i in sorted(near, key=lambda i: -int(shared[i])):  # noqa: B023
+                    ratio = max(ratio, fuzzy_ratio(span, texts[i], least=ratio))
+                yield paper, span, ratio
 
-    @F.pandas_udf("string")
-    def word(a: pd.Series) -> pd.Series:
-        return a.map(longest_word)
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            best: dict[tuple[str, str], float] = {}
-            for p, s, t in zip(pdf["paper_id"], pdf["span"], pdf["text"], strict=True):
-                got = best.get((p, s), 0.0)
-                best[p, s] = max(got, fuzzy_ratio(s, t, least=got))
-            yield pd.DataFrame([(p, s, r) for (p, s), r in best.items()], columns=["paper_id", "span", "ratio"])
-
-    rest = asked.join(exact, ["paper_id", "span"], "left_anti").withColumn("word", word("span")).where("word <> ''")
-    near = rest.select("*", every).join(texts, ["paper_id", "part"]).where(F.col("text").contains(F.col("word"))).select("paper_id", "span", "text")
     kind = dict(spans.dtypes)["paper_id"]
-    rated = near.mapInPandas(match, f"paper_id {kind}, span string, ratio double").unionByName(exact.withColumn("ratio", F.lit(1.0)))
+    rated = met(asked, texts, "paper_id", best, f"paper_id {kind}, span string, ratio double", 2_048, 8_192)
     rated = rated.groupBy("paper_id", "span").agg(F.max("ratio").alias("ratio"))
     known = texts.select("paper_id").distinct().withColumn("known", F.lit(True))
     out = spans.join(rated, ["paper_id", "span"], "left").join(known, "paper_id", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from argosift.operators import evidence as V
 from argosift.operators import matching as H
+from argosift.operators import procedural as P
 from argosift.operators import similarity as M
 from argosift.operators.blocks import met
 
@@ -103,3 +104,15 @@ def test_jaccard_of_many_loosely_alike_sets(spark):
     small = spark.createDataFrame([(i, rng.sample("abcdefghijkl", rng.randrange(0, 6))) for i in range(200)], "k int, s array<string>")
     rows = lambda d: sorted(tuple(r) for r in d.collect())
     assert rows(M.jaccard_pairs(small, "k", "s", 0.4, block=30, dense=1)) == rows(M.jaccard_pairs(small, "k", "s", 0.4))
+
+
+def test_fuzzy_grounding_makes_no_row_for_a_pair(spark):
+    rng = random.Random(10)
+    text = lambda n: " ".join("".join(rng.choices("abcde", k=rng.randrange(2, 7))) for _ in range(n))
+    texts = [text(25) for _ in range(60)]
+    spans = [texts[i][5:40] for i in range(0, 60, 3)] + [texts[i][5:25] + "e" + texts[i][26:45] for i in range(60)] + ["...", "a"]
+    units = spark.createDataFrame([("u", "p", spans), ("v", "none", ["ab"])], "unit_id string, paper_id string, evidence_spans array<string>")
+    out = P.fuzzy_grounding(units, spark.createDataFrame([("p", t) for t in texts], "paper_id string, text string"))
+    assert "Contains(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["span"]: r["ratio"] for r in out.collect()}
+    assert got == {s: round(max(P.fuzzy_ratio(s, t) for t in texts), 6) for s in spans} | {"ab": None}
