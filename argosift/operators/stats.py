@@ -132,12 +132,13 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, *by: str, resampl
     means = df.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.avg(value).alias("m"))
     if by:
         part = Window.partitionBy(*by)
-        counted = means.select(*by, "m", (F.row_number().over(part.orderBy(cluster)) - 1).cast("long").alias("i"), F.count("*").over(part).alias("n"))
+        counted = cut(means.select(*by, "m", (F.row_number().over(part.orderBy(cluster)) - 1).cast("long").alias("i"), F.count("*").over(part).alias("n")))
+        size = counted.count()
     else:
-        counted = numbered(means, [cluster], "i").crossJoin(F.broadcast(means.agg(F.count("*").alias("n"))))  # one row
-        counted = counted.select("m", "i", "n")
-    counted = cut(counted)
-    drawn = _means_drawn(counted, by, resamples, seed) if counted.count() <= most else _means_joined(counted, by, resamples, seed)
+        counted = cut(numbered(means, [cluster], "i").select("m", "i"))
+        size = counted.count()  # of the written means: to count them beside their numbers would read the table twice
+        counted = counted.withColumn("n", F.lit(size).cast("long"))
+    drawn = _means_drawn(counted, by, resamples, seed) if size <= most else _means_joined(counted, by, resamples, seed)
     order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row a resample
     ranked = drawn.withColumn("r", F.row_number().over(order.orderBy("mean", "rep")) - 1)
     bounds = ranked.groupBy(*by).agg(

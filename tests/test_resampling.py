@@ -31,6 +31,26 @@ def test_bootstrap_drawn_and_joined(spark):
         assert drawn == joined and len(drawn) == (3 if by else 1)
 
 
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_bootstrap_reads_its_rows_once(spark, by):
+    read = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    d = spark.range(1000).select(F.lit("a").alias("g"), (F.col("id") % 50).alias("c"), F.rand(5).alias("v")).mapInPandas(watched, "g string, c long, v double")
+    assert S.cluster_bootstrap(d, "c", "v", *by, resamples=20).first()["n_clusters"] == 50
+    assert read.value == 1000
+
+
+def test_bootstrap_of_nothing(spark):
+    d = spark.createDataFrame([(1, None), (2, None)], "c int, v double")
+    for most in (1000, 0, -1):
+        assert S.cluster_bootstrap(d, "c", "v", resamples=20, most=most).collect() == [(0, None, None, None)]
+
+
 @pytest.mark.parametrize("cells", [500_000, 10])
 def test_permutations_by_hand(spark, cells):
     rng = random.Random(3)
