@@ -106,6 +106,40 @@ def test_jaccard_of_many_loosely_alike_sets(spark):
     assert rows(M.jaccard_pairs(small, "k", "s", 0.4, block=30, dense=1)) == rows(M.jaccard_pairs(small, "k", "s", 0.4))
 
 
+def test_jaccard_shuffles_a_set_as_often_for_many_blocks_as_for_one(spark):
+    rng = random.Random(11)
+    df = spark.createDataFrame([(i, [f"w{rng.randrange(300)}" for _ in range(20)]) for i in range(2400)], "k int, s array<string>")
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        time.sleep(0.3)
+        spark.range(1).collect()  # the store is brought up to date as a task ends
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    written, found = [], []
+    for block in (2400, 60):
+        before = shuffled()
+        found.append(sorted(map(tuple, M.jaccard_pairs(df, "k", "s", 0.15, block=block).collect())))
+        written.append(shuffled() - before)
+    assert found[0] == found[1] and len(found[0]) > 1000
+    assert 0 < written[1] < 1.5 * written[0], written
+
+
+def test_jaccard_of_repeated_rows_and_equal_sets_over_many_blocks(spark):
+    rng = random.Random(12)
+    rows = [(f"k{i:03}", str(i), rng.sample("abcdefghij", rng.randrange(0, 5))) for i in range(300)]
+    rows += rows[:50] + [(k, t + "x", s) for k, t, s in rows[40:60]]  # the same rows once more, and other texts of the same set
+    got = M.jaccard_pairs(spark.createDataFrame(rows, "k string, t string, s array<string>"), "k", "s", 0.12, block=30, apart="t").collect()
+    once = {(k, t): frozenset(s) for k, t, s in rows if s}
+    rep = {}
+    for (k, _), s in once.items():
+        rep[s] = min(k, rep.get(s, k))
+    want = [(rep[s], k, 1.0) for (k, _), s in once.items() if k != rep[s]]
+    want += [(rep[s], rep[t], len(s & t) / len(s | t)) for s in rep for t in rep if rep[s] < rep[t] and len(s & t) / len(s | t) >= 0.12]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_fuzzy_grounding_makes_no_row_for_a_pair(spark):
     rng = random.Random(10)
     text = lambda n: " ".join("".join(rng.choices("abcde", k=rng.randrange(2, 7))) for _ in range(n))
